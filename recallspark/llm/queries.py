@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm.copies import copies
+from recallspark.llm.neighbours import neighbours
 from recallspark.llm.payloads import parse_payloads
 from recallspark.llm.terms import term_frequency
 from recallspark.sources.tables import table
@@ -39,7 +40,18 @@ def p2_fact_copies(spark: SparkSession, d: str) -> DataFrame:
     return copies(_records(spark, d), facts_only=True).select("keep_id", "n_copies")
 
 
-QUERIES = {"p1_found": p1_found, "p1_term_frequency": p1_term_frequency, "p2_found": p2_found, "p2_fact_copies": p2_fact_copies}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours(table(spark, d, "triples").select("id", "embedding"), "embedding", k=5, min_cosine=0.9)
+    return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_term_frequency": p1_term_frequency,
+    "p2_found": p2_found,
+    "p2_fact_copies": p2_fact_copies,
+    "p3_found": p3_found,
+}
 
 _TERMS = """
 v AS (
@@ -73,7 +85,19 @@ c AS (
 f AS (SELECT id, min(id) OVER (PARTITION BY s, p, o) AS keep_id FROM c WHERE s <> '' AND p <> '' AND o <> '')
 """
 
+_NEAR = """
+u AS (
+  SELECT id, any_value(embedding)::DOUBLE[64] AS e FROM triples
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY id),
+x AS (
+  SELECT a.id AS id, b.id AS other, round(array_cosine_similarity(a.e, b.e), 6) AS cos FROM u a JOIN u b ON a.id <> b.id
+  WHERE array_cosine_similarity(a.e, b.e) >= 0.8999),
+k AS (SELECT id, other FROM x WHERE cos >= 0.9 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) <= 5)
+"""
+
 ORACLES = {
+    "p3_found": f"WITH {_NEAR} SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k",
     "p1_found": f"WITH {_TERMS} SELECT fld, term, mark FROM m WHERE mark <> 'useful'",
     "p1_term_frequency": f"WITH {_TERMS} SELECT * FROM m",
     "p2_found": f"WITH {_FACTS} SELECT keep_id, id AS dup_id FROM f WHERE id <> keep_id",
