@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm.copies import copies
+from recallspark.llm.mixing import mixture, share_report
 from recallspark.llm.neighbours import neighbours
+from recallspark.llm.packing import fill_report, pack
 from recallspark.llm.payloads import parse_payloads
+from recallspark.llm.reading import calibrate, features, levels
 from recallspark.llm.terms import term_frequency
+from recallspark.llm.tokens import token_count
+from recallspark.shared import materialize
 from recallspark.sources.tables import table
 
 
@@ -45,7 +50,58 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "source", "lang", token_count(F.col("text")).alias("n_tokens"))
+
+
+def p6_packs(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_sizes(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p6_packs(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(p7_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def _english(spark: SparkSession, d: str) -> DataFrame:
+    return features(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    feats = materialize(_english(spark, d), "reading")
+    return levels(feats, calibrate(feats, table(spark, d, "doc_grades")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "band")
+
+
+def p8_features(spark: SparkSession, d: str) -> DataFrame:
+    f = _english(spark, d)
+    return f.withColumn("words_per_sentence", F.round("words_per_sentence", 6)).withColumn("letters_per_word", F.round("letters_per_word", 6))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and mean grade by source and band."""
+    named = table(spark, d, "documents").select("doc_id", "source")
+    return _levels(spark, d).join(named, "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.round(F.avg("grade"), 3).alias("avg_grade"))
+
+
 QUERIES = {
+    "p6_packs": p6_packs,
+    "p6_fill": p6_fill,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_features": p8_features,
+    "p8_profile": p8_profile,
     "p1_found": p1_found,
     "p1_term_frequency": p1_term_frequency,
     "p2_found": p2_found,
@@ -96,7 +152,23 @@ x AS (
 k AS (SELECT id, other FROM x WHERE cos >= 0.9 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) <= 5)
 """
 
+_READING = r"""
+d AS (
+  SELECT doc_id, n_blank, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS w,
+    len(list_filter(string_split_regex(text, '[.!?。！？\n]+'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS n_sent
+  FROM (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n_blank FROM documents WHERE lang = 'en')),
+t AS (SELECT doc_id, unnest(w) AS word FROM d),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY ALL),
+r AS (SELECT word, rank() OVER (ORDER BY sum(tf) DESC) AS rnk FROM tf GROUP BY word),
+c AS (SELECT doc_id, rnk, sum(tf) OVER (PARTITION BY doc_id ORDER BY rnk) AS upto, sum(tf) OVER (PARTITION BY doc_id) AS n FROM tf JOIN r USING (word)),
+v AS (SELECT doc_id, CAST(max(n) AS BIGINT) AS n_words, min(rnk) FILTER (upto >= n * 0.5) AS coverage_rank FROM c GROUP BY doc_id)
+"""
+
 ORACLES = {
+    "p8_features": f"""WITH {_READING}
+        SELECT doc_id, n_words, n_blank AS n_blank_words, coverage_rank, round(n_words / greatest(n_sent, 1), 6) AS words_per_sentence,
+          round(length(array_to_string(w, '')) / n_words, 6) AS letters_per_word
+        FROM v JOIN d USING (doc_id)""",
     "p3_found": f"WITH {_NEAR} SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k",
     "p1_found": f"WITH {_TERMS} SELECT fld, term, mark FROM m WHERE mark <> 'useful'",
     "p1_term_frequency": f"WITH {_TERMS} SELECT * FROM m",
