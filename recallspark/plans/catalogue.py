@@ -1,8 +1,8 @@
 """Every query of the core and its SQL twin."""
 
-from recallspark.plans import ingest, scale
+from recallspark.plans import ingest, knowledge, scale
 
 FLAGSHIP = "p4_found"
-_MODULES = [scale, ingest]
+_MODULES = [scale, ingest, knowledge]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
