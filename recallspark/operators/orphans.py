@@ -96,10 +96,10 @@ def find_orphans(children: DataFrame, ref: Reference, parents: DataFrame, tombst
     ).withColumn("hot", F.lit(True))
     hot = F.broadcast(hot)
 
-    no_time, no_id = F.lit(None).cast("timestamp"), F.lit(None).cast("long")
-    sides = parents.select(
-        F.col("id").alias("key"), F.col("ingested_at").alias("stored"), no_time.alias("deleted_at"), no_id.alias("tomb_id"), no_time.alias("restored_at")
-    ).unionByName(log.select(F.col("rec_id").alias("key"), no_time.alias("stored"), "deleted_at", "tomb_id", "restored_at"))
+    # a parent's row lacks the columns of the log, and the other way round
+    sides = parents.select(F.col("id").alias("key"), F.col("ingested_at").alias("stored")).unionByName(
+        log.select(F.col("rec_id").alias("key"), "deleted_at", "tomb_id", "restored_at"), allowMissingColumns=True
+    )
     salted = sides.join(hot, "key", "left").withColumn(
         "salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     )
