@@ -41,9 +41,12 @@ def summaries(messages: DataFrame, triples: DataFrame, group: str, last: int = 5
     ``messages`` has ``group``, seq and content.
     """
     recent = messages.withColumn("back", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("seq")))).where(F.col("back") <= last)
-    openings = recent.where("content <> ''").select(group, "back", F.substring("content", 1, 50).alias("subject"))
-    stored = triples.select("id", "subject", "predicate", "object").distinct()
-    hits = openings.join(stored, "subject").groupBy(group, "subject", "predicate", "object").agg(F.min(F.struct(-F.col("back"), F.col("predicate"), F.col("id"))).alias("place"))
+    openings = recent.where("content <> ''").groupBy(group, F.substring("content", 1, 50).alias("subject")).agg(F.max("back").alias("back"))
+    # only a subject's first facts can be among the first of a summary
+    stored = triples.where("subject IS NOT NULL").groupBy("subject", "predicate", "object").agg(F.min("id").alias("id"))
+    by_subject = Window.partitionBy("subject").orderBy("predicate", "id")
+    leading = stored.withColumn("m", F.row_number().over(by_subject)).where(F.col("m") <= n_facts)
+    hits = openings.join(leading, "subject").withColumn("place", F.struct(-F.col("back"), F.col("predicate"), F.col("id")))
     top = hits.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy("place"))).where(F.col("n") <= n_facts)
     text = top.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(" ", "subject", "predicate", "object").alias("t")))), lambda x: x["t"]), "；").alias("summary"))
     return messages.select(group).distinct().join(text, group, "left").select(group, F.coalesce("summary", F.lit(NOTHING)).alias("summary"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recallspark.shared import materialize
+from recallspark.shared import materialize, spread
 
 DECAY, HOPS, THRESHOLD, BUDGET = 0.5, 2, 0.1, 10.0
 
@@ -104,6 +104,7 @@ def activate(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, hops: int
     visited = frontier.select("query_id", "node")
     used = frontier.select("query_id").distinct().withColumn("used", F.lit(0.0))
     reached, turns = None, None
+    edges = spread(edges, "dst")
     for hop in range(hops):
         p = F.col("energy") * decay * F.col("confidence")
         cand = (

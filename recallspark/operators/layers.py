@@ -54,13 +54,28 @@ def encode(x: np.ndarray, blocks: int = 2, sparse_layers: int = 4) -> np.ndarray
 def encode_sequences(vectors: DataFrame) -> DataFrame:
     """seq_key, id, vec: (seq_key, id, vec) encoded per sequence, in id order; sequences over SEGMENT vectors in segments, so that none grows unbounded."""
     placed = positions(vectors.select("seq_key", "id", "vec"), "seq_key", "id").withColumn("segment", F.expr(f"(seq - 1) div {SEGMENT}"))
+    ordered = placed.repartition("seq_key", "segment").sortWithinPartitions("seq_key", "segment", "id").select("seq_key", "segment", "id", "vec")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        y = encode(np.stack(pdf["vec"].to_numpy()).astype("f8"))
-        return pd.DataFrame({"seq_key": pdf["seq_key"], "id": pdf["id"], "vec": list(y)})
+    def done(key: tuple[int, int], ids: list[int], vecs: list) -> pd.DataFrame:
+        return pd.DataFrame({"seq_key": key[0], "id": ids, "vec": list(encode(np.stack(vecs).astype("f8")))})
 
-    return placed.groupBy("seq_key", "segment").applyInPandas(run, "seq_key long, id long, vec array<double>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, vecs = None, [], []
+        for batch in batches:
+            out = []
+            for k, g, i, v in zip(batch["seq_key"], batch["segment"], batch["id"], batch["vec"], strict=True):
+                if (k, g) != key:
+                    if ids:
+                        out.append(done(key, ids, vecs))
+                    key, ids, vecs = (k, g), [], []
+                ids.append(i)
+                vecs.append(v)
+            if out:
+                yield pd.concat(out)
+        if ids:
+            yield done(key, ids, vecs)
+
+    return ordered.mapInPandas(run, "seq_key long, id long, vec array<double>")
 
 
 class LiquidCell:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recallspark.functions.text import bm25_tokens, full_runs, han_runs, keywords
+from recallspark.shared import materialize, spread
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -26,14 +27,14 @@ def ranked(df: DataFrame, by: str, order: list[Column], k: int | None = None) ->
 
 def postings(docs: DataFrame) -> DataFrame:
     """term, id, tf, dl of ``docs`` (id, text). Texts without tokens are not in the index."""
-    tokens = docs.select("id", bm25_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    tokens = spread(docs.select("id", "text"), "id").select("id", bm25_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     return tokens.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: n_docs, avgdl over the documents that are not blank."""
     n = F.size(bm25_tokens(F.col("text")))
-    return docs.where(F.trim("text") != "").agg(F.count("*").alias("n_docs"), F.avg(n).alias("avgdl"))
+    return spread(docs.select("id", "text"), "id").where(F.trim("text") != "").agg(F.count("*").alias("n_docs"), F.avg(n).alias("avgdl"))
 
 
 def document_frequency(post: DataFrame, stats: DataFrame) -> DataFrame:
@@ -42,13 +43,43 @@ def document_frequency(post: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
+#: Query terms of the largest bounds whose postings give a first estimate of the k-th best score.
+SEED_TERMS = 4
+#: Scores are rounded to 6 decimals before they are ranked; whatever could still tie within that is kept.
+MARGIN = 1e-6
+
+
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank: a repeated query token counts as often as it occurs."""
-    post, stats = postings(docs), corpus_stats(docs)
+    """query_id, id, score, rank: a repeated query token counts as often as it occurs.
+
+    Exact, without scoring every posting of common words: the query's strongest terms alone give a lower bound of
+    its k-th best score; the weakest terms whose bounds together stay below it cannot bring in a document by
+    themselves, so they are only looked up for the documents that the other terms found and that can still make it.
+    """
+    post, stats = materialize(postings(docs), "postings"), corpus_stats(docs)
+    idf = document_frequency(post, stats).select("term", "idf")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    impacts = spread(materialize(post.join(idf, "term").crossJoin(F.broadcast(stats)).select("term", "id", weight.alias("impact")), "impacts"), "id")
+    bounds = impacts.groupBy("term").agg(F.max("impact").alias("most"))
     asked = queries.select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    known = asked.join(document_frequency(post, stats), "term").crossJoin(F.broadcast(stats))
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = known.join(post, "term").groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))
+    bound = F.col("qtf") * F.col("most")
+    strongest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    terms = materialize(asked.join(bounds, "term").withColumn("bound", bound).withColumn("place", F.row_number().over(strongest)), "terms")
+
+    gain = F.sum(F.col("qtf") * F.col("impact"))
+    seed = terms.where(F.col("place") <= SEED_TERMS).join(impacts, "term").groupBy("query_id", "id").agg(gain.alias("s"))
+    floor = ranked(seed, "query_id", [F.desc("s"), F.col("id")], k).where(F.col("rank") == k).select("query_id", (F.col("s") - MARGIN).alias("floor"))
+    weakest = Window.partitionBy("query_id").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    split = terms.join(floor, "query_id", "left").withColumn("weak", F.coalesce(F.sum("bound").over(weakest) < F.col("floor"), F.lit(False)))
+    split = materialize(split, "split")
+    rest = split.where("weak").groupBy("query_id").agg(F.sum("bound").alias("rest"))
+    least = split.groupBy("query_id").agg(F.first("floor").alias("floor")).join(rest, "query_id", "left")
+    found = split.where("NOT weak").join(impacts, "term").groupBy("query_id", "id").agg(gain.alias("s"))
+    able = found.join(least, "query_id").where("floor IS NULL OR s + coalesce(rest, 0) >= floor").select("query_id", "id", "s")
+    able = materialize(able, "able")
+    looked_up = able.select("query_id", "id").join(split.where("weak").select("query_id", "term", "qtf"), "query_id").join(impacts, ["term", "id"])
+    more = looked_up.select("query_id", "id", (F.col("qtf") * F.col("impact")).alias("s"))
+    scores = able.unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
     return ranked(scores.where("score > 0"), "query_id", [F.desc("score"), F.col("id")], k)
 
 
@@ -73,7 +104,7 @@ def keyword_matches(kws: DataFrame, triples: DataFrame) -> DataFrame:
     Substring search without trying all pairs: keywords meet the distinct letter runs of the corpus through a
     shared gram, the match is verified on these, and runs lead to triples by an equi-join.
     """
-    rows = triples.select("id", F.nullif("episodic_id", F.lit(0)).alias("turn_id"), *FIELDS).distinct()
+    rows = spread(triples.select("id", F.nullif("episodic_id", F.lit(0)).alias("turn_id"), *FIELDS), "id").distinct()
     tokens = rows.select("id", "turn_id", F.explode(F.array_distinct(F.concat(*[_letters(F.col(f)) for f in FIELDS]))).alias("token"))
     vocabulary = tokens.select("token").distinct().select("token", F.explode(_grams(F.col("token"))).alias("gram"))
     asked = kws.select("kw").distinct().where(F.length("kw") >= 2).withColumn("gram", F.substr("kw", F.lit(1), F.least(F.length("kw"), F.lit(3))))
