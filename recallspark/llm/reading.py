@@ -44,16 +44,20 @@ def features(docs: DataFrame, cover: float = COVER) -> DataFrame:
 
     ``docs`` has doc_id and text; their words make up the frequency ranking, over whole texts. Words are runs of a-z with an
     inner apostrophe; ``n_blank_words`` counts pieces between white space. Sentences end at . ! ? (also full-width) or a line end and
-    hold a letter. Null, empty and wordless texts get no row; a doc_id given twice counts once.
+    hold a letter. Null, empty and wordless texts get no row. A row given twice counts once; several texts of one doc_id are one document.
+
+    Texts are matched where they lie and their words placed by doc_id once; counting, summing and the coverage of a
+    document all reuse that placement.
     """
     cuts = F.split("text", "[.!?。！？\n]+")
-    shape = docs.groupBy("doc_id").agg(F.max("text").alias("text")).select(
+    matched = docs.select(
         "doc_id",
-        _words(F.col("text")).alias("words"),
+        F.array_join(_words(F.col("text")), " ").alias("words"),
         F.size(F.filter(cuts, lambda x: x.rlike("[A-Za-z]"))).alias("n_sentences"),
         F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_blank_words"),
-    ).where(F.size("words") > 0)
-    flat = shape.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    ).where("words <> ''")
+    shape = matched.repartition("doc_id").distinct()
+    flat = shape.select("doc_id", F.explode(F.split("words", " ")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
     ranks = word_ranks(flat)
     top = ranks.where(F.col("rnk") <= TOP_WORDS).orderBy("rnk", "word").limit(2 * TOP_WORDS)
     known = flat.join(F.broadcast(top), "word", "left")
@@ -65,10 +69,13 @@ def features(docs: DataFrame, cover: float = COVER) -> DataFrame:
         F.min(F.when(F.col("upto") >= F.col("all") * F.lit(cover), F.col("rnk"))).alias("coverage_rank"),
         F.max("all").alias("n_words"),
     )
-    shapes = shape.select(
-        "doc_id", "n_blank_words", (F.size("words") / F.greatest("n_sentences", F.lit(1))).alias("words_per_sentence"),
-        (F.length(F.array_join("words", "")) / F.size("words")).alias("letters_per_word"),
-    )
+    blanks = F.length(F.translate("words", "abcdefghijklmnopqrstuvwxyz'", ""))  # one between two words
+    sizes = shape.groupBy("doc_id").agg(
+        F.sum("n_blank_words").alias("n_blank_words"), F.sum("n_sentences").alias("n_sentences"), F.sum(blanks + 1).alias("n"), F.sum(F.length("words") - blanks).alias("letters")
+    )
+    shapes = sizes.select(
+        "doc_id", "n_blank_words", (F.col("n") / F.greatest("n_sentences", F.lit(1))).alias("words_per_sentence"), (F.col("letters") / F.col("n")).alias("letters_per_word")
+    )
     return coverage.join(shapes, "doc_id").select("doc_id", "n_words", "n_blank_words", "coverage_rank", "words_per_sentence", "letters_per_word")
 
 
