@@ -31,7 +31,8 @@ def _score(k: int):  # noqa: ANN202
         b = b[np.argsort(ids[b])]  # equal scores: smaller id first
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for part in np.array_split(q, -(-len(q) // 512)):
-            s = np.round(x[part] @ x[b].T, 6)
+            s = x[part] @ x[b].T
+            s = np.trunc(s * 1e6 + np.copysign(0.5, s)) / 1e6  # halves away from zero, as in SQL
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             out.append((np.repeat(ids[part], top.shape[1]), ids[b][top].ravel(), np.take_along_axis(s, top, 1).ravel()))
         qs, bs, ss = (np.concatenate(v) for v in zip(*out, strict=True))

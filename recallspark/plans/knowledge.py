@@ -162,5 +162,13 @@ ORACLES = {
         SELECT t.subject, t.predicate, t.object, -1 AS depth FROM triples t JOIN x USING (subject, predicate)
         UNION ALL SELECT x.subject, x.predicate, tr.object, tr.depth FROM x JOIN tr ON tr.start = x.subject)
         SELECT subject, predicate, object, min(depth) AS depth FROM z GROUP BY ALL""",
+    "spreading_turns": f"""WITH {_SPREAD},
+        hh AS (SELECT query_id, src, dst, turn_id, 0 AS hop, pos, edge_id FROM l1 UNION ALL SELECT query_id, src, dst, turn_id, 1, pos, edge_id FROM l2),
+        ff AS (SELECT query_id, dst AS entity, hop, pos, edge_id FROM hh QUALIFY row_number() OVER (PARTITION BY query_id, dst ORDER BY hop, pos, edge_id) = 1),
+        tt AS (SELECT query_id, entity, activation FROM best JOIN ff USING (query_id, entity)
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(activation, 9) DESC, hop, pos, edge_id) <= 30),
+        oo AS (SELECT DISTINCT query_id, src AS entity, turn_id FROM hh WHERE turn_id IS NOT NULL UNION SELECT query_id, dst, turn_id FROM hh WHERE turn_id IS NOT NULL),
+        aa AS (SELECT query_id, turn_id, round(max(activation), 6) AS activation FROM tt JOIN oo USING (query_id, entity) GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, turn_id) AS rank FROM aa""",
     "spreading_activate": f"WITH {_SPREAD} SELECT query_id, entity, round(activation, 6) AS activation FROM best",
 }

@@ -137,7 +137,7 @@ def triple_vector_similarity(spark: SparkSession, d: str) -> DataFrame:
     n = t.count()
     base = t.select("id", "vec")
     top = vectors.exact_topk(base.where(F.col("id") % EVERY == 0), base, 5, n // EVERY + 1, n)
-    conf = F.round(F.coalesce("confidence", F.lit(0.5)) * (0.5 + 0.5 * F.col("score")), 6)
+    conf = F.round(F.coalesce("confidence", F.lit(0.5)) * (0.5 + 0.5 * F.col("score")), 4)
     return top.join(t.select("id", "confidence"), "id").select("query_id", "id", "score", conf.alias("confidence"), "rank")
 
 
@@ -228,6 +228,16 @@ ORACLES = {
     "entity_graph_search": f"WITH {TURNS}, {_ASKED}, {_ENTITY} SELECT * FROM eg",
     "entity_results": f"WITH {TURNS}, {_ASKED}, {_ELIST} SELECT query_id, id, content, round(confidence, 6) AS confidence, source, rank FROM el",
     "recall_hybrid": f"WITH {TURNS}, {_ASKED}, {_FUSED} SELECT * FROM fu WHERE rank <= 5",
+    "rerank_heuristic": f"""WITH {TURNS}, {_ASKED}, {_FUSED},
+        h0 AS (SELECT fu.*, lower(fu.content) AS c, list_distinct(list_concat(regexp_extract_all(lower(query), '[a-z]+'), regexp_extract_all(query, '[一-龥]{{2,}}'))) AS w FROM fu JOIN qq USING (query_id) WHERE rank <= 20),
+        h1 AS (SELECT query_id, id, source || '+heuristic' AS source, score,
+          round(CAST(0.7 AS DOUBLE) * score + CAST(0.3 AS DOUBLE) * (len(list_filter(w, lambda x: contains(c, x))) / greatest(len(w), 1)), 9) AS conf FROM h0)
+        SELECT query_id, id, source, round(conf, 6) AS confidence FROM h1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY conf DESC, score DESC, id) <= 10""",
+    "triple_vector_similarity": """WITH u AS (
+          SELECT id, any_value(embedding)::DOUBLE[64] AS v, any_value(confidence) AS confidence FROM triples
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 GROUP BY id),
+        p AS (SELECT a.id AS query_id, b.id AS id, round(array_inner_product(a.v, b.v), 6) AS score, b.confidence AS c FROM u a CROSS JOIN u b WHERE a.id % 20 = 0)
+        SELECT query_id, id, score, round(coalesce(c, 0.5) * (0.5 + 0.5 * score), 4) AS confidence, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p QUALIFY rank <= 5""",
     "vector_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
         SELECT a.vec_id AS query_id, b.vec_id AS id, round(array_inner_product(a.v, b.v), 6) AS score,
           row_number() OVER (PARTITION BY a.vec_id ORDER BY round(array_inner_product(a.v, b.v), 6) DESC, b.vec_id) AS rank
