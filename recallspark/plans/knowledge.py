@@ -147,7 +147,40 @@ l2 AS (SELECT c2.* FROM c2 JOIN b2 USING (query_id, pos) WHERE before <= 10),
 h AS (SELECT query_id, dst AS entity, p FROM l1 UNION ALL SELECT query_id, dst, p FROM l2),
 best AS (SELECT query_id, entity, max(p) AS activation FROM h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = h.query_id AND s.node = h.entity) GROUP BY ALL)"""
 
+# one step per row of a key, with the stored row that came first (1) and the first with another object (2) as state
+_FOLD = """k AS (
+  SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY id) AS n FROM (
+    SELECT DISTINCT id, subject, predicate, object, CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0.5 ELSE confidence END AS conf,
+      coalesce(source = 'human', false) AS human
+    FROM triples WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL)),
+s AS (
+  SELECT id, subject, predicate, object, n, 'insert' AS action, CAST(NULL AS BIGINT) AS target_id, CAST(NULL AS DOUBLE) AS confidence_after,
+    id AS i1, object AS o1, conf AS c1, human AS h1, CAST(NULL AS BIGINT) AS i2, CAST(NULL AS DOUBLE) AS c2, CAST(NULL AS BOOLEAN) AS h2
+  FROM k WHERE n = 1
+  UNION ALL
+  SELECT id, subject, predicate, object, n, action, ti, after, i1, o1, CASE WHEN first THEN after ELSE c1 END, h1,
+    CASE WHEN first AND i2 IS NULL AND action = 'keep_both' THEN id ELSE i2 END,
+    CASE WHEN NOT first THEN after WHEN i2 IS NULL AND action = 'keep_both' THEN conf ELSE c2 END,
+    CASE WHEN first AND i2 IS NULL AND action = 'keep_both' THEN human ELSE h2 END
+  FROM (
+    SELECT *, CASE WHEN action = 'update' THEN greatest(tc, conf) ELSE tc END AS after FROM (
+      SELECT *, CASE WHEN ti IS NULL THEN 'insert' WHEN abs(conf - tc) > 0.3::DOUBLE THEN CASE WHEN conf > tc THEN 'update' ELSE 'ignore' END
+        WHEN human AND NOT th THEN 'update' WHEN th AND NOT human THEN 'ignore' ELSE 'keep_both' END AS action
+      FROM (
+        SELECT k.*, k.object <> s.o1 AS first, s.i1, s.o1, s.c1, s.h1, s.i2, s.c2, s.h2, CASE WHEN k.object <> s.o1 THEN s.i1 ELSE s.i2 END AS ti,
+          CASE WHEN k.object <> s.o1 THEN s.c1 ELSE s.c2 END AS tc, CASE WHEN k.object <> s.o1 THEN s.h1 ELSE s.h2 END AS th
+        FROM s JOIN k ON k.subject = s.subject AND k.predicate = s.predicate AND k.n = s.n + 1)))),
+f AS (SELECT id, subject, predicate, object, action, target_id, confidence_after FROM s)"""
+
 ORACLES = {
+    "kg_conflict_fold": f"WITH RECURSIVE {_FOLD} SELECT * FROM f",
+    "kg_resolved": f"""WITH RECURSIVE {_FOLD}, e AS (SELECT DISTINCT id, confidence, evidence FROM triples),
+        u AS (
+          SELECT target_id AS id, max(confidence_after) AS raised, string_agg(coalesce(evidence, ''), ' | ' ORDER BY id) AS more
+          FROM f JOIN e USING (id) WHERE action = 'update' GROUP BY target_id)
+        SELECT id, subject, predicate, object, coalesce(raised, confidence, 0.5) AS confidence, concat_ws(' | ', evidence, more) AS evidence,
+          action = 'keep_both' AS is_controversial
+        FROM f JOIN e USING (id) LEFT JOIN u USING (id) WHERE action IN ('insert', 'keep_both')""",
     "kg_controversial_fast": """WITH t AS (SELECT DISTINCT id, subject, predicate, object FROM triples WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL)
         SELECT id, subject, predicate, object, coalesce(min(object) OVER w <> object OR max(object) OVER w <> object, false) AS is_controversial
         FROM t WINDOW w AS (PARTITION BY subject, predicate ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",

@@ -78,7 +78,9 @@ def naive_fold(rows):
 
 def test_conflict_fold_equals_a_naive_fold_in_batch_and_stream(spark, tmp_path):
     rnd = random.Random(3)
-    rows = [(i, rnd.choice("ab"), rnd.choice("pq"), rnd.choice("xyz"), rnd.choice([None, 0.1, 0.4, 0.45, 0.7, 0.9]), rnd.choice(["human", "", None])) for i in range(400)]
+    confs = [None, 0.1, 0.4, 0.45, 0.7, 0.9, *(round(rnd.random(), 2) for _ in range(20))]
+    # keys of every size: some are hot and salted, some have one row, and one has a third of all
+    rows = [(i, rnd.choice(["a", rnd.choice("bcdefghij"), f"k{rnd.randrange(150)}"]), rnd.choice("ppq"), rnd.choice("xyz"), rnd.choice(confs), rnd.choice(["human", "", None])) for i in range(900)]
     t = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, confidence double, source string")
     want = naive_fold(rows)
     assert {r.id: (r.action, r.target_id) for r in kg.conflict_decisions(t).collect()} == want
