@@ -19,7 +19,7 @@ from recallspark.shared import materialize
 #: Records one bucket may hold, at least; it grows with the table so that there are never more than MAX_SPLITS oversized ones.
 BUCKET_ROWS = 20_000
 MAX_SPLITS = 4096
-#: Prefix lengths, in bytes, by which buckets are split further and further; after these the whole form.
+#: Prefix lengths, in bytes, by which buckets are split further and further; after these the whole form, by its SHA-256.
 PREFIXES = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 #: Bytes per edge of the trie.
 EDGE = 8
@@ -72,6 +72,11 @@ class CountingTrie:
                     yield x[1]
 
 
+def _prefix(length: int | None) -> Column:
+    """The first bytes of the form, or the digest of all of it: what is broadcast stays small, however long a form is."""
+    return F.unhex(F.sha2("key", 256)) if length is None else F.substring("key", 1, length)
+
+
 _MEMBERS = pa.schema([("keep_id", pa.int64()), ("rec_id", pa.int64()), ("n_copies", pa.int64())])
 
 
@@ -106,7 +111,7 @@ def _splits(keys: DataFrame, cap: int) -> list[tuple[int | None, list[bytes]]]:
     found: list[tuple[int | None, list[bytes]]] = []
     open_rows = keys
     for length in (*PREFIXES, None):
-        prefix = F.col("key") if length is None else F.substring("key", 1, length)
+        prefix = _prefix(length)
         big = [bytes(r["p"]) for r in open_rows.groupBy(prefix.alias("p")).count().where(F.col("count") > cap).select("p").collect()]
         if not big:
             break
@@ -131,7 +136,7 @@ def copies(records: DataFrame, facts_only: bool = False, bucket_rows: int = BUCK
 
     rows, bucket, split_before = keys, None, F.lit(True)
     for i, (length, big) in enumerate(splits):
-        prefix = F.col("key") if length is None else F.substring("key", 1, length)
+        prefix = _prefix(length)
         table = keys.sparkSession.createDataFrame([(b,) for b in big], f"p{i} binary")
         rows = rows.join(F.broadcast(table), prefix == F.col(f"p{i}"), "left")
         here = F.when(split_before & F.col(f"p{i}").isNull(), prefix)
@@ -140,16 +145,17 @@ def copies(records: DataFrame, facts_only: bool = False, bucket_rows: int = BUCK
     whole = bool(splits) and splits[-1][0] is None
     if not whole:  # the next prefixes are all small enough
         length = PREFIXES[len(splits)] if len(splits) < len(PREFIXES) else None
-        last = F.when(split_before, F.col("key") if length is None else F.substring("key", 1, length))
+        last = F.when(split_before, _prefix(length))
         bucket = last if bucket is None else F.coalesce(bucket, last)
-    rows = rows.select("id", "key", bucket.alias("bucket"))
+    digest = [F.col(f"p{len(splits) - 1}").alias("digest")] if whole else []
+    rows = rows.select("id", "key", bucket.alias("bucket"), *digest)
 
     cold = rows.where(F.col("bucket").isNotNull()) if whole else rows
     counted = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_buckets(facts_only), "keep_id long, rec_id long, n_copies long")
     if not whole:
         return counted
-    hot = rows.where(F.col("bucket").isNull()).select("key", "id").distinct()
-    facts = hot.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))  # at most rows / cap keys
+    hot = rows.where(F.col("bucket").isNull()).select("digest", "id").distinct()
+    facts = hot.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))  # at most rows / cap digests
     if facts_only:
         return counted.unionByName(facts.select("keep_id", F.col("keep_id").alias("rec_id"), "n_copies"))
-    return counted.unionByName(hot.join(F.broadcast(facts), "key").select("keep_id", F.col("id").alias("rec_id"), "n_copies"))
+    return counted.unionByName(hot.join(F.broadcast(facts), "digest").select("keep_id", F.col("id").alias("rec_id"), "n_copies"))
