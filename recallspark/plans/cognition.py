@@ -234,7 +234,39 @@ ev AS (SELECT id, predicate, contains(c, a) AS exact, len(list_filter(string_spl
   len(list_filter(regexp_extract_all(an, '[a-z]{{3,}}'), lambda w: w NOT IN ({_sql(evaluate.EVAL_STOP_WORDS)}) AND contains(cn, w))) > 0 AS token,
   len(list_filter(string_split_regex(an, '\s+'), lambda w: (regexp_matches(w, '[0-9]') OR length(w) >= 3) AND contains(c, w))) > 0 AS numeric FROM aj)"""
 
+_COUNTED = "['friends', 'tickets', 'and', 'festivals', 'there']"
+_SAID = r"list_transform(flatten(list_transform(string_split(content, chr(10)), lambda t: string_split_regex(t, '[.!?]\s+'))), lambda s: lower(s))"
+_WORDS6 = r"array_to_string((list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''))[1:6], ' ')"
+
 ORACLES = {
+    "agg_answers": rf"""WITH {_MONEYS}, u AS (SELECT DISTINCT chunk_id, round(v, 2) AS v FROM mo),
+        wk AS (SELECT DISTINCT chunk_id, round(v, 2) AS v FROM (
+          SELECT chunk_id, CAST(unnest(regexp_extract_all(lower(content), '([0-9]+(?:\.[0-9]+)?)\s*(?:weeks?)', 1)) AS DOUBLE) AS v
+          FROM (SELECT chunk_id, unnest(string_split(content, chr(10))) AS content FROM ck)) WHERE NOT v BETWEEN 1900 AND 2100),
+        sm AS (SELECT chunk_id, 0 AS q, count(*) AS n, sum(v) AS total FROM u GROUP BY chunk_id UNION ALL SELECT chunk_id, 3, count(*), sum(v) FROM wk GROUP BY chunk_id),
+        tm AS (SELECT chunk_id, flatten(list_transform(string_split(content, chr(10)), lambda t: list_concat(regexp_extract_all(t, '{answers.CLOCK}', 1), regexp_extract_all(t, '{answers.DAY}', 1)))) AS f FROM ck),
+        tv AS (SELECT chunk_id, lower(trim(unnest(f))) AS x, generate_subscripts(f, 1) AS i FROM tm),
+        tc AS (SELECT chunk_id, x, count(*) AS n, min(i) AS i FROM tv GROUP BY ALL),
+        al AS (
+          SELECT chunk_id, q, CASE WHEN q = 0 THEN '$' ELSE '' END || CASE WHEN total = floor(total) THEN CAST(CAST(total AS BIGINT) AS VARCHAR)
+              WHEN q = 0 THEN printf('%.2f', total) ELSE printf('%.1f', total) END || CASE WHEN q = 0 THEN '' ELSE ' weeks' END AS answer,
+            least(CAST(0.8 AS DOUBLE), CAST(0.4 AS DOUBLE) + CAST(0.1 AS DOUBLE) * n) AS confidence FROM sm
+          UNION ALL SELECT chunk_id, 1, '$' || CAST(CAST(round_even(max(v), 0) AS BIGINT) AS VARCHAR), 0.6 FROM mo GROUP BY chunk_id
+          UNION ALL SELECT chunk_id, 2, x, 0.5 FROM tc QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, i) = 1)
+        SELECT chunk_id, [{', '.join(f"'{x}'" for x in QUESTIONS)}][q + 1] AS question, answer, round(confidence, 6) AS confidence, confidence >= CAST(0.6 AS DOUBLE) AS direct FROM al""",
+    "agg_count_optin": rf"""WITH ck AS (SELECT DISTINCT id AS chunk_id, content FROM chunks WHERE content IS NOT NULL),
+        ab AS (SELECT chunk_id, list_filter({_SAID}, lambda s: len(list_filter({_COUNTED}, lambda n: contains(s, n))) > 0) AS a FROM ck),
+        nm AS (SELECT chunk_id, a, list_filter(list_transform(flatten(list_transform(a, lambda s: regexp_extract_all(s, '\b([0-9]{{1,2}})\s+[a-z]+s?\b', 1))), lambda x: CAST(x AS INTEGER)), lambda n: n BETWEEN 1 AND 20) AS small,
+          list_distinct(list_transform(a, lambda s: {_WORDS6})) AS prints FROM ab)
+        SELECT chunk_id, CAST(CASE WHEN len(small) > 0 THEN list_sum(small) ELSE len(prints) END AS VARCHAR) AS answer, CAST(CASE WHEN len(small) > 0 THEN 0.65 ELSE 0.5 END AS DOUBLE) AS confidence
+        FROM nm WHERE len(small) > 0 OR len(prints) > 0""",
+    "summary_facts": f"""WITH {TURNS},
+        rc AS (SELECT scope_id, coalesce(speaker, '') AS content, row_number() OVER (PARTITION BY scope_id ORDER BY turn_id DESC) AS back FROM t QUALIFY back <= 5),
+        op AS (SELECT scope_id, left(content, 50) AS subject, max(back) AS back FROM rc WHERE content <> '' GROUP BY ALL),
+        st AS (SELECT subject, predicate, object, min(id) AS id FROM triples WHERE subject IS NOT NULL GROUP BY ALL),
+        hi AS (SELECT scope_id, subject, predicate, object, row_number() OVER (PARTITION BY scope_id ORDER BY back DESC, predicate NULLS FIRST, id) AS n FROM op JOIN st USING (subject) QUALIFY n <= 5),
+        tx AS (SELECT scope_id, string_agg(concat_ws(' ', subject, predicate, object), '；' ORDER BY n) AS summary FROM hi GROUP BY scope_id)
+        SELECT scope_id, coalesce(summary, '{curiosity.NOTHING}') AS summary FROM (SELECT DISTINCT scope_id FROM t) LEFT JOIN tx USING (scope_id)""",
     "decompose_queries": f"""WITH {TURNS}, {_DECOMPOSE}
         SELECT turn_id, query_type, array_to_string(subs, '|') AS sub_queries, CASE WHEN query_type = 'simple' THEN {_without(understand.QUESTION_WORDS)} ELSE subs[1] END AS primary_query,
           {_TEMPORAL} AS temporal_type, {_TEMPORAL_VALUE} AS temporal_value,

@@ -147,8 +147,20 @@ l2 AS (SELECT c2.* FROM c2 JOIN b2 USING (query_id, pos) WHERE before <= 10),
 h AS (SELECT query_id, dst AS entity, p FROM l1 UNION ALL SELECT query_id, dst, p FROM l2),
 best AS (SELECT query_id, entity, max(p) AS activation FROM h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = h.query_id AND s.node = h.entity) GROUP BY ALL)"""
 
+
+def activated(n: int) -> str:
+    """CTEs that end in aa: query_id, turn_id, activation of the turns of the ``n`` most activated entities."""
+    return f"""{_SPREAD},
+    hh AS (SELECT query_id, src, dst, turn_id, 0 AS hop, pos, edge_id FROM l1 UNION ALL SELECT query_id, src, dst, turn_id, 1, pos, edge_id FROM l2),
+    ff AS (SELECT query_id, dst AS entity, hop, pos, edge_id FROM hh QUALIFY row_number() OVER (PARTITION BY query_id, dst ORDER BY hop, pos, edge_id) = 1),
+    tt AS (SELECT query_id, entity, activation FROM best JOIN ff USING (query_id, entity)
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(activation, 9) DESC, hop, pos, edge_id) <= {n}),
+    oo AS (SELECT DISTINCT query_id, src AS entity, turn_id FROM hh WHERE turn_id IS NOT NULL UNION SELECT query_id, dst, turn_id FROM hh WHERE turn_id IS NOT NULL),
+    aa AS (SELECT query_id, turn_id, max(activation) AS activation FROM tt JOIN oo USING (query_id, entity) GROUP BY ALL)"""
+
+
 # one step per row of a key, with the stored row that came first (1) and the first with another object (2) as state
-_FOLD = """k AS (
+FOLD = """k AS (
   SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY id) AS n FROM (
     SELECT DISTINCT id, subject, predicate, object, CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0.5 ELSE confidence END AS conf,
       coalesce(source = 'human', false) AS human
@@ -173,8 +185,8 @@ s AS (
 f AS (SELECT id, subject, predicate, object, action, target_id, confidence_after FROM s)"""
 
 ORACLES = {
-    "kg_conflict_fold": f"WITH RECURSIVE {_FOLD} SELECT * FROM f",
-    "kg_resolved": f"""WITH RECURSIVE {_FOLD}, e AS (SELECT DISTINCT id, confidence, evidence FROM triples),
+    "kg_conflict_fold": f"WITH RECURSIVE {FOLD} SELECT * FROM f",
+    "kg_resolved": f"""WITH RECURSIVE {FOLD}, e AS (SELECT DISTINCT id, confidence, evidence FROM triples),
         u AS (
           SELECT target_id AS id, max(confidence_after) AS raised, string_agg(coalesce(evidence, ''), ' | ' ORDER BY id) AS more
           FROM f JOIN e USING (id) WHERE action = 'update' GROUP BY target_id)
@@ -195,13 +207,7 @@ ORACLES = {
         SELECT t.subject, t.predicate, t.object, -1 AS depth FROM triples t JOIN x USING (subject, predicate)
         UNION ALL SELECT x.subject, x.predicate, tr.object, tr.depth FROM x JOIN tr ON tr.start = x.subject)
         SELECT subject, predicate, object, min(depth) AS depth FROM z GROUP BY ALL""",
-    "spreading_turns": f"""WITH {_SPREAD},
-        hh AS (SELECT query_id, src, dst, turn_id, 0 AS hop, pos, edge_id FROM l1 UNION ALL SELECT query_id, src, dst, turn_id, 1, pos, edge_id FROM l2),
-        ff AS (SELECT query_id, dst AS entity, hop, pos, edge_id FROM hh QUALIFY row_number() OVER (PARTITION BY query_id, dst ORDER BY hop, pos, edge_id) = 1),
-        tt AS (SELECT query_id, entity, activation FROM best JOIN ff USING (query_id, entity)
-          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(activation, 9) DESC, hop, pos, edge_id) <= 30),
-        oo AS (SELECT DISTINCT query_id, src AS entity, turn_id FROM hh WHERE turn_id IS NOT NULL UNION SELECT query_id, dst, turn_id FROM hh WHERE turn_id IS NOT NULL),
-        aa AS (SELECT query_id, turn_id, round(max(activation), 6) AS activation FROM tt JOIN oo USING (query_id, entity) GROUP BY ALL)
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, turn_id) AS rank FROM aa""",
+    "spreading_turns": f"""WITH {activated(30)}, ar AS (SELECT query_id, turn_id, round(activation, 6) AS activation FROM aa)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, turn_id) AS rank FROM ar""",
     "spreading_activate": f"WITH {_SPREAD} SELECT query_id, entity, round(activation, 6) AS activation FROM best",
 }

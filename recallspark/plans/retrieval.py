@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from recallspark.operators import graph, retrieve, vectors
 from recallspark.operators.ingest import covering, sequenced
 from recallspark.plans import ingest as plan_ingest
-from recallspark.plans.ingest import TURNS, WORDS
+from recallspark.plans.ingest import SEQ, TURNS, WORDS
+from recallspark.plans.knowledge import activated
 from recallspark.sources.tables import table, turns
 
 EVERY = 20
@@ -220,7 +221,41 @@ fs AS (SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score, arg_min(con
   FROM li GROUP BY ALL),
 fu AS (SELECT query_id, id, content, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS rank FROM fs)"""
 
+_SLIST = f"""a15 AS (WITH {activated(15)} SELECT * FROM aa),
+x0 AS (SELECT query_id, turn_id, content, activation FROM a15 JOIN t USING (turn_id) WHERE content <> ''
+  QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY activation DESC, turn_id) = 1),
+x1 AS (SELECT query_id, turn_id, content, round(activation * CAST(0.7 AS DOUBLE), 6) AS confidence FROM x0),
+sl AS (SELECT query_id, 'spread_' || turn_id AS id, content, confidence, 'spreading_activation' AS source,
+    row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, turn_id) AS rank
+  FROM x1 WHERE query_id IN (SELECT query_id FROM qq))"""
+_ALL = _FUSED.replace(
+    "li AS (", "li AS (SELECT query_id, 1 AS li, rank, id, content, source, CAST(1.1 AS DOUBLE) AS w FROM sl UNION ALL ", 1
+)
+_PARENT_TEXT = """pw AS (
+  SELECT turn_id, group_size, seq, scope_id, array_to_string(list(coalesce(content, '')) OVER (PARTITION BY scope_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), chr(10)) AS text
+  FROM s),
+pt AS (SELECT s.turn_id, pw.text AS parent_text FROM s JOIN pw ON pw.scope_id = s.scope_id AND pw.seq = least(s.seq, s.group_size - 7) WHERE s.group_size >= 8)"""
+
 ORACLES = {
+    "spreading_results": f"WITH {TURNS}, {_ASKED}, {_SLIST} SELECT * FROM sl",
+    "recall_all_paths": f"WITH {TURNS}, {_ASKED}, {_SLIST}, {_ALL} SELECT * FROM fu WHERE rank <= 5",
+    "parent_replace": f"""WITH {SEQ}, {_ASKED}, {_SLIST}, {_PARENT_TEXT},
+        w0 AS (SELECT query_id, rank, id, coalesce(parent_text, content) AS content, CASE WHEN parent_text IS NULL THEN source ELSE source || '+parent' END AS source, confidence AS score
+          FROM sl LEFT JOIN pt ON 'spread_' || pt.turn_id = sl.id),
+        w1 AS (SELECT * FROM w0 WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY rank) = 1)
+        SELECT query_id, id, content, source, score, row_number() OVER (PARTITION BY query_id ORDER BY w1.rank) AS rank FROM w1
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w1.rank) <= 5""",
+    "routing_tiers": f"""WITH {TURNS},
+        k AS (SELECT DISTINCT subject FROM triples WHERE id % 20 = 0 AND regexp_full_match(subject, '[A-Za-z]{{2,}}')),
+        m1 AS (SELECT subject, 1 AS tier, id AS pos, subject || coalesce(predicate, '') || coalesce(object, '') AS key, confidence
+          FROM (SELECT DISTINCT id, subject, predicate, object, confidence FROM triples) JOIN k USING (subject)),
+        wd AS (SELECT DISTINCT turn_id, unnest(regexp_extract_all(content, '[A-Za-z]+')) AS subject FROM t WHERE content IS NOT NULL),
+        m4 AS (SELECT subject, 4, turn_id, 'turn ' || turn_id, 0.3::DOUBLE FROM wd JOIN k USING (subject) QUALIFY row_number() OVER (PARTITION BY subject ORDER BY turn_id) <= 10),
+        n1 AS (SELECT subject FROM m1 GROUP BY subject HAVING count(*) >= 10),
+        al AS (SELECT * FROM m1 UNION ALL SELECT * FROM m4 WHERE subject NOT IN (SELECT subject FROM n1)),
+        fi AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY subject, key ORDER BY tier, pos) = 1)
+        SELECT subject, tier, key, round(confidence, 6) AS confidence, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC NULLS LAST, tier, pos) AS rank
+        FROM fi QUALIFY rank <= 10""",
     "bm25_stats": f"WITH {_DOCS}, {_BM} SELECT term, df, round(idf, 6) AS idf FROM df",
     "bm25_topk_docs": f"WITH {TURNS}, {_ASKED}, {_DOCS}, {_BM}, {_top(10)} SELECT * FROM bm",
     "bm25_topk_turns": f"WITH {TURNS}, {_ASKED}, {_TURNDOCS}, {_BM}, {_top(15)} SELECT * FROM bm",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.plans.ingest import SEQ
+from recallspark.plans.knowledge import FOLD
 from recallspark.streaming import jobs
 
 
@@ -42,6 +43,7 @@ def stream_conflicts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_event_windows, stream_sessions, stream_first_deliveries, stream_chunks, stream_conflicts)}
 
 ORACLES = {
+    "stream_conflicts": f"WITH RECURSIVE {FOLD} SELECT id, subject, predicate, object, action, target_id FROM f",
     "stream_event_windows": """SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
