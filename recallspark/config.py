@@ -14,6 +14,7 @@ class EngineConfig:
     working_memory: int = 10
     use_bm25: bool = True
     use_spreading: bool = True
+    use_vectors: bool = True
     use_reranker: bool = False
     use_parents: bool = False
     use_decomposition: bool = False

@@ -11,7 +11,7 @@ from recallspark.config import EngineConfig
 from recallspark.functions.answers import aggregate_answer
 from recallspark.functions.text import entities
 from recallspark.functions.understand import decompose
-from recallspark.operators import extract, graph, ingest, kg, retrieve
+from recallspark.operators import extract, graph, ingest, kg, retrieve, vectors
 
 
 @dataclass
@@ -63,20 +63,28 @@ class MemoryEngine:
         made = ingest.chunks(seq, c.chunk_size).select("scope_id", "start_seq", F.col("start_turn_id").alias("chunk_id"), "content")
         of_turn = placed.join(made.drop("content"), ["scope_id", "start_seq"]).select("turn_id", "chunk_id")
         found = retrieve.entity_search(queries, triples)
-        lists = [retrieve.entity_results(found, self.turns, of_turn, made.select("chunk_id", "content"), triples).select(*cols).withColumn("list_idx", F.lit(0))]
+        by_graph = retrieve.entity_results(found, self.turns, of_turn, made.select("chunk_id", "content"), triples)
+        lists = [by_graph.select(*cols).withColumn("list_idx", F.lit(0))]
         if c.use_spreading:
             seeds = queries.select("query_id", F.posexplode(entities(F.col("query"))).alias("pos", "entity"))
             turns = graph.activated_turns(*graph.activate(seeds, graph.adjacency(triples), c.decay, c.max_hops, c.threshold, c.budget), max_results=15)
             text = turns.join(self.turns.select("turn_id", "content"), "turn_id").select("query_id", F.concat(F.lit("spread_"), "turn_id").alias("id"), "content", "activation", "turn_id")
             ranked = retrieve.ranked(text, "query_id", [F.desc(F.round("activation", 6)), F.col("turn_id")]).withColumn("source", F.lit("spreading_activation"))
             lists.append(ranked.select(*cols).withColumn("list_idx", F.lit(1)))
+        if c.use_vectors:
+            close = vectors.chunk_semantic(queries, by_graph)
+            lists.append(close.select(*cols).withColumn("list_idx", F.lit(2)))
+            parts = queries.select("query_id", F.posexplode(F.slice(decompose(F.col("query"))["sub_queries"], 1, 2)).alias("pos", "query")) if c.use_decomposition else queries.withColumn("pos", F.lit(0))
+            for pos in (0, 1) if c.use_decomposition else (0,):
+                near = vectors.recent_vector_search(parts.where(F.col("pos") == pos), self.turns, queries.count())
+                lists.append(near.select(*cols).withColumn("list_idx", F.lit(3 + pos)))
         if c.use_bm25:
             docs = self.turns.where("content IS NOT NULL").select(F.col("turn_id").alias("id"), F.col("content").alias("text"))
             asked = queries
             if c.use_decomposition:
                 asked = queries.select("query_id", F.explode(F.slice(decompose(F.col("query"))["sub_queries"], 1, 2)).alias("query"))
             hits = retrieve.bm25_search(asked, docs, 15).join(docs, "id")
-            lists.append(hits.select("query_id", "rank", F.col("id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("bm25").alias("source")).withColumn("list_idx", F.lit(4)))
+            lists.append(hits.select("query_id", "rank", F.col("id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("bm25").alias("source")).withColumn("list_idx", F.lit(5)))
         every = lists[0]
         for x in lists[1:]:
             every = every.unionByName(x)

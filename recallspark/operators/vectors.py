@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -74,3 +74,40 @@ def hash_embed(text: Column) -> Column:
             yield pd.Series(out)
 
     return embed(text)
+
+
+Embedder = Callable[[Column], Column]
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
+
+
+def chunk_semantic(queries: DataFrame, candidates: DataFrame, limit: int = 15, embed: Embedder = hash_embed) -> DataFrame:
+    """query_id, id, content, confidence, source, rank: candidates (query_id, id, content, confidence) by 0.7 x similarity + 0.3 x confidence.
+
+    Candidates keep their ids; ties go to the smaller id. Each distinct text is embedded once, its first 512 characters as the
+    embedding's input. Candidates and queries without text take no part.
+    """
+    head = F.substring("content", 1, 512)
+    some = candidates.where("content <> ''").withColumn("head", head)
+    texts = some.select("head").distinct().withColumn("text_vec", embed(F.col("head")))
+    asked = queries.where("query <> ''").select("query_id", embed(F.col("query")).alias("query_vec"))
+    conf = F.round(0.7 * _dot("query_vec", "text_vec") + 0.3 * F.coalesce("confidence", F.lit(0.0)), 6)
+    scored = some.join(texts, "head").join(asked, "query_id").select("query_id", "id", "content", conf.alias("confidence"), F.lit("chunk_semantic").alias("source"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def recent_vector_search(queries: DataFrame, turns: DataFrame, n_queries: int, k: int = 10, recent: int = 200, embed: Embedder = hash_embed) -> DataFrame:
+    """query_id, id, content, confidence, source, rank: the ``k`` most similar of the ``recent`` last turns (turn_id, content).
+
+    Blank turns count among the last ones but are not found; a turn's first 256 characters are embedded; ties go to the later turn.
+    """
+    last = turns.select("turn_id", "content").orderBy(F.desc("turn_id")).limit(recent).where("trim(content) <> ''")
+    base = last.select((-F.col("turn_id")).alias("id"), embed(F.substring("content", 1, 256)).alias("vec"))
+    asked = queries.where("query <> ''").select(F.col("query_id").alias("id"), embed(F.col("query")).alias("vec"))
+    found = exact_topk(asked, base, k, n_queries, recent).withColumn("turn_id", -F.col("id")).drop("id")
+    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") + 1) / 2))
+    named = found.join(F.broadcast(last), "turn_id")  # at most ``recent`` turns
+    return named.select("query_id", F.concat(F.lit("vec_"), "turn_id").alias("id"), "content", conf.alias("confidence"), F.lit("vector").alias("source"), "rank")

@@ -148,6 +148,17 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return e.select("turn_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"), F.round(F.element_at("v", 1), 6).alias("v1"))
 
 
+def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword-graph results by similarity to the question."""
+    return vectors.chunk_semantic(questions(spark, d), _entity_list(spark, d))
+
+
+def vector_recent_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The last 200 turns by similarity to each question."""
+    q = questions(spark, d)
+    return vectors.recent_vector_search(q, turns(spark, d), q.count())
+
+
 def routing_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Asked with a subject: recent turns of the scopes, exact facts, then raw text, each tier only while fewer than 10 were found."""
     t = table(spark, d, "triples")
@@ -167,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, bm25_topk_docs, bm25_topk_turns, keyword_idf, entity_graph_search, entity_results, spreading_results, recall_hybrid, recall_all_paths,
-        rerank_heuristic, parent_replace, vector_topk, triple_vector_similarity, hash_embed, routing_tiers,
+        rerank_heuristic, parent_replace, vector_topk, triple_vector_similarity, hash_embed, chunk_semantic, vector_recent_turns, routing_tiers,
     )
 }
 

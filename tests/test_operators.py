@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallspark.engine import MemoryEngine
 from recallspark.functions import answers, gate, understand
-from recallspark.operators import evaluate, extract, graph, ingest, kg, layers, ordering, retrieve
+from recallspark.operators import evaluate, extract, graph, ingest, kg, layers, ordering, retrieve, vectors
 from recallspark.sources import dialogues
 from recallspark.streaming import jobs
 
@@ -201,3 +201,31 @@ def test_dialogue_files(spark, tmp_path):
     s = spark.createDataFrame([("q1", [[("user", "hi")], [("bot", "yo")]], ["d1", "d2"])], "question_id string, haystack_sessions array<array<struct<role:string,content:string>>>, haystack_dates array<string>")
     assert {(r.session_pos, r.session_time, r.content) for r in dialogues.haystack_turns(s).collect()} == {(0, "d1", "hi"), (1, "d2", "yo")}
     assert evaluate.remaining(s, s.select("question_id"), "question_id").count() == 0
+
+
+def embedding(text):
+    import hashlib
+
+    import numpy as np
+
+    v = np.random.RandomState(int(hashlib.md5(text.encode()).hexdigest(), 16) % 2**32).randn(384)
+    return v / np.linalg.norm(v)
+
+
+def test_vector_searches_equal_brute_force(spark):
+    texts = [(1, "old"), (2, "the lake"), (3, None), (4, "  "), (5, "a tower"), (6, "the lake"), (7, "x" * 300), (8, "x" * 256)]
+    turns = spark.createDataFrame(texts, "turn_id long, content string")
+    q = spark.createDataFrame([(1, "the lake"), (2, "x" * 256), (3, ""), (4, None)], "query_id long, query string")
+    got = vectors.recent_vector_search(q, turns, 4, k=3, recent=7).collect()
+    want = set()
+    for i, text in ((1, "the lake"), (2, "x" * 256)):
+        near = sorted(((round(float(embedding(text) @ embedding(c[:256])), 6), t) for t, c in texts[1:] if c and c.strip()), reverse=True)[:3]
+        want |= {(i, f"vec_{t}", n + 1, round((s + 1) / 2, 5)) for n, (s, t) in enumerate(near)}
+    assert {(r.query_id, r.id, r.rank, round(r.confidence, 5)) for r in got} == want
+    assert [r.id for r in sorted(got, key=lambda r: (r.query_id, r.rank))][:2] == ["vec_6", "vec_2"]  # of equals the later turn first
+    assert vectors.recent_vector_search(q, turns.limit(0), 4).count() == 0
+
+    found = spark.createDataFrame([(1, "b", "a tower", 0.9), (1, "a", "the lake", 0.5), (1, "c", "the lake", 0.5), (1, "d", None, 0.9), (2, "a", "old", None)], "query_id long, id string, content string, confidence double")
+    ranked = {(r.query_id, r.id): (r.rank, r.confidence) for r in vectors.chunk_semantic(q, found).collect()}
+    assert ranked[1, "a"] == (1, 0.85) and ranked[1, "c"] == (2, 0.85) and ranked[1, "b"][0] == 3
+    assert abs(ranked[2, "a"][1] - 0.7 * float(embedding("x" * 256) @ embedding("old"))) < 1e-5 and len(ranked) == 4
