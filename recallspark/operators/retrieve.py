@@ -160,9 +160,8 @@ def entity_results(found: DataFrame, turns: DataFrame, chunk_of_turn: DataFrame,
         F.least(F.lit(0.9), F.when(in_chunk, 0.5).otherwise(0.4) + F.col("score") * 0.4).alias("confidence"),
         F.when(in_chunk, "entity_graph").otherwise("entity_turn").alias("source"),
     ).where("content IS NOT NULL")
-    first = made.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "content").orderBy("rank"))).where("n = 1").drop("n", "rank")
-    order = made.groupBy("query_id", "id", "content").agg(F.min("rank").alias("old"))
-    return ranked(first.join(order, ["query_id", "id", "content"]), "query_id", [F.col("old")]).drop("old")
+    first = made.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "content").orderBy("rank"))).where("n = 1").drop("n")
+    return ranked(first.withColumnRenamed("rank", "old"), "query_id", [F.col("old")]).drop("old")
 
 
 # ---- fusion and after ----
@@ -180,8 +179,8 @@ def fuse(lists: DataFrame, k: int | None = None) -> DataFrame:
 
     A list weighs by the source of its first element. Ties go to the list, then the rank, where the id came first.
     """
-    head = lists.where("rank = 1").select("query_id", "list_idx", list_weight(F.col("source")).alias("w"))
-    parts = lists.join(head, ["query_id", "list_idx"])
+    head = F.max(F.when(F.col("rank") == 1, F.col("source"))).over(Window.partitionBy("query_id", "list_idx"))
+    parts = lists.withColumn("w", list_weight(head))
     place = F.struct("list_idx", "rank")
     fused = parts.groupBy("query_id", "id").agg(
         F.round(F.sum(F.col("w") / (RRF_K + F.col("rank"))), 9).alias("score"), F.min_by("content", place).alias("content"),
