@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recallspark.shared import materialize
+
 #: Vectors of one block on either side; a task scores one block of queries against one block of the base.
 BLOCK = 8192
 EMBED_DIM = 384
@@ -90,7 +92,7 @@ def chunk_semantic(queries: DataFrame, candidates: DataFrame, limit: int = 15, e
     embedding's input. Candidates and queries without text take no part.
     """
     head = F.substring("content", 1, 512)
-    some = candidates.where("content <> ''").withColumn("head", head)
+    some = materialize(candidates.where("content <> ''").select("query_id", "id", "content", "confidence", head.alias("head")), "candidates")  # read twice
     texts = some.select("head").distinct().withColumn("text_vec", embed(F.col("head")))
     asked = queries.where("query <> ''").select("query_id", embed(F.col("query")).alias("query_vec"))
     conf = F.round(0.7 * _dot("query_vec", "text_vec") + 0.3 * F.coalesce("confidence", F.lit(0.0)), 6)
