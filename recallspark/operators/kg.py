@@ -95,13 +95,13 @@ def conflict_decisions(triples: DataFrame) -> DataFrame:
 
     A newcomer contradicts the first stored row of its (subject, predicate), or, if it repeats that row's object, the first
     one stored with another object. Both are found by aggregation, and the confidence that each has when a newcomer
-    arrives from the few rows that raise it; so a key of any size is shared by many tasks. Triples with a null in one of
+    arrives from the few rows that raise it; so a key of any size is shared by many tasks. Triples with a null in id or one of
     the three parts are left out, a null or NaN confidence is the default one, repeated rows count once, and an empty table gives
     no rows.
     """
     conf = F.when(F.col("confidence").isNull() | F.isnan("confidence"), DEFAULT_CONFIDENCE).otherwise(F.col("confidence").cast("double"))
     human = F.coalesce(F.col("source") == "human", F.lit(False))
-    rows = triples.where("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
+    rows = triples.where("id IS NOT NULL AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
     rows = rows.select("id", *KEY, "object", conf.alias("conf"), human.alias("human")).distinct()
     total = triples.count()
     hot, salts = F.broadcast(materialize(heavy_keys(triples, KEY, HOT_SHARE, total).withColumn("hot", F.lit(True)), "hot")), _salts(total)

@@ -89,6 +89,17 @@ def test_conflict_fold_equals_a_naive_fold_in_batch_and_stream(spark, tmp_path):
     assert {r.id: (r.action, r.target_id) for r in streamed.collect()} == want
 
 
+def test_conflicts_of_odd_rows(spark):
+    """Nulls are left out, repeats count once, names of other columns do not matter, empty in, empty out."""
+    x = "x" * 100_000
+    rows = [(1, "s", "p", "", None, None, 7, "h"), (1, "s", "p", "", None, None, 8, "h"), (2, "s", "p", x, float("nan"), "human", 0, "h"), (3, None, "p", "o", 1.0, None, 0, "h"),
+            (4, "s", None, "o", 1.0, None, 0, "h"), (5, "s", "p", None, 1.0, None, 0, "h"), (None, "s", "p", "o", 1.0, None, 0, "h"), (6, "", "", "", 0.5, None, 0, "h")]
+    t = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, confidence double, source string, salt int, hot string")
+    got = {(r.id, r.action, r.target_id, r.confidence_after) for r in kg.conflict_decisions(t).collect()}
+    assert got == {(1, "insert", None, None), (2, "update", 1, 0.5), (6, "insert", None, None)}
+    assert kg.conflict_decisions(t.limit(0)).count() == 0
+
+
 def test_float_edge_of_the_gap():
     assert kg.decide(0.7, None, 0.4, None) == "keep_both"
     assert kg.decide(0.9, None, 0.4, None) == "update"
