@@ -10,7 +10,7 @@ from recallspark.llm.mixing import mixture, share_report
 from recallspark.llm.neighbours import IndexParams, neighbours
 from recallspark.llm.packing import fill_report, pack
 from recallspark.llm.payloads import parse_payloads
-from recallspark.llm.reading import calibrate, features, levels
+from recallspark.llm.reading import all_levels, calibrate, features, levels, script
 from recallspark.llm.terms import term_frequency
 from recallspark.llm.tokens import token_count
 from recallspark.shared import materialize
@@ -75,13 +75,23 @@ def _english(spark: SparkSession, d: str) -> DataFrame:
     return features(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
 
 
-def _levels(spark: SparkSession, d: str) -> DataFrame:
-    feats = materialize(_english(spark, d), "reading")
-    return levels(feats, calibrate(feats, table(spark, d, "doc_grades")))
+def _written(spark: SparkSession, d: str, writing: str) -> DataFrame:
+    """Features of all documents of a script, whatever their tag."""
+    docs = table(spark, d, "documents").where(script(F.col("text"), F.col("lang")) == writing)
+    return materialize(features(docs.select("doc_id", "text"), writing=writing), writing)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _levels(spark, d).select("doc_id", "band")
+    feats = _written(spark, d, "latin")
+    english = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    return levels(feats, calibrate(feats, table(spark, d, "doc_grades"))).join(english, "doc_id", "left_semi").select("doc_id", "band")
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every document, and what it rests on."""
+    latin = _written(spark, d, "latin")
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return all_levels(docs, latin, _written(spark, d, "han"), calibrate(latin, table(spark, d, "doc_grades")))
 
 
 def p8_features(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +100,10 @@ def p8_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Texts and mean grade by source and band."""
-    named = table(spark, d, "documents").select("doc_id", "source")
-    return _levels(spark, d).join(named, "doc_id").groupBy("source", "band").agg(F.count("*").alias("n_docs"), F.round(F.avg("grade"), 3).alias("avg_grade"))
+    """Texts, mean grade and mean coverage rank by source, language, script, band and basis; every document is counted."""
+    named = table(spark, d, "documents").groupBy("doc_id").agg(F.min("source").alias("source"))
+    per = p8_levels(spark, d).join(named, "doc_id").groupBy("source", "language", "script", "band", "basis")
+    return per.agg(F.count("*").alias("n_docs"), F.round(F.avg("grade"), 3).alias("avg_grade"), F.round(F.avg("coverage_rank"), 1).alias("avg_rank"))
 
 
 QUERIES = {
@@ -102,6 +113,7 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_features": p8_features,
+    "p8_levels": p8_levels,
     "p8_profile": p8_profile,
     "p1_found": p1_found,
     "p1_term_frequency": p1_term_frequency,

@@ -2,7 +2,8 @@
 
 Method: the words of the corpus are ranked by frequency; a document's coverage rank is the size of the smallest
 vocabulary, most frequent words first, that covers a fixed share of its words. Coverage rank and sentence
-complexity are calibrated against the grades by least squares, whose sums are one SQL aggregation.
+complexity are calibrated against the grades by least squares, whose sums are one SQL aggregation. Texts in Latin letters
+and texts in Han characters have rankings of their own; human grades exist for the former only.
 """
 
 from __future__ import annotations
@@ -16,18 +17,33 @@ from pyspark.sql.window import Window
 COVER = 0.5
 #: The most frequent words are looked up by broadcast (bounded), all others by a shuffled join.
 TOP_WORDS = 20_000
-#: Shorter texts get features but no level.
+#: Shorter texts do not calibrate and are no part of ``levels``; ``all_levels`` marks theirs as ``short``.
 LEAST_WORDS = 40
 #: Grades up to EASY are easy, up to MIDDLE middle, above hard: the cuts lie half-way between whole grades.
 EASY, MIDDLE = 5.5, 9.5
 
 WORD = "[a-z]+(?:'[a-z]+)?"
+#: Script: what a word is, and what a sentence must hold.
+SCRIPTS = {"latin": (WORD, "[A-Za-z]"), "han": ("[一-龥]", "[一-龥]")}
 FEATURES = ("a", "s", "w")
 TERMS = ("1.0D", "a", "s", "w", "a * a", "s * s", "w * w", "a * s", "a * w", "s * w")
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+def _words(text: Column, word: str = WORD) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
+
+
+def language(lang: Column) -> Column:
+    """The language of a tag whatever its spelling: EN, en-US and en_GB are en, cmn is zh."""
+    base = F.lower(F.element_at(F.split(F.trim(lang), "[-_]"), 1))
+    return F.when(base.isin("cmn", "zho", "chi"), "zh").when(base == "eng", "en").otherwise(base)
+
+
+def script(text: Column, lang: Column) -> Column:
+    """latin or han, whichever has more words in the text (null if neither has any): tags may be missing or wrong. A text tagged as English is latin if it has a Latin word."""
+    n_latin, n_han = F.size(_words(text)), F.size(_words(text, SCRIPTS["han"][0]))
+    english = F.coalesce(language(lang) == "en", F.lit(False))
+    return F.when((n_latin > 0) & (english | (n_latin >= n_han)), "latin").when(n_han > 0, "han")
 
 
 def word_ranks(doc_words: DataFrame) -> DataFrame:
@@ -39,21 +55,22 @@ def word_ranks(doc_words: DataFrame) -> DataFrame:
     return totals.join(steps.select("total", (above + 1).alias("rnk")), "total").select("word", "rnk")
 
 
-def features(docs: DataFrame, cover: float = COVER) -> DataFrame:
+def features(docs: DataFrame, cover: float = COVER, writing: str = "latin") -> DataFrame:
     """doc_id, n_words, n_blank_words, coverage_rank, words_per_sentence, letters_per_word.
 
     ``docs`` has doc_id and text; their words make up the frequency ranking, over whole texts. Words are runs of a-z with an
     inner apostrophe; ``n_blank_words`` counts pieces between white space. Sentences end at . ! ? (also full-width) or a line end and
-    hold a letter. Null, empty and wordless texts get no row. A row given twice counts once; several texts of one doc_id are one document.
+    hold a letter. With ``writing`` "han", words are single Han characters. Null, empty and wordless texts get no row. A row given twice counts once; several texts of one doc_id are one document.
 
     Texts are matched where they lie and their words placed by doc_id once; counting, summing and the coverage of a
     document all reuse that placement.
     """
+    word, letter = SCRIPTS[writing]
     cuts = F.split("text", "[.!?。！？\n]+")
     matched = docs.select(
         "doc_id",
-        F.array_join(_words(F.col("text")), " ").alias("words"),
-        F.size(F.filter(cuts, lambda x: x.rlike("[A-Za-z]"))).alias("n_sentences"),
+        F.array_join(_words(F.col("text"), word), " ").alias("words"),
+        F.size(F.filter(cuts, lambda x: x.rlike(letter))).alias("n_sentences"),
         F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_blank_words"),
     ).where("words <> ''")
     shape = matched.repartition("doc_id").distinct()
@@ -69,7 +86,7 @@ def features(docs: DataFrame, cover: float = COVER) -> DataFrame:
         F.min(F.when(F.col("upto") >= F.col("all") * F.lit(cover), F.col("rnk"))).alias("coverage_rank"),
         F.max("all").alias("n_words"),
     )
-    blanks = F.length(F.translate("words", "abcdefghijklmnopqrstuvwxyz'", ""))  # one between two words
+    blanks = F.length("words") - F.length(F.translate("words", " ", ""))  # one between two words
     sizes = shape.groupBy("doc_id").agg(
         F.sum("n_blank_words").alias("n_blank_words"), F.sum("n_sentences").alias("n_sentences"), F.sum(blanks + 1).alias("n"), F.sum(F.length("words") - blanks).alias("letters")
     )
@@ -116,3 +133,22 @@ def levels(feats: DataFrame, coefficients: list[float] | None) -> DataFrame:
     grade = F.expr(" + ".join(f"({c!r}D) * ({t})" for c, t in zip(coefficients, TERMS, strict=True)))
     band = F.when(F.col("grade") < EASY, "easy").when(F.col("grade") < MIDDLE, "middle").otherwise("hard")
     return long.select("doc_id", grade.alias("grade")).withColumn("band", band)
+
+
+def all_levels(docs: DataFrame, latin: DataFrame, han: DataFrame, coefficients: list[float] | None) -> DataFrame:
+    """doc_id, language, script, n_words, coverage_rank, words_per_sentence, grade, band, basis: one row for each doc_id of ``docs`` (doc_id, lang).
+
+    ``latin`` and ``han`` are the features of the texts of either script. ``basis`` says what the level rests on: ``calibrated``; ``short``, the same formula
+    below LEAST_WORDS words; ``no scale``, a Han text, ranked among its own kind but without human grades to calibrate on; ``no words``.
+    """
+    grade = F.lit(None).cast("double")
+    if coefficients is not None:
+        grade = F.expr(" + ".join(f"({c!r}D) * ({t})" for c, t in zip(coefficients, TERMS, strict=True)))
+    basis = F.when(F.col("n_blank_words") >= LEAST_WORDS, "calibrated").otherwise("short") if coefficients is not None else F.lit("no scale")
+    cols = ["doc_id", "script", "n_words", "coverage_rank", "words_per_sentence", "grade", "basis"]
+    a = _terms(latin).withColumns({"script": F.lit("latin"), "grade": grade, "basis": basis}).select(*cols)
+    b = han.withColumns({"script": F.lit("han"), "grade": F.lit(None).cast("double"), "basis": F.lit("no scale")}).select(*cols)
+    named = docs.groupBy("doc_id").agg(F.min(language(F.col("lang"))).alias("language"))
+    band = F.when(F.col("grade") < EASY, "easy").when(F.col("grade") < MIDDLE, "middle").when(F.col("grade").isNotNull(), "hard")
+    rows = named.join(a.unionByName(b), "doc_id", "left").withColumns({"band": band, "basis": F.coalesce("basis", F.lit("no words"))})
+    return rows.select("doc_id", "language", "script", "n_words", "coverage_rank", "words_per_sentence", "grade", "band", "basis")

@@ -16,7 +16,7 @@ from recallspark.llm.mixing import mixture, share_out, share_report
 from recallspark.llm.neighbours import IndexParams, neighbours
 from recallspark.llm.packing import LevelArray, fill_report, pack
 from recallspark.llm.payloads import parse_payloads
-from recallspark.llm.reading import calibrate, features, levels
+from recallspark.llm.reading import calibrate, features, language, levels
 from recallspark.llm.terms import term_frequency
 from recallspark.llm.tokens import token_count
 from recallspark.plans.compare import difference
@@ -295,6 +295,24 @@ def test_reading_held_out_accuracy(spark):
     assert len(hits) > 20 and sum(hits) >= 0.95 * len(hits)
 
 
+def test_every_document_gets_a_level_row(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["p8_levels"](spark, small).collect()}
+    assert set(got) == {r.doc_id for r in docs.collect()}
+    for r in docs.collect():
+        words, han = re.findall("[a-z]+(?:'[a-z]+)?", (r.text or "").lower()), re.findall("[一-龥]", r.text or "")
+        x = got[r.doc_id]
+        if not words and not han:
+            assert (x.script, x.grade, x.basis) == (None, None, "no words")
+        elif len(han) > len(words):
+            assert (x.script, x.grade, x.basis, x.n_words) == ("han", None, "no scale", len(han)) and x.coverage_rank >= 1
+        else:
+            assert x.script == "latin" and x.grade is not None and x.band and x.basis == ("calibrated" if len(r.text.split()) >= 40 else "short")
+    assert sum(r.n_docs for r in queries.QUERIES["p8_profile"](spark, small).collect()) == len(got)
+    tags = spark.createDataFrame([("EN",), ("en-US",), ("en_GB",), ("cmn",), ("zh-CN",), ("de",), (None,)], "lang string")
+    assert [r.x for r in tags.select(language(F.col("lang")).alias("x")).collect()] == ["en", "en", "en", "zh", "zh", "de", None]
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("天" * 60_000,)], "t string")
     assert [r.n for r in df.select(token_count(F.col("t")).alias("n")).collect()] == [2, 0, 0, 60_000]
