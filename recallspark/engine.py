@@ -80,10 +80,10 @@ class MemoryEngine:
                 lists.append(near.select(*cols).withColumn("list_idx", F.lit(3 + pos)))
         if c.use_bm25:
             docs = self.turns.where("content IS NOT NULL").select(F.col("turn_id").alias("id"), F.col("content").alias("text"))
-            asked = queries
+            asked = queries.withColumn("pos", F.lit(0))
             if c.use_decomposition:
-                asked = queries.select("query_id", F.explode(F.slice(decompose(F.col("query"))["sub_queries"], 1, 2)).alias("query"))
-            hits = retrieve.bm25_search(asked, docs, 15).join(docs, "id")
+                asked = queries.select("query_id", F.posexplode(F.slice(decompose(F.col("query"))["sub_queries"], 1, 2)).alias("pos", "query"))
+            hits = retrieve.bm25_parts(asked, docs, 15).join(docs, "id")
             lists.append(hits.select("query_id", "rank", F.col("id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("bm25").alias("source")).withColumn("list_idx", F.lit(5)))
         every = lists[0]
         for x in lists[1:]:

@@ -83,6 +83,13 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked(scores.where("score > 0"), "query_id", [F.desc("score"), F.col("id")], k)
 
 
+def bm25_parts(parts: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank from (query_id, pos, query) with pos 0 or 1: each sub-query's best ``k``, the lists one after the other; an id may occur in both."""
+    asked = parts.select((F.col("query_id") * 2 + F.col("pos")).alias("query_id"), "query")
+    hits = bm25_search(asked, docs, k).select(F.floor(F.col("query_id") / 2).cast("long").alias("query_id"), F.pmod("query_id", F.lit(2)).alias("pos"), "id", "score", F.col("rank").alias("old"))
+    return ranked(hits, "query_id", [F.col("pos"), F.col("old")]).select("query_id", "id", "score", "rank")
+
+
 # ---- keywords over the triples ----
 
 

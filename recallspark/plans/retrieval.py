@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recallspark.functions.understand import decompose
 from recallspark.operators import graph, retrieve, vectors
 from recallspark.operators.ingest import covering, sequenced
 from recallspark.plans import ingest as plan_ingest
 from recallspark.plans.ingest import SEQ, TURNS, WORDS
 from recallspark.plans.knowledge import activated
+from recallspark.shared import materialize
 from recallspark.sources.tables import table, turns
 
 EVERY = 20
@@ -76,9 +78,21 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("query_id", F.posexplode(entities(F.col("query"))).alias("pos", "entity"))
 
 
+def _decomposed_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The entities of the decomposition, else those of the question."""
+    from recallspark.functions.text import entities
+
+    named = decompose(F.col("query"))["entities"]
+    return questions(spark, d).select("query_id", F.posexplode(F.when(F.size(named) > 0, named).otherwise(entities(F.col("query")))).alias("pos", "entity"))
+
+
 def spreading_results(spark: SparkSession, d: str) -> DataFrame:
     """Turns of the 15 most activated entities, with their text."""
-    found = graph.activated_turns(*graph.activate(_seeds(spark, d), graph.adjacency(table(spark, d, "triples"))), max_results=15)
+    return _spreading_list(spark, d, _seeds(spark, d))
+
+
+def _spreading_list(spark: SparkSession, d: str, seeds: DataFrame) -> DataFrame:
+    found = graph.activated_turns(*graph.activate(seeds, graph.adjacency(table(spark, d, "triples"))), max_results=15)
     rows = found.join(turns(spark, d).where("content <> ''").select("turn_id", "content"), "turn_id")
     once = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "content").orderBy(F.desc("activation"), "turn_id"))).where("n = 1")
     scored = once.select("query_id", F.concat(F.lit("spread_"), "turn_id").alias("id"), "content", F.round(F.col("activation") * 0.7, 6).alias("confidence"), F.lit("spreading_activation").alias("source"), "turn_id")
@@ -103,7 +117,7 @@ def recall_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_all_paths(spark: SparkSession, d: str) -> DataFrame:
-    """As recall_hybrid, with spreading activation as a third list."""
+    """As recall_hybrid, with spreading activation as a third list; the lists of vectors are in recall_full only."""
     cols = ["query_id", "rank", "id", "content", "source"]
     a = _entity_list(spark, d).select(*cols).withColumn("list_idx", F.lit(0))
     s = spreading_results(spark, d).select(*cols).withColumn("list_idx", F.lit(1))
@@ -111,17 +125,59 @@ def recall_all_paths(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.fuse(a.unionByName(s).unionByName(b), 5)
 
 
+def every_list(queries: DataFrame, entity: DataFrame, spreading: DataFrame, turn_rows: DataFrame, n_queries: int) -> DataFrame:
+    """query_id, rank, id, content, source, list_idx: all lists of the recall, in its order: entity, spreading, chunk-semantic, a vector list for each of two sub-queries, their BM25 lists as one."""
+    cols = ["query_id", "rank", "id", "content", "source"]
+    parts = queries.select("query_id", F.posexplode(F.slice(decompose(F.col("query"))["sub_queries"], 1, 2)).alias("pos", "query"))
+    docs = turn_rows.where("content IS NOT NULL").select(F.col("turn_id").alias("id"), F.col("content").alias("text"))
+    hits = retrieve.bm25_parts(parts, docs, 15).join(docs, "id")
+    lists = [
+        entity, spreading, vectors.chunk_semantic(queries.select("query_id", decompose(F.col("query"))["primary_query"].alias("query")), entity),
+        *[vectors.recent_vector_search(parts.where(F.col("pos") == pos).select("query_id", "query"), turn_rows, n_queries) for pos in (0, 1)],
+        hits.select("query_id", "rank", F.col("id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("bm25").alias("source")),
+    ]
+    out = lists[0].select(*cols).withColumn("list_idx", F.lit(0))
+    for i, x in enumerate(lists[1:], 1):
+        out = out.unionByName(x.select(*cols).withColumn("list_idx", F.lit(i)))
+    return out
+
+
+def _fused_full(spark: SparkSession, d: str, k: int) -> DataFrame:
+    q = questions(spark, d)
+    entity = materialize(_entity_list(spark, d), "entity")  # two lists read it
+    return retrieve.fuse(every_list(q, entity, _spreading_list(spark, d, _decomposed_seeds(spark, d)), turns(spark, d), q.count()), k)
+
+
+def recall_full(spark: SparkSession, d: str) -> DataFrame:
+    """The five best of all lists of the reference's recall."""
+    return _fused_full(spark, d, 5)
+
+
+def rerank_full(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 best of recall_full's lists, re-ranked."""
+    return retrieve.rerank_heuristic(_fused_full(spark, d, 20), questions(spark, d), 5).select("query_id", "id", "source", F.round("confidence", 6).alias("confidence"), "rank")
+
+
 def rerank_heuristic(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.rerank_heuristic(_fused(spark, d), questions(spark, d), 10).select("query_id", "id", "source", F.round("confidence", 6).alias("confidence"))
 
 
-def parent_replace(spark: SparkSession, d: str) -> DataFrame:
-    """Fused items, the turns among them replaced by the last parent of 8 turns that covers them."""
+def _parent_of_turn(spark: SparkSession, d: str) -> DataFrame:
+    """turn_id and the text of the last parent of 8 turns that covers it."""
     seq = sequenced(turns(spark, d))
     parents = plan_ingest.ingest.chunks(seq, plan_ingest.ingest.PARENT).select("scope_id", F.col("start_seq").alias("p"), F.col("content").alias("parent_text"))
-    of_turn = seq.withColumn("p", covering(F.col("seq"), F.col("group_size"), plan_ingest.ingest.PARENT)).join(parents, ["scope_id", "p"]).select("turn_id", "parent_text")
+    return seq.withColumn("p", covering(F.col("seq"), F.col("group_size"), plan_ingest.ingest.PARENT)).join(parents, ["scope_id", "p"]).select("turn_id", "parent_text")
+
+
+def parent_replace(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of the spreading list, replaced by the last parent of 8 turns that covers them."""
     lists = spreading_results(spark, d).select("query_id", "rank", "id", "content", "source", F.col("confidence").alias("score"))
-    return retrieve.replace_parents(lists, of_turn, 5)
+    return retrieve.replace_parents(lists, _parent_of_turn(spark, d), 5)
+
+
+def parent_full(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best of recall_full's lists, the turns among them replaced by their parents, five kept."""
+    return retrieve.replace_parents(_fused_full(spark, d, 10), _parent_of_turn(spark, d), 5)
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +233,7 @@ def routing_tiers(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_topk_docs, bm25_topk_turns, keyword_idf, entity_graph_search, entity_results, spreading_results, recall_hybrid, recall_all_paths,
+        bm25_stats, bm25_topk_docs, bm25_topk_turns, keyword_idf, entity_graph_search, entity_results, spreading_results, recall_hybrid, recall_all_paths, recall_full, rerank_full, parent_full,
         rerank_heuristic, parent_replace, vector_topk, triple_vector_similarity, hash_embed, chunk_semantic, vector_recent_turns, routing_tiers,
     )
 }

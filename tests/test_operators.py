@@ -240,3 +240,41 @@ def test_vector_searches_equal_brute_force(spark):
     ranked = {(r.query_id, r.id): (r.rank, r.confidence) for r in vectors.chunk_semantic(q, found).collect()}
     assert ranked[1, "a"] == (1, 0.85) and ranked[1, "c"] == (2, 0.85) and ranked[1, "b"][0] == 3
     assert abs(ranked[2, "a"][1] - 0.7 * float(embedding("x" * 256) @ embedding("old"))) < 1e-5 and len(ranked) == 4
+
+
+def test_full_recall_fuses_every_list(spark, small):
+    from collections import defaultdict
+
+    from recallspark.plans import retrieval
+
+    q = retrieval.questions(spark, small)
+    entity = retrieval._entity_list(spark, small)
+    lists = retrieval.every_list(q, entity, retrieval._spreading_list(spark, small, retrieval._decomposed_seeds(spark, small)), retrieval.turns(spark, small), q.count()).collect()
+    assert {"chunk_semantic", "vector", "bm25", "spreading_activation"} <= {r.source for r in lists}
+    weigh = {"entity": 1.2, "spreading": 1.1, "bm25": 1.0, "vector": 1.0}
+    by_list = defaultdict(list)
+    for r in lists:
+        by_list[r.query_id, r.list_idx].append(r)
+    score, place = defaultdict(float), {}
+    for (query, i), rs in by_list.items():
+        rs.sort(key=lambda r: r.rank)
+        assert [r.rank for r in rs] == list(range(1, len(rs) + 1))
+        w = next((w for name, w in weigh.items() if name in rs[0].source), 0.9)
+        for r in rs:
+            score[query, r.id] += w / (60 + r.rank)
+            place[query, r.id] = min(place.get((query, r.id), (99, 0)), (i, r.rank))
+    want = defaultdict(list)
+    for (query, i), s in score.items():
+        want[query].append((-round(s, 9), place[query, i], i))
+    full = retrieval.QUERIES["recall_full"](spark, small).collect()
+    got = defaultdict(dict)
+    for r in full:
+        got[r.query_id][r.rank] = r.id
+    assert {k: [x[2] for x in sorted(v)[:5]] for k, v in want.items()} == {k: [v[n] for n in sorted(v)] for k, v in got.items()}
+
+
+def test_bm25_sub_queries_are_searched_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "lake lake"), (2, "tower lake"), (3, "tower tower tower")], "id long, text string")
+    parts = spark.createDataFrame([(7, 0, "lake"), (7, 1, "tower")], "query_id long, pos int, query string")
+    got = sorted((r["rank"], r.id) for r in retrieve.bm25_parts(parts, docs, 15).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 2)]
