@@ -216,7 +216,7 @@ def vector_recent_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def routing_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Asked with a subject: recent turns of the scopes, exact facts, then raw text, each tier only while fewer than 10 were found."""
+    """Asked with a subject of two or more Latin letters: exact facts, then raw text while fewer than 10 were found. Working memory, alias and vector tiers are left out."""
     t = table(spark, d, "triples")
     asks = t.where((F.col("id") % EVERY == 0) & F.col("subject").isNotNull() & F.col("subject").rlike("^[A-Za-z]{2,}$")).select("subject").distinct()
     q = asks.select(F.xxhash64("subject").alias("query_id"), "subject")
