@@ -76,11 +76,28 @@ def reason_with_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.reason(_asking(t).select("subject", "predicate").distinct(), t, 1)
 
 
+def reason_two_hops(spark: SparkSession, d: str) -> DataFrame:
+    """As reason_with_path, to the reference's depth of 2."""
+    t = _triples(spark, d)
+    return graph.reason(_asking(t).select("subject", "predicate").distinct(), t)
+
+
+def asking_pairs(triples: DataFrame) -> DataFrame:
+    """start, target: the subject of each asking fact and the object of the asking fact that follows it in order of id, whatever the gap."""
+    t = _asking(triples).where("object IS NOT NULL").select("id", "subject", "object").distinct()
+    # numbered block by block, so that no task holds all rows: the next fact is in the block or is the first of a later one
+    block = F.floor(F.col("id") / (QUERY_EVERY * 4096))
+    inner = t.withColumn("block", block).withColumn("target", F.lead("object").over(Window.partitionBy("block").orderBy("id", "subject", "object")))
+    firsts = t.groupBy(block.alias("block")).agg(F.min_by("object", F.struct("id", "subject", "object")).alias("object"))  # one row per 4,096 possible facts
+    after = firsts.select("block", F.lead("object").over(Window.orderBy("block")).alias("first_later"))
+    paired = inner.join(after, "block").select(F.col("subject").alias("start"), F.coalesce("target", "first_later").alias("target"))
+    return paired.where("start <> target").distinct()
+
+
 def find_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths from the subject of each asking fact to the object of the next one."""
-    t = _asking(_triples(spark, d)).where("object IS NOT NULL AND predicate <> 'said'").select("id", "subject", "object").distinct()
-    ends = t.select((F.col("id") + QUERY_EVERY).alias("id"), F.col("object").alias("target"))
-    return graph.paths(t.join(ends, "id").select(F.col("subject").alias("start"), "target").where("start <> target"), _triples(spark, d), 3)
+    """Paths of up to 4 facts from the subject of each asking fact, 'said' too, to the object of the next one."""
+    t = _triples(spark, d)
+    return graph.paths(asking_pairs(t), t)
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kg_controversial_fast, kg_conflict_fold, kg_resolved, exact_match, triple_subject_topn, predicate_counts, evidence_search, adjacency, node_degrees,
-        transitive_reason, reason_with_path, find_paths, spreading_activate, spreading_turns,
+        transitive_reason, reason_with_path, reason_two_hops, find_paths, spreading_activate, spreading_turns,
     )
 }
 
@@ -185,6 +202,10 @@ s AS (
 f AS (SELECT id, subject, predicate, object, action, target_id, confidence_after FROM s)"""
 
 ORACLES = {
+    "reason_two_hops": f"""WITH RECURSIVE {_reach(2)}, z AS (
+        SELECT t.subject, t.predicate, t.object, -1 AS depth FROM triples t JOIN x USING (subject, predicate)
+        UNION ALL SELECT x.subject, x.predicate, tr.object, tr.depth FROM x JOIN tr ON tr.start = x.subject)
+        SELECT subject, predicate, object, min(depth) AS depth FROM z GROUP BY ALL""",
     "kg_conflict_fold": f"WITH RECURSIVE {FOLD} SELECT * FROM f",
     "kg_resolved": f"""WITH RECURSIVE {FOLD}, e AS (SELECT DISTINCT id, confidence, evidence FROM triples),
         u AS (

@@ -278,3 +278,23 @@ def test_bm25_sub_queries_are_searched_one_by_one(spark):
     parts = spark.createDataFrame([(7, 0, "lake"), (7, 1, "tower")], "query_id long, pos int, query string")
     got = sorted((r["rank"], r.id) for r in retrieve.bm25_parts(parts, docs, 15).collect())
     assert got == [(1, 1), (2, 2), (3, 3), (4, 2)]
+
+
+def test_asking_pairs_cross_gaps_and_blocks(spark):
+    from recallspark.plans.knowledge import asking_pairs
+
+    far = 20 * 4096 * 3
+    rows = [(20, "a", "said", "b"), (30, "x", "p", "y"), (80, "c", "p", "d"), (far, "e", "said", "f"), (far + 20, "g", "p", "h")]
+    t = spark.createDataFrame(rows, "id long, subject string, predicate string, object string")
+    assert {(r.start, r.target) for r in asking_pairs(t).collect()} == {("a", "d"), ("c", "f"), ("e", "h")}
+
+
+def test_reasoning_and_paths_take_the_reference_depths(spark, tmp_path):
+    from recallspark.plans import knowledge
+
+    chain = [(20, "a", "said", "b"), (21, "b", "p", "c"), (22, "c", "p", "d"), (23, "d", "p", "e"), (100, "z", "p", "e")]
+    rows = [(i, s, p, o, 0.5, None, "x", None, False) for i, s, p, o in chain]
+    t = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, confidence double, evidence string, source string, episodic_id long, is_controversial boolean")
+    t.write.parquet(f"{tmp_path}/triples.parquet")
+    assert {(r.start, r.target, r.depth) for r in knowledge.QUERIES["find_paths"](spark, str(tmp_path)).collect()} == {("a", "e", 4)}
+    assert ("a", "said", "d", 2) in {tuple(r) for r in knowledge.QUERIES["reason_two_hops"](spark, str(tmp_path)).collect()}
