@@ -2,13 +2,14 @@
 
 Method: an inverted multi-index. Unit vectors are cut in two halves, each quantised by its own
 codebook; a cell is a pair of centroids. For each vector the cells are visited in order of summed
-distance, taken from a heap, and the entries of the visited cells are reranked by the exact cosine.
-
-On Spark: the codebooks are fitted on a bounded sample; every vector is placed in its cell and told
-its cells to visit in one Arrow pass; cells are gathered into shards of bounded size, a vector
-travels once to each shard that it visits, and each shard is one small batch of matrix products.
-Crowded cells get codebooks of their own, and those that stay crowded are cut into blocks. Exact copies of a vector are searched
-once and expanded afterwards.
+distance, taken from a heap, until the next one is too far or enough entries were met; the entries
+of the visited cells are reranked by the exact cosine.
+
+On Spark: the codebooks are fitted on a bounded sample, and the rows of every cell are counted over the
+whole table. Crowded cells get codebooks of their own, fitted on a sample of their rows. The layout follows from the
+counts: near cells share a shard of bounded size, a cell that stays crowded is cut into blocks, and a shard with too many
+visitors is repeated in slices. A vector travels once to each shard that it visits, and each
+shard is one small batch of matrix products. Exact copies of a vector are searched once and expanded afterwards.
 """
 
 from __future__ import annotations
@@ -29,21 +30,32 @@ from recallspark.skew import salt_column
 
 @dataclass(frozen=True)
 class IndexParams:
-    """Bounds of the index; ``sample_rows`` vectors at most fit the codebooks, all are indexed."""
+    """Bounds of the index; ``sample_rows`` vectors at most fit the codebooks of a level, all are counted and indexed."""
 
     dim: int = 64
     sample_rows: int = 50_000
+    #: About this many vectors tell how many visitors each shard has.
+    visit_rows: int = 100_000
     rows_per_cell: int = 512
     max_centroids: int = 1024
-    cells_visited: int = 16
-    #: A cell is visited only if its squared distance exceeds the nearest cell's by at most this much.
+    #: A cell is visited only if its squared distance exceeds the nearest cell's by at most this much ...
     slack: float = 0.5
-    #: Cells above this many rows (estimated) get codebooks of their own where the sample allows, else blocks.
+    #: ... and only while fewer entries than this lie in the nearer cells: a topic of so many near vectors is searched whole.
+    candidates: int = 32_768
+    #: Cells above this many rows get codebooks of their own, on up to ``levels`` levels; what cannot be split is cut into blocks of this size.
     crowded: int = 8192
+    levels: int = 4
     shard_rows: int = 32_768
+    #: Shards are spread over at most this many shuffle partitions.
+    max_partitions: int = 20_000
     seed: int = 5
 
 
+#: Sampled rows of a crowded cell below which it gets no codebooks of its own.
+LEAST_SAMPLE = 64
+LEAST_SHARD = 2048
+
+
 def usable(v: Column, dim: int) -> Column:
     """Exactly ``dim`` finite numbers, not all 0."""
     hi, lo = F.array_max(v), F.array_min(v)
@@ -82,12 +94,11 @@ def _near_order(c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Book:
-    """Two codebooks, the layout of their cells, and the books of crowded cells."""
+    """Two codebooks and the books of crowded cells; cell (i, j) is leaf ``first_leaf`` + i * k + j."""
 
     centroids: list[np.ndarray]
-    first_leaf: int  # cell (i, j) is leaf first_leaf + i * k + j
-    shard: np.ndarray  # per cell: its (first) shard
-    blocks: np.ndarray  # per cell: into how many shards its rows are cut
+    first_leaf: int
+    rows: float  # that it stands for
     children: dict[int, Book] = field(default_factory=dict)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,110 +108,256 @@ class Book:
         return a, b
 
 
-def fit(sample: np.ndarray, total: int, p: IndexParams) -> tuple[Book, int, int]:
-    """The root book and the number of leaves and shards. ``total``: rows that the sample stands for."""
-    rng = np.random.default_rng(p.seed)
-    counters = {"leaf": 0, "shard": 0}
-
-    def build(x: np.ndarray, rows: float, depth: int) -> Book:
-        wish = 2 ** round(np.log2(max(4.0, np.sqrt(rows / p.rows_per_cell))))
-        k = int(max(1, min(wish, p.max_centroids, len(x))))
-        h = p.dim // 2
-        halves = [x[:, :h], x[:, h:]]
-        book = Book([_kmeans(y, k, rng) for y in halves], counters["leaf"], np.zeros(k * k, "i4"), np.ones(k * k, "i4"))
-        counters["leaf"] += k * k
-        a, b = book.distances(x)
-        cell = a.argmin(1) * k + b.argmin(1)
-        size = np.bincount(cell, minlength=k * k) * (rows / len(x))
-        for c in np.flatnonzero(size > p.crowded):
-            inside = x[cell == c]
-            if depth < 4 and len(inside) >= 64 and len(inside) < len(x):
-                book.children[int(c)] = build(inside, size[c], depth + 1)
-            else:
-                book.blocks[c] = int(np.ceil(size[c] / p.crowded))
-                book.shard[c] = counters["shard"]
-                counters["shard"] += int(book.blocks[c])
-        # the other cells are dealt into shards in an order in which near centroids are neighbours: then a
-        # vector's visits mostly fall into one shard, and it travels once
+@dataclass
+class Index:
+    """The books, the rows of every leaf, and where each leaf lies."""
+
+    root: Book
+    leaves: int
+    rows: np.ndarray | None = None
+    shard: np.ndarray | None = None  # per leaf: its (first) shard
+    blocks: np.ndarray | None = None  # per leaf: into how many shards its rows are cut
+    slices: np.ndarray | None = None  # per shard: into how many parts its visitors are dealt; each holds all its entries
+    first_part: np.ndarray | None = None  # per shard
+
+    @property
+    def parts(self) -> int:
+        return int(self.slices.sum())
+
+
+def new_book(x: np.ndarray, rows: float, first_leaf: int, p: IndexParams) -> Book:
+    """Codebooks fitted on ``x``, a sample of ``rows`` vectors."""
+    rng = np.random.default_rng(p.seed + first_leaf)
+    wish = 2 ** round(np.log2(max(4.0, np.sqrt(rows / p.rows_per_cell))))
+    k = int(max(1, min(wish, p.max_centroids, len(x))))
+    h = p.dim // 2
+    return Book([_kmeans(y, k, rng) for y in (x[:, :h], x[:, h:])], first_leaf, rows)
+
+
+def grow(index: Index, x: np.ndarray, p: IndexParams) -> int:
+    """Gives the crowded leaves books of their own, fitted on those of the sampled ``x`` that lie in them; the number of new books."""
+    leaf = home(index.root, x)
+    made = 0
+
+    def parent(book: Book, at: int) -> Book | None:
+        if book.first_leaf <= at < book.first_leaf + len(book.centroids[0]) ** 2:
+            return book
+        return next((b for c in book.children.values() if (b := parent(c, at))), None)
+
+    for at in np.flatnonzero(index.rows > p.crowded).tolist():
+        inside = x[leaf == at]
+        if len(inside) >= LEAST_SAMPLE and (inside != inside[0]).any():
+            book = parent(index.root, at)
+            book.children[at - book.first_leaf] = child = new_book(inside, float(index.rows[at]), index.leaves, p)
+            index.leaves += len(child.centroids[0]) ** 2
+            made += 1
+    return made
+
+
+def lay_out(index: Index, total: int, p: IndexParams, cores: int = 1) -> int:
+    """Deals the leaves into shards by their true row counts; the number of shards."""
+    shard_rows = min(p.shard_rows, max(LEAST_SHARD, total // (2 * cores)))  # small tables are spread over the cores
+
+    def near(book: Book) -> np.ndarray:
+        """Leaves in an order in which near centroids are neighbours: a vector's visits then mostly fall into one shard."""
+        k = len(book.centroids[0])
         first, second = (_near_order(c) for c in book.centroids)
-        own = (first[:, None] * k + second[None, :]).ravel()
-        own = own[[c not in book.children and book.blocks[c] == 1 for c in own.tolist()]]
-        if len(own):
-            part = (np.cumsum(size[own]) // p.shard_rows).astype("i4")
-            book.shard[own] = counters["shard"] + part
-            counters["shard"] += int(part[-1]) + 1
-        return book
-
-    root = build(sample, float(total), 0)
-    return root, counters["leaf"], counters["shard"]
-
-
-def visit(book: Book, x: np.ndarray, p: IndexParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, leaf, shard, blocks) for every cell each vector visits, nearest cells first for each row."""
-    k = len(book.centroids[0])
-    m = min(k, p.cells_visited)
-    near = []
-    for d in book.distances(x):
-        best = np.argpartition(d, m - 1, axis=1)[:, :m] if m < k else np.tile(np.arange(k), (len(x), 1))
-        order = np.argsort(np.take_along_axis(d, best, 1), axis=1, kind="stable")
-        best = np.take_along_axis(best, order, 1)
-        near.append((best, np.take_along_axis(d, best, 1)))
-    (ca, da), (cb, db) = near
+        cells = (first[:, None] * k + second[None, :]).ravel()
+        if not book.children:
+            return book.first_leaf + cells
+        return np.concatenate([near(book.children[c]) if c in book.children else np.array([book.first_leaf + c]) for c in cells.tolist()])
+
+    index.shard, index.blocks = np.zeros(index.leaves, "i4"), np.ones(index.leaves, "i4")
+    order = near(index.root)
+    crowded = index.rows[order] > p.crowded
+    small = order[~crowded]
+    part = np.cumsum(index.rows[small]) // shard_rows
+    index.shard[small] = part
+    shards = int(part[-1]) + 1 if len(part) else 0
+    large = order[crowded]
+    index.blocks[large] = -(-index.rows[large] // p.crowded)
+    index.shard[large] = shards + np.cumsum(index.blocks[large]) - index.blocks[large]
+    shards += int(index.blocks[large].sum())
+    return shards
+
+
+def deal_visitors(index: Index, visitors: np.ndarray, p: IndexParams) -> None:
+    """Slices for the shards of many visitors."""
+    index.slices = np.maximum(1, np.ceil(visitors / (2 * p.shard_rows))).astype("i4")
+    index.first_part = np.concatenate([[0], np.cumsum(index.slices)[:-1]]).astype("i4")
+
+
+def visit(index: Index, x: np.ndarray, salt: np.ndarray, p: IndexParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, shard) for every cell that each vector visits; ``salt`` says which blocks of a crowded cell come first."""
     rows: list[int] = []
-    cells: list[int] = []
-    for r, (ia, va, ib, vb) in enumerate(zip(ca.tolist(), da.tolist(), cb.tolist(), db.tolist(), strict=True)):
-        limit = va[0] + vb[0] + p.slack
-        heap = [(va[0] + vb[0], 0, 0)]
-        for _ in range(p.cells_visited):
-            if not heap:
-                break
-            s, i, j = heapq.heappop(heap)
-            if s > limit:
-                break
-            rows.append(r)
-            cells.append(ia[i] * k + ib[j])
-            if j + 1 < m:
-                heapq.heappush(heap, (va[i] + vb[j + 1], i, j + 1))
-            if j == 0 and i + 1 < m:
-                heapq.heappush(heap, (va[i + 1] + vb[0], i + 1, 0))
-    row, cell = np.array(rows, "i8"), np.array(cells, "i8")
-    out = [(row, book.first_leaf + cell, book.shard[cell], book.blocks[cell])]
-    if book.children:
-        crowded = np.isin(cell, list(book.children))
-        out = [tuple(y[~crowded] for y in out[0])]
-        for c, child in book.children.items():
-            at = row[crowded & (cell == c)]
-            if len(at):
-                r, leaf, shard, blocks = visit(child, x[at], p)
-                out.append((at[r], leaf, shard, blocks))
-    return tuple(np.concatenate(y) for y in zip(*out, strict=True))
-
-
-def home(book: Book, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf, shard, blocks) of the cell in which each vector lies."""
+    leaves: list[int] = []
+    shards: list[int] = []
+    filled, first_shard, cut = index.rows, index.shard, index.blocks
+    most_blocks = max(1, p.candidates // p.crowded)
+
+    def walk(book: Book, at: np.ndarray) -> None:
+        """The vectors ``at`` meet the cells of a book; a cell with a book of its own counts whole and is walked with a count of its own."""
+        k = len(book.centroids[0])
+        near = []
+        for d in book.distances(x[at]):
+            m = int((d <= d.min(1, keepdims=True) + p.slack).sum(1).max())
+            best = np.argpartition(d, m - 1, axis=1)[:, :m] if m < k else np.tile(np.arange(k), (len(at), 1))
+            best = np.take_along_axis(best, np.argsort(np.take_along_axis(d, best, 1), axis=1, kind="stable"), 1)
+            near.append((best.tolist(), np.take_along_axis(d, best, 1).tolist()))
+        (ca, da), (cb, db) = near
+        deeper: dict[int, list[int]] = {}
+        for n, r in enumerate(at.tolist()):
+            ia, va, ib, vb = ca[n], da[n], cb[n], db[n]
+            limit = va[0] + vb[0] + p.slack
+            heap = [(va[0] + vb[0], 0, 0)]
+            met = 0.0
+            while heap and met < p.candidates:
+                s, i, j = heapq.heappop(heap)
+                if s > limit:
+                    break
+                cell = ia[i] * k + ib[j]
+                leaf = book.first_leaf + cell
+                if cell in book.children:
+                    deeper.setdefault(cell, []).append(r)
+                    met += book.children[cell].rows
+                elif filled[leaf]:
+                    blocks = int(cut[leaf])
+                    for b in range(min(blocks, most_blocks)):
+                        rows.append(r)
+                        leaves.append(leaf)
+                        shards.append(int(first_shard[leaf]) + (int(salt[r]) + b) % blocks)
+                    met += int(filled[leaf])
+                if j + 1 < len(vb):
+                    heapq.heappush(heap, (va[i] + vb[j + 1], i, j + 1))
+                if j == 0 and i + 1 < len(va):
+                    heapq.heappush(heap, (va[i + 1] + vb[0], i + 1, 0))
+        for cell, again in deeper.items():
+            walk(book.children[cell], np.array(again))
+
+    if len(x):
+        walk(index.root, np.arange(len(x)))
+    return np.array(rows, "i8"), np.array(leaves, "i8"), np.array(shards, "i8")
+
+
+def home(book: Book, x: np.ndarray) -> np.ndarray:
+    """The leaf in which each vector lies."""
     k = len(book.centroids[0])
     a, b = book.distances(x)
     cell = a.argmin(1) * k + b.argmin(1)
-    leaf, shard, blocks = book.first_leaf + cell, book.shard[cell], book.blocks[cell]
+    leaf = book.first_leaf + cell
     for c, child in book.children.items():
         at = np.flatnonzero(cell == c)
         if len(at):
-            leaf[at], shard[at], blocks[at] = home(child, x[at])
-    return leaf, shard, blocks
+            leaf[at] = home(child, x[at])
+    return leaf
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("f4", copy=False).reshape(-1, dim)
 
 
-_ROUTED = "shard int, leaf int, visits array<int>, v1 long, v2 long, vec binary, least long"
+def _count(book_b, p: IndexParams):  # noqa: ANN001, ANN202
+    """(v1, vec) -> (leaf, n) of a partition; copies within it count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, leaves = book_b.value
+        n = np.zeros(leaves, "i8")
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch["v1"].to_pylist()
+            fresh = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            if fresh:
+                n += np.bincount(home(book, _unit(_matrix(batch["vec"], p.dim)[fresh])), minlength=leaves)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["leaf", "n"])
 
+    return run
 
-def _route(book_b, p: IndexParams):  # noqa: ANN001, ANN202
-    """Rows (id, v1, v2, vec) -> one row per vector and shard that it lies in or visits; copies within a partition go once."""
+
+def _in_crowded(book_b, crowded_b, p: IndexParams):  # noqa: ANN001, ANN202
+    """The vectors that lie in crowded leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = book_b.value
+        for batch in batches:
+            if batch.num_rows:
+                hit = np.isin(home(book_b.value[0], _unit(_matrix(batch["vec"], p.dim))), crowded_b.value)
+                yield batch.filter(pa.array(hit))
+
+    return run
+
+
+def _count_visits(index_b, p: IndexParams):  # noqa: ANN001, ANN202
+    """(v1, vec) -> (shard, n): how many vectors visit each shard; copies within a partition count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, shards = index_b.value
+        n = np.zeros(shards, "i8")
+        seen: set[int] = set()
+        for batch in batches:
+            v1 = batch["v1"].to_numpy()
+            fresh = [i for i, key in enumerate(v1.tolist()) if key not in seen and not seen.add(key)]
+            if fresh:
+                row, _, shard = visit(index, _unit(_matrix(batch["vec"], p.dim)[fresh]), _salt(v1[fresh]), p)
+                n += np.bincount(np.unique(row * shards + shard) % shards, minlength=shards)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["shard", "n"])
+
+    return run
+
+
+def _salt(v1: np.ndarray) -> np.ndarray:
+    return (v1.view("u8") >> np.uint64(20)).astype("i8")
+
+
+def build(named: DataFrame, rows: int, p: IndexParams) -> Index | None:
+    """The index of (v1, vec), or None without rows. What reaches the driver: the samples, and one number for each leaf and shard that is not empty.
+
+    Rows of leaves are counted; visitors of shards are estimated on a sample, which steers slices only.
+    """
+    spark = named.sparkSession
+
+    def sample(df: DataFrame, of: int) -> np.ndarray:
+        share = min(1.0, p.sample_rows / max(of, 1))
+        taken = df.select("vec") if share == 1.0 else df.select("vec").sample(share * 0.98, p.seed)
+        x = _matrix(taken.toArrow()["vec"].combine_chunks(), p.dim)[: p.sample_rows]
+        return _unit(x) if len(x) else x
+
+    first = sample(named, rows)
+    if not len(first):
+        return None
+    index = Index(new_book(first, float(rows), 0, p), 0)
+    index.leaves = len(index.root.centroids[0]) ** 2
+    for level in range(p.levels):
+        book_b = spark.sparkContext.broadcast((index.root, index.leaves))
+        counted = named.select("v1", "vec").mapInArrow(_count(book_b, p), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+        index.rows = np.zeros(index.leaves, "i8")
+        index.rows[counted["leaf"].to_numpy()] = counted["n"].to_numpy()
+        crowded = np.flatnonzero(index.rows > p.crowded)
+        if not len(crowded) or level == p.levels - 1:
+            break
+        crowded_b = spark.sparkContext.broadcast(crowded)
+        inside = first if rows <= p.sample_rows else sample(named.select("vec").mapInArrow(_in_crowded(book_b, crowded_b, p), "vec array<float>"), int(index.rows[crowded].sum()))
+        if not grow(index, inside, p):
+            break
+    shards = lay_out(index, rows, p, spark.sparkContext.defaultParallelism)
+    share = min(1.0, p.visit_rows / max(rows, 1))
+    asking = named.select("v1", "vec") if share == 1.0 else named.select("v1", "vec").sample(share, p.seed + 1)
+    index_b = spark.sparkContext.broadcast((index, shards))
+    visits = asking.mapInArrow(_count_visits(index_b, p), "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).toArrow()
+    visitors = np.zeros(shards)
+    visitors[visits["shard"].to_numpy()] = visits["n"].to_numpy() / share
+    deal_visitors(index, visitors, p)
+    return index
+
+
+_ROUTED = "part int, leaf int, visits array<int>, v1 long, v2 long, vec binary, least long"
+
+
+def _route(index_b, p: IndexParams):  # noqa: ANN001, ANN202
+    """Rows (id, v1, v2, vec) -> one row per vector and part of a shard in which it lies or that it visits; copies within a partition go once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = index_b.value
         seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             if not batch.num_rows:
@@ -218,20 +375,20 @@ def _route(book_b, p: IndexParams):  # noqa: ANN001, ANN202
             raw = _matrix(batch["vec"], p.dim)[at]
             v1, v2, ids = v1[at], v2[at], ids[at]
             x = _unit(raw)
-            leaf, own, own_blocks = home(book, x)
-            block = (v1.view("u8") >> np.uint64(20)).astype("i8") % own_blocks
-            own = own + block
-            row, to, shard, blocks = visit(book, x, p)
-            if blocks.max(initial=1) > 1:  # a cell in blocks is visited in all of them
-                again = np.repeat(np.arange(len(row)), blocks)
-                shard = shard[again] + (np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-                row, to = row[again], to[again]
-            row = np.concatenate([row, np.arange(len(x))])  # the home entry, marked by leaf -1 - leaf
-            shard = np.concatenate([shard, own])
-            to = np.concatenate([to, -1 - leaf])
-            order = np.lexsort((to, shard, row))
-            row, shard, to = row[order], shard[order], to[order]
-            start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])])
+            salt = _salt(v1)
+            leaf = home(index.root, x)
+            own = index.shard[leaf] + salt % index.blocks[leaf]
+            row, to, shard = visit(index, x, salt, p)
+            part = index.first_part[shard] + (v1.view("u8")[row] >> np.uint64(9)).astype("i8") % index.slices[shard]
+            copies = index.slices[own]  # the home entry, marked by leaf -1 - leaf, goes to every slice
+            again = np.repeat(np.arange(len(x)), copies)
+            nth = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
+            row = np.concatenate([row, again])
+            part = np.concatenate([part, index.first_part[own][again] + nth])
+            to = np.concatenate([to, -1 - leaf[again]])
+            order = np.lexsort((to, part, row))
+            row, part, to = row[order], part[order], to[order]
+            start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
             is_home = to[start] < 0  # sorted first within its group
             lengths = np.diff(np.r_[start, len(to)]) - is_home
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("i4")
@@ -242,14 +399,14 @@ def _route(book_b, p: IndexParams):  # noqa: ANN001, ANN202
             w = p.dim * 4
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(shard[start].astype("i4")),
+                    pa.array(part[start].astype("i4")),
                     pa.array(np.where(is_home, -1 - to[start], -1).astype("i4")),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(visits)),
                     pa.array(v1[r]), pa.array(v2[r]),
                     pa.array([raw_bytes[i * w : i * w + w] for i in r.tolist()], pa.binary()),
                     pa.array(ids[r]),
                 ],
-                names=["shard", "leaf", "visits", "v1", "v2", "vec", "least"],
+                names=["part", "leaf", "visits", "v1", "v2", "vec", "least"],
             )
 
     return run
@@ -259,9 +416,9 @@ _FOUND = pa.schema([("a1", pa.int64()), ("a2", pa.int64()), ("b1", pa.int64()),
 
 
 def _rerank(p: IndexParams, keep: int, min_cosine: float):  # noqa: ANN202
-    """One shard: for each vector the ``keep`` best entries of the cells that it visits here, by exact cosine, then smallest id."""
+    """One part of a shard: for each vector the ``keep`` best entries of the cells that it visits here, by exact cosine, then smallest id."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def one(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         v = np.stack([t["v1"].to_numpy(), t["v2"].to_numpy()], 1)
         least, leaf = t["least"].to_numpy(), t["leaf"].to_numpy()
@@ -292,11 +449,14 @@ def _rerank(p: IndexParams, keep: int, min_cosine: float):  # noqa: ANN202
             for q0 in range(s, e, 4096):
                 q = asks[q0 : min(q0 + 4096, e)]
                 score = unit[q] @ unit[base].T
-                score[q[:, None] == base[None, :]] = -2
-                bound = np.full(len(q), min_cosine - 1e-5, "f4")
-                if len(base) > keep:  # nothing below the keep-th best can come out
-                    bound = np.maximum(bound, np.partition(score, -keep, axis=1)[:, -keep] - 2e-6)
-                i, j = np.nonzero((score >= bound[:, None]) & (score > -2))
+                hit = score >= min_cosine - 1e-5
+                many = np.flatnonzero(np.count_nonzero(hit, axis=1) > keep + 1)
+                if len(many):  # nothing below the keep-th best can come out; a vector may meet itself
+                    tight = np.partition(score[many], -keep - 1, axis=1)[:, -keep - 1] - 2e-6
+                    hit[many] &= score[many] >= tight[:, None]
+                i, j = np.nonzero(hit)
+                other = q[i] != base[j]
+                i, j = i[other], j[other]
                 if len(i):
                     cos = np.round(np.einsum("ij,ij->i", exact[q[i]], exact[base[j]]), 6)
                     ok = cos >= min_cosine
@@ -312,6 +472,21 @@ def _rerank(p: IndexParams, keep: int, min_cosine: float):  # noqa: ANN202
         a, b, cos = a[top], b[top], cos[top]
         return pa.table([v[a, 0], v[a, 1], v[b, 0], v[b, 1], cos], schema=_FOUND)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # sorted by part
+            if not batch.num_rows:
+                continue
+            part = batch["part"].to_numpy()
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(part)], strict=True):
+                if held and held[0]["part"][0].as_py() != part[lo]:
+                    yield from one(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from one(pa.Table.from_batches(held)).to_batches()
+
     return run
 
 
@@ -342,17 +517,15 @@ def neighbours(df: DataFrame, vec: str, k: int = 5, min_cosine: float = -1.0, pa
     none = spark.createDataFrame([], "id long, other_id long, cosine double, rank int")
 
     rows = df.count()
-    share = min(1.0, p.sample_rows / max(rows, 1))
-    taken = named.select("vec") if share == 1.0 else named.select("vec").sample(share * 0.98, p.seed)
-    sample = _matrix(taken.toArrow()["vec"].combine_chunks(), p.dim)[: p.sample_rows]
-    if not len(sample):
+    index = build(named, rows, p)
+    if index is None:
         return none
-    book, _, shards = fit(_unit(sample), rows, p)
-    book_b = spark.sparkContext.broadcast(book)
+    index_b = spark.sparkContext.broadcast(index)
 
     keep = k + 1
-    routed = named.mapInArrow(_route(book_b, p), _ROUTED)
-    ranked_here = routed.groupBy("shard").applyInArrow(_rerank(p, keep, min_cosine), "a1 long, a2 long, b1 long, b2 long, cos double")
+    partitions = min(index.parts, p.max_partitions)
+    routed = named.mapInArrow(_route(index_b, p), _ROUTED).repartitionById(partitions, F.pmod("part", F.lit(partitions)).cast("int"))
+    ranked_here = routed.sortWithinPartitions("part").mapInArrow(_rerank(p, keep, min_cosine), "a1 long, a2 long, b1 long, b2 long, cos double")
     found = materialize(ranked_here, "neighbours")  # read twice below
     both = found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"), "cos")).distinct()
 

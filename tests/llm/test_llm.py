@@ -7,13 +7,14 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from recallspark.llm import mixing, queries
 from recallspark.llm.copies import CountingTrie, copies
 from recallspark.llm.mixing import mixture, share_out, share_report
-from recallspark.llm.neighbours import IndexParams, neighbours
+from recallspark.llm.neighbours import Index, IndexParams, _unit, deal_visitors, grow, home, lay_out, neighbours, new_book, visit
 from recallspark.llm.packing import LevelArray, fill_report, pack
 from recallspark.llm.payloads import parse_payloads
 from recallspark.llm.reading import calibrate, features, language, levels
@@ -143,7 +144,7 @@ def vector_rows(n, seed=4):
 def test_neighbours_above_a_threshold(spark):
     vecs = vector_rows(1500)
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in [*vecs.items(), (1, vecs[1]), (3, vecs[3])]], "id long, emb array<float>, v1 int, shard string")
-    p = IndexParams(cells_visited=24, slack=2.0, rows_per_cell=64, shard_rows=400, crowded=200, sample_rows=900)
+    p = IndexParams(slack=2.0, rows_per_cell=64, shard_rows=400, crowded=200, sample_rows=900)
     got = defaultdict(list)
     for r in neighbours(df, "emb", 5, 0.9, p).orderBy("id", "rank").collect():
         got[r.id].append((r.other_id, r.cosine))
@@ -157,11 +158,66 @@ def test_neighbours_above_a_threshold(spark):
 def test_neighbours_recall_without_threshold(spark):
     vecs = vector_rows(1200, seed=9)
     df = spark.createDataFrame(list(vecs.items()), "id long, emb array<float>")
-    got = {(r.id, r.other_id) for r in neighbours(df, "emb", 5, params=IndexParams(rows_per_cell=64, cells_visited=32, slack=4.0)).collect()}
+    got = {(r.id, r.other_id) for r in neighbours(df, "emb", 5, params=IndexParams(rows_per_cell=64, candidates=600, slack=4.0)).collect()}
     want = {(i, j) for i, v in naive_neighbours(vecs, 5, -1).items() if i % 20 == 0 for j, _ in v}
     assert len(got & want) >= 0.9 * len(want)
 
 
+def topic(rng, n, cosine=0.93):
+    """``n`` vectors around one centre, any two of them of about this cosine."""
+    c = rng.normal(size=64)
+    return c / np.linalg.norm(c) + rng.normal(size=(n, 64)) * np.sqrt((1 / cosine - 1) / 64)
+
+
+@pytest.mark.parametrize("form", ["one topic", "groups", "copies with noise"])
+def test_neighbours_recall_with_production_parameters(spark, form):
+    rng = np.random.default_rng(8)
+    others = rng.normal(size=(20_000, 64))
+    near = {
+        "one topic": lambda: topic(rng, 20_000),
+        "groups": lambda: np.concatenate([topic(rng, 5) for _ in range(2000)]),
+        "copies with noise": lambda: np.concatenate([others[:5000] + rng.normal(size=(5000, 64)) * s for s in (0.05, 0.2, 0.3)]),
+    }[form]()
+    x = np.concatenate([others, near]).astype("f4")
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "emb": list(x)}), "id long, emb array<float>").repartition(8)
+    got = {(r.id, r.other_id) for r in neighbours(df, "emb", 5, 0.9, queries.NEAR).collect()}
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    asks = np.arange(0, len(x), 20)
+    score = unit[asks] @ unit.T
+    score[np.arange(len(asks)), asks] = -2
+    best = np.argpartition(-score, 5, axis=1)[:, :5]
+    want = {(int(asks[i]), int(b)) for i, row in enumerate(best) for b in row if score[i, b] >= 0.9}
+    assert len(want) > 500 and len(got & want) >= 0.95 * len(want)
+
+
+def test_layout_of_500_million_vectors():
+    """Counts as of 500 million rows: neither the entries nor the visitors of a part grow with the table."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20_000, 64))
+    draw = lambda n: _unit(centres[rng.integers(20_000, size=n)] + rng.normal(size=(n, 64)) * 0.2)
+    total, p = 500_000_000, queries.NEAR
+    sample, placed, asking = draw(p.sample_rows), draw(100_000), draw(p.visit_rows)
+    index = Index(new_book(sample, total, 0, p), 0)
+    index.leaves = len(index.root.centroids[0]) ** 2
+    for _ in range(2):
+        leaf = home(index.root, placed)
+        index.rows = np.bincount(leaf, minlength=index.leaves) * (total // len(placed))
+        if not grow(index, sample, p):
+            break
+    shards = lay_out(index, total, p, 4000)
+    salt = lambda n: rng.integers(1 << 40, size=n)
+
+    def visitors(x):
+        row, _, shard = visit(index, x, salt(len(x)), p)
+        return np.bincount(np.unique(row * shards + shard) % shards, minlength=shards) * (total / len(x))
+
+    deal_visitors(index, visitors(asking), p)
+    own = np.bincount(index.shard[leaf] + salt(len(leaf)) % index.blocks[leaf], minlength=shards) * (total // len(placed))
+    assert own.max() <= 4 * p.shard_rows
+    again = visitors(draw(100_000)) / index.slices  # each of these stands for 5,000 rows, so the largest of many shards is far above its true size
+    assert again.max() <= 8 * p.shard_rows and np.quantile(again, 0.99) <= 4 * p.shard_rows
+
+
 def test_neighbours_empty(spark):
     assert neighbours(spark.createDataFrame([(1, None)], "id long, emb array<float>"), "emb").count() == 0
     assert neighbours(spark.createDataFrame([], "id long, emb array<float>"), "emb").count() == 0
