@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from recallspark.llm import copies as copies_module
 from recallspark.llm import mixing, queries
 from recallspark.llm.copies import CountingTrie, copies
 from recallspark.llm.mixing import mixture, share_out, share_report
@@ -86,12 +87,35 @@ def test_copies_empty(spark):
     assert copies(spark.createDataFrame([], "id long, subject string, predicate string, object string")).count() == 0
 
 
+def test_copies_with_more_prefixes_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(copies_module, "BROADCAST_PREFIXES", 2)
+    monkeypatch.setattr(copies_module, "HEAVY_SHARE", 0.3)
+    rnd = random.Random(4)
+    recs = [(i, "same start of all the subjects " * 20 + str(rnd.randrange(60)), "p", "o") for i in range(900)]
+    recs += [(2000 + i, "hot", "p", "o") for i in range(450)]
+    df = spark.createDataFrame(recs, "id long, subject string, predicate string, object string")
+    want = naive_copies(recs)
+    assert {tuple(r) for r in copies(df, bucket_rows=10).collect()} == want
+    assert {tuple(r) for r in copies(df, facts_only=True, bucket_rows=10).collect()} == {(k, k, n) for k, _, n in want}
+
+
+def test_largest_bucket_does_not_grow_with_the_table(spark):
+    largest = []
+    for n in (2000, 20_000):
+        recs = spark.range(n).selectExpr("id", "concat('subject ', id % 7) AS subject", "'p' AS predicate", "concat('o', id) AS object")
+        keys = copies_module.canonical_records(recs)
+        splits = copies_module._splits(keys, n, 300)
+        length = splits[-1].length * 2
+        inside = keys.withColumn("h", copies_module._hash(splits[-1].length)).join(splits[-1].table.select(F.col("prefix").alias("h")), "h")
+        largest.append(inside.groupBy(copies_module._hash(length)).count().agg(F.max("count")).first()[0])
+    assert max(largest) <= 300
+
+
 def test_trie():
     t = CountingTrie()
     keys = [b"", b"abcdefgh", b"abcdefghi", b"abcdefgh", b"abc", b"abcdefghij" * 50, b"abcdefghij" * 50]
-    for i, k in enumerate(keys):
-        t.add(k, i)
-    assert sorted(map(sorted, t.terminals())) == [[0], [1, 3], [2], [4], [5, 6]]
+    assert [t.add(k) for k in keys] == [0, 1, 2, 1, 3, 4, 4]
+    assert t.count == [1, 2, 1, 1, 2]
 
 
 def test_payloads(spark):
