@@ -2,8 +2,10 @@
 
 Method: a Bloom filter of every key known to the parent side (stored or logged as deleted) is
 broadcast; references it rejects are orphans for sure. Only the references it lets pass are
-joined exactly. The filter is register-blocked: one 64-bit word per key, so it is a two-column
-table that Spark builds with ``bit_or`` and probes with one hash lookup, all in the JVM.
+joined exactly. The filter is register-blocked: one 64-bit word per key, words packed by
+``LANES`` into rows, so it is a small table that Spark builds with ``bit_or`` and probes with one hash lookup, all in the JVM. Its
+size follows the number of parents, about 1 % of unknown keys pass at any size; a filter too large to be broadcast is
+shuffled with the references by row instead.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from pyspark.sql import functions as F
 
 from recallspark.skew import heavy_keys, salt_column
 
-#: The filter has at most this many 64-bit words (8 MB of bits), however many parents there are: a
-#: fuller filter lets more references pass to the exact join, which decides them all the same.
-MAX_WORDS = 1 << 20
-#: About this many keys share a word below that bound.
+#: About this many keys share a word.
 KEYS_PER_WORD = 6
+#: Words of one row of the filter.
+LANES = 16
+#: Up to this many words (64 MB of bits, about 50 million parents) the filter is broadcast, beyond it is joined by a shuffle.
+BROADCAST_WORDS = 1 << 23
 #: A parent named by at least this share of the references is salted (at most 500 such keys).
 HOT_SHARE = 0.002
 SALTS = 16
@@ -35,27 +38,44 @@ def _mask(key: Column) -> Column:
     return bit
 
 
-def _word(key: Column, words: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(words)).cast("int")
+def _row(key: Column, words: int) -> Column:
+    return F.shiftrightunsigned(F.pmod(F.xxhash64(key), F.lit(words)), LANES.bit_length() - 1)
+
+
+def _lane(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(LANES - 1)).cast("int")
 
 
 def bloom_words(n_keys: int) -> int:
-    words = 64
-    while words * KEYS_PER_WORD < n_keys and words < MAX_WORDS:
+    """A power of two, so that word, row and lane are bits of one hash."""
+    words = LANES
+    while words * KEYS_PER_WORD < n_keys:
         words *= 2
     return words
 
 
 def bloom_table(keys: DataFrame, key: str, words: int) -> DataFrame:
-    """(word, bits), at most ``words`` rows."""
-    return keys.groupBy(_word(F.col(key), words).alias("word")).agg(F.bit_or(_mask(F.col(key))).alias("bits"))
+    """(row, bits): ``words`` / LANES rows at most of LANES words each."""
+    made = keys.select(_row(F.col(key), words).alias("row"), _lane(F.col(key)).alias("lane"), _mask(F.col(key)).alias("mask"))
+    lanes = made.groupBy("row").agg(*[F.bit_or(F.when(F.col("lane") == i, F.col("mask")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(LANES)])
+    return lanes.select("row", F.array(*[f"w{i}" for i in range(LANES)]).alias("bits"))
 
 
-def bloom_probe(rows: DataFrame, key: str, table: DataFrame, words: int) -> DataFrame:
-    """``rows`` with ``maybe``: false proves that the key is not in the filter."""
-    probed = rows.withColumn("word", _word(F.col(key), words)).join(F.broadcast(table), "word", "left")
-    mask = _mask(F.col(key))
-    return probed.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("word", "bits")
+def bloom_probe(rows: DataFrame, key: str, table: DataFrame, words: int, hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``maybe``: false proves that the key is not in the filter.
+
+    Where the filter is not broadcast, the keys of ``hot`` (key; a bounded number, each naming many rows) pass without a look, so that no row of the filter meets a hot key's references.
+    """
+    mask, bits = _mask(F.col(key)), F.element_at("bits", _lane(F.col(key)) + 1)
+    maybe = F.coalesce(bits.bitwiseAND(mask) == mask, F.lit(False))
+    placed = rows.withColumn("row", _row(F.col(key), words))
+    if words <= BROADCAST_WORDS:
+        return placed.join(F.broadcast(table), "row", "left").withColumn("maybe", maybe).drop("row", "bits")
+    if hot is not None:
+        placed = placed.join(F.broadcast(hot.select(F.col("key").alias(key), F.lit(True).alias("passes"))), key, "left")
+        placed = placed.withColumn("row", F.when(F.col("passes"), F.xxhash64(*rows.columns)).otherwise(F.col("row")))
+        maybe = maybe | F.coalesce("passes", F.lit(False))
+    return placed.join(table.hint("shuffle_hash"), "row", "left").withColumn("maybe", maybe).select(*rows.columns, "maybe")
 
 
 @dataclass(frozen=True)
@@ -88,12 +108,11 @@ def find_orphans(children: DataFrame, ref: Reference, parents: DataFrame, tombst
     log = tombstones.where(F.col("table_nm") == ref.parent)
     known = parents.select(F.col("id").alias("key")).unionByName(log.select(F.col("rec_id").alias("key")))
     words = bloom_words(parents.count() + log.count())
-    probed = bloom_probe(refs, "target", bloom_table(known, "key", words), words)
-
     hot = heavy_keys(
         children.where(F.col(ref.column).isNotNull() & (F.col(ref.column) != 0)).select(F.col(ref.column).alias("key")),
         ["key"], HOT_SHARE, children.count(),
     ).withColumn("hot", F.lit(True))
+    probed = bloom_probe(refs, "target", bloom_table(known, "key", words), words, hot)
     hot = F.broadcast(hot)
 
     # a parent's row lacks the columns of the log, and the other way round

@@ -97,8 +97,9 @@ def test_orphans_empty(spark):
     assert {r.kind for r in orphans.find_orphans(c, REF, p.where("false"), log.where("false")).collect()} == {"missing"}
 
 
-def test_orphans_hot_parent_and_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(orphans, "MAX_WORDS", 64)  # far too small: nearly everything passes, the exact join decides
+@pytest.mark.parametrize("words", [1 << 23, 0])
+def test_orphans_with_a_hot_parent(spark, monkeypatch, words):
+    monkeypatch.setattr(orphans, "BROADCAST_WORDS", words)  # 0: the filter is shuffled
     n = 3000
     c = spark.range(1, n + 1).selectExpr("id", "if(id % 3 = 0, 7, id + 100000) AS episodic_id", "timestamp_ntz'2024-01-05' AS ingested_at")
     p = spark.range(1, n).selectExpr("if(id = 7, 7, id * 2 + 100000) AS id", "timestamp_ntz'2024-01-01' AS ingested_at")
@@ -108,9 +109,11 @@ def test_orphans_hot_parent_and_full_filter(spark, monkeypatch):
     assert {r.rec_id for r in orphans.find_orphans(c, REF, p, log).collect()} == want
 
 
-def test_bloom_has_no_false_negatives(spark):
-    keys = spark.range(5000).withColumnRenamed("id", "k")
-    table = orphans.bloom_table(keys, "k", 1024)
-    assert orphans.bloom_probe(keys, "k", table, 1024).where("NOT maybe").count() == 0
-    others = spark.range(10**6, 10**6 + 5000).withColumnRenamed("id", "k")
-    assert orphans.bloom_probe(others, "k", table, 1024).where("maybe").count() < 500
+@pytest.mark.parametrize(("n", "broadcast"), [(5000, 1 << 23), (2_000_000, 1 << 23), (2_000_000, 1024)])
+def test_bloom_filter_keeps_its_rate(spark, monkeypatch, n, broadcast):
+    monkeypatch.setattr(orphans, "BROADCAST_WORDS", broadcast)
+    keys, words = spark.range(n).withColumnRenamed("id", "k"), orphans.bloom_words(n)
+    table = orphans.bloom_table(keys, "k", words)
+    assert orphans.bloom_probe(keys, "k", table, words).where("NOT maybe").count() == 0
+    others = spark.range(10**9, 10**9 + 50_000).withColumnRenamed("id", "k")
+    assert orphans.bloom_probe(others, "k", table, words).where("maybe").count() < 0.03 * 50_000
