@@ -1,116 +1,12 @@
-"""Numeric layers over sequences of vectors: the lookup cache, the hybrid encoder and the liquid state."""
+"""The lookup cache over texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.operators.ordering import positions
-
-#: Vectors of one sequence that the encoder sees together; longer sequences are encoded in segments.
-SEGMENT = 512
-
 
 def engram_lookups(texts: DataFrame) -> DataFrame:
-    """engram_key, first_id, lookups, hits of texts (id, text) looked up in id order: every lookup after the first hits."""
+    """engram_key, first_id, lookups, hits of texts (id, text) looked up in id order: every lookup after the first hits. Null texts are not looked up."""
     keyed = texts.where("text IS NOT NULL").select(F.md5("text").alias("engram_key"), "id")
     return keyed.groupBy("engram_key").agg(F.min("id").alias("first_id"), F.count("*").alias("lookups")).withColumn("hits", F.col("lookups") - 1)
-
-
-def adaptive_params(n: Column) -> Column:
-    pair = lambda w, g: F.struct(F.lit(w).alias("window"), F.lit(g).alias("global_samples"))
-    return F.when(n <= 100, pair(10, 8)).when(n <= 500, pair(7, 5)).when(n <= 2000, pair(5, 3)).otherwise(pair(3, 2))
-
-
-def _soft(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(scores - scores.max(-1, keepdims=True))
-    return e / (e.sum(-1, keepdims=True) + 1e-8)
-
-
-def encode(x: np.ndarray, blocks: int = 2, sparse_layers: int = 4) -> np.ndarray:
-    """Blocks of one full attention, which picks the tokens most attended to, and sparse layers that mix these with a local window."""
-    n, d = x.shape
-    if n <= 1:
-        return x
-    window = 10 if n <= 100 else 7 if n <= 500 else 5 if n <= 2000 else 3
-    around = np.clip(np.arange(n)[:, None] + np.arange(-window, window + 1)[None, :], 0, n - 1)
-    for _ in range(blocks):
-        attention = _soft(x @ x.T / np.sqrt(d))
-        best = np.argsort(attention.sum(0))[-max(3, int(n * 0.1)) :]
-        y, chosen = attention @ x, x[best]
-        for _ in range(sparse_layers):
-            far = _soft(y @ chosen.T / np.sqrt(d)) @ chosen
-            near = y[around]
-            local = np.einsum("ijk,ij->ik", near, _soft(np.einsum("ijk,ik->ij", near, y)))
-            y = 0.5 * far + 0.5 * local
-        x = 0.6 * y + 0.4 * x
-    return x
-
-
-def encode_sequences(vectors: DataFrame) -> DataFrame:
-    """seq_key, id, vec: (seq_key, id, vec) encoded per sequence, in id order; sequences over SEGMENT vectors in segments, so that none grows unbounded."""
-    placed = positions(vectors.select("seq_key", "id", "vec"), "seq_key", "id").withColumn("segment", F.expr(f"(seq - 1) div {SEGMENT}"))
-    ordered = placed.repartition("seq_key", "segment").sortWithinPartitions("seq_key", "segment", "id").select("seq_key", "segment", "id", "vec")
-
-    def done(key: tuple[int, int], ids: list[int], vecs: list) -> pd.DataFrame:
-        return pd.DataFrame({"seq_key": key[0], "id": ids, "vec": list(encode(np.stack(vecs).astype("f8")))})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, vecs = None, [], []
-        for batch in batches:
-            out = []
-            for k, g, i, v in zip(batch["seq_key"], batch["segment"], batch["id"], batch["vec"], strict=True):
-                if (k, g) != key:
-                    if ids:
-                        out.append(done(key, ids, vecs))
-                    key, ids, vecs = (k, g), [], []
-                ids.append(i)
-                vecs.append(v)
-            if out:
-                yield pd.concat(out)
-        if ids:
-            yield done(key, ids, vecs)
-
-    return ordered.mapInPandas(run, "seq_key long, id long, vec array<double>")
-
-
-class LiquidCell:
-    """Closed-form continuous-time cell; its weights are seeded, so runs agree."""
-
-    def __init__(self, dim: int, taus: tuple[float, ...] = (0.1, 1.0, 10.0), seed: int = 42) -> None:
-        rng = np.random.RandomState(seed)
-        self.w_in, self.w_h, self.tau = rng.randn(dim, dim) * 0.1, rng.randn(dim, dim) * 0.1, float(np.mean(taus))
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        z = self.w_in @ x + self.w_h @ h
-        g = 1 / (1 + np.exp(-z / self.tau))
-        return (1 - g) * h + g * np.tanh(z)
-
-
-def liquid_states(vectors: DataFrame, dim: int) -> DataFrame:
-    """seq_key, steps, state: the hidden state after all vectors of a sequence, in id order.
-
-    Streams over sorted partitions; what is held per sequence is one state.
-    """
-    placed = vectors.select("seq_key", "id", "vec").repartition("seq_key").sortWithinPartitions("seq_key", "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, key, h, n = LiquidCell(dim), None, np.zeros(dim), 0
-        for batch in batches:
-            out = []
-            for k, v in zip(batch["seq_key"], batch["vec"], strict=True):
-                if k != key:
-                    if n:
-                        out.append((key, n, h.tolist()))
-                    key, h, n = k, np.zeros(dim), 0
-                h = cell.step(np.asarray(v, "f8"), h)
-                n += 1
-            yield pd.DataFrame(out, columns=["seq_key", "steps", "state"])
-        if n:
-            yield pd.DataFrame([(key, n, h.tolist())], columns=["seq_key", "steps", "state"])
-
-    return placed.mapInPandas(run, "seq_key long, steps long, state array<double>")

@@ -92,24 +92,6 @@ def engram_hits(spark: SparkSession, d: str) -> DataFrame:
     return layers.engram_lookups(turns(spark, d).select(F.col("turn_id").alias("id"), F.col("content").alias("text")))
 
 
-def _sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Usable embeddings of the facts, one sequence per turn."""
-    v = F.col("embedding")
-    good = (F.size(v) == 64) & (F.size(F.array_compact(v)) == 64) & ~F.isnan(F.array_max(v)) & (F.array_max(v) < float("inf")) & (F.array_min(v) > float("-inf"))
-    t = table(spark, d, "triples").where(good & (F.col("episodic_id") > 0))
-    return t.select(F.col("episodic_id").alias("seq_key"), "id", v.cast("array<double>").alias("vec")).distinct()
-
-
-def encoder_block(spark: SparkSession, d: str) -> DataFrame:
-    e = layers.encode_sequences(_sequences(spark, d))
-    return e.select("seq_key", "id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 5).alias("norm2"))
-
-
-def liquid_fold(spark: SparkSession, d: str) -> DataFrame:
-    s = layers.liquid_states(_sequences(spark, d), 64)
-    return s.select("seq_key", "steps", F.round(F.aggregate("state", F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm2"))
-
-
 def curiosity_questions(spark: SparkSession, d: str) -> DataFrame:
     """What every speaker likes and knows."""
     who = turns(spark, d).where("speaker <> ''").select(F.col("speaker").alias("subject")).distinct()
@@ -160,8 +142,8 @@ def chunk_lengths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        decompose_queries, analyze_queries, agg_classify, agg_numbers, agg_extremes, agg_answers, agg_count_optin, gate_scores, gate_decision_counts, engram_hits, encoder_block,
-        liquid_fold, curiosity_questions, curiosity_from_text, summary_facts, eval_hits, eval_by_category_rollup, eval_rouge, chunk_lengths,
+        decompose_queries, analyze_queries, agg_classify, agg_numbers, agg_extremes, agg_answers, agg_count_optin, gate_scores, gate_decision_counts, engram_hits,
+        curiosity_questions, curiosity_from_text, summary_facts, eval_hits, eval_by_category_rollup, eval_rouge, chunk_lengths,
     )
 }
 

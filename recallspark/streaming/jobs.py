@@ -6,7 +6,6 @@ live in the shared folder, so a job that is started again with the same folder g
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.operators.kg import DEFAULT_CONFIDENCE, decide
-from recallspark.shared import shared_dir
+from recallspark.shared import new_path
 
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
@@ -29,7 +28,7 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 64) -> Data
 def run_append(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes an append stream through the exactly-once file sink and reads the result."""
     spark = stream.sparkSession
-    base = folder or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = folder or new_path(spark, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/log").option("path", f"{base}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -38,7 +37,7 @@ def run_append(stream: DataFrame, name: str, folder: str | None = None) -> DataF
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
     """Writes each state of a complete-mode aggregation under its batch number and reads the last one."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = new_path(spark, name)
     last = {"batch": -1}
 
     def write(batch: DataFrame, number: int) -> None:

@@ -192,14 +192,11 @@ def test_fusion_and_tiers(spark):
     assert [r.key for r in retrieve.route_tiers(tiers, 3).orderBy("rank").collect()] == ["y", "z", "x"]
 
 
-def test_gate_and_layers(spark):
+def test_gate_and_lookups(spark):
     df = spark.createDataFrame([("",), (None,), ("hello there",)], "t string").select("t", gate.gate_passes(gate.gate_scores(F.col("t"))).alias("ok"))
     assert [r.ok for r in df.collect()] == [False, False, True]
     hits = layers.engram_lookups(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, text string"))
     assert {(r.first_id, r.hits) for r in hits.collect()} == {(1, 1), (2, 0)}
-    v = spark.createDataFrame([(k, i, [float(i), 1.0, -1.0]) for k in (1, 2) for i in range(4)], "seq_key long, id long, vec array<double>")
-    assert layers.encode_sequences(v).count() == 8
-    assert {r.steps for r in layers.liquid_states(v, 3).collect()} == {4}
 
 
 def test_dialogue_files(spark, tmp_path):

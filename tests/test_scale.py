@@ -5,7 +5,7 @@ from datetime import datetime as D
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark import skew
+from recallspark import shared, skew
 from recallspark.operators import orphans
 from recallspark.operators.heavy_stats import heavy_pairs, key_statistics
 
@@ -117,3 +117,31 @@ def test_bloom_filter_keeps_its_rate(spark, monkeypatch, n, broadcast):
     assert orphans.bloom_probe(keys, "k", table, words).where("NOT maybe").count() == 0
     others = spark.range(10**9, 10**9 + 50_000).withColumnRenamed("id", "k")
     assert orphans.bloom_probe(others, "k", table, words).where("maybe").count() < 0.03 * 50_000
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+
+
+def test_release_deletes_what_was_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(shared, "_WRITTEN", [])
+    assert shared.materialize(spark.range(3)).count() == 3 and any(tmp_path.iterdir())
+    assert shared.release(spark) == 1 and not any(tmp_path.iterdir())
+
+
+def test_spread_runs_no_job(spark):
+    spark.sparkContext.setJobGroup("spread", "")
+    df = shared.spread(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "k")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    assert df.count() == 7
+    spark.sparkContext.setJobGroup("tests", "")
