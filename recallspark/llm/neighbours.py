@@ -183,7 +183,7 @@ def lay_out(index: Index, total: int, p: IndexParams, cores: int = 1) -> int:
 
 def deal_visitors(index: Index, visitors: np.ndarray, p: IndexParams) -> None:
     """Slices for the shards of many visitors."""
-    index.slices = np.maximum(1, np.ceil(visitors / (2 * p.shard_rows))).astype("i4")
+    index.slices = np.maximum(1, np.ceil(visitors / (4 * p.shard_rows))).astype("i4")
     index.first_part = np.concatenate([[0], np.cumsum(index.slices)[:-1]]).astype("i4")
 
 
