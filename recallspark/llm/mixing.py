@@ -79,12 +79,15 @@ def largest_exact(weight: Mapping[Path, float], supply: Mapping[Path, float]) ->
     return min(bounds, default=0.0)
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, domains: Mapping[str, str] = DOMAINS, seed: int = 17) -> DataFrame:
+def mixture(
+    sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, domains: Mapping[str, str] = DOMAINS, seed: int = 17, of_supply: float | None = None
+) -> DataFrame:
     """source, lang, doc_id, n_tokens, n_uses: the records of the mixture and how often each is used.
 
     ``sizes`` has doc_id, source, lang, n_tokens; ``targets`` has source, target_share, max_repeats. Shares are of
     tokens, and within a source its languages keep their natural proportions. Without ``total_tokens`` the mixture is as large
-    as it can be with every source that has records at its share; with it, sources too small give up to ``max_repeats``
+    as it can be with every source that has records at its share; with it, or with ``of_supply`` (the total as a multiple of
+    the tokens of the usable records), sources too small give up to ``max_repeats``
     uses of each record, and the shortage goes to siblings, then further up. A source without records
     counts as a shortage too. The prefix of a leaf ends at the record boundary nearest to its budget. Records of other or null sources and of
     0 or null tokens are not used; a doc_id given twice counts once. Null or non-positive shares and
@@ -119,6 +122,8 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
         path = (domains.get(r["source"], r["source"]), r["lang"], r["source"])
         weight[path], once[path] = share[r["source"]] * r["tokens"] / of_source[r["source"]], float(r["tokens"])
     supply = {x: once[x] * repeats[x[2]] for x in weight}
+    if of_supply is not None:
+        total_tokens = of_supply * sum(once.values())
     amount = largest_exact(weight, supply) if total_tokens is None else float(total_tokens)
     budget = share_out(amount, weight, supply)
 

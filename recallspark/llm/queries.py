@@ -10,7 +10,7 @@ from recallspark.llm.mixing import mixture, share_report
 from recallspark.llm.neighbours import IndexParams, neighbours
 from recallspark.llm.packing import fill_report, pack
 from recallspark.llm.payloads import parse_payloads
-from recallspark.llm.reading import all_levels, calibrate, features, levels, script
+from recallspark.llm.reading import all_levels, calibrate, features, features_of, levels, word_counts
 from recallspark.llm.terms import term_frequency
 from recallspark.llm.tokens import token_count
 from recallspark.shared import materialize
@@ -74,27 +74,72 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(p7_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """pack_name, capacity_tokens, n_docs, n_overfull, n_split_that_fit, n_lost_tokens: what must hold for every packing."""
+    sizes = materialize(_sizes(spark, d).select("doc_id", "n_tokens"), "sizes")
+    packs = table(spark, d, "pack_sizes").select("pack_name", "capacity_tokens")
+    packed = materialize(pack(sizes, packs), "packed")  # read twice
+    boxes = packed.where("container IS NOT NULL").groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(packs), "pack_name")
+    overfull = boxes.groupBy("pack_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_overfull"))
+    placed = packed.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"))
+    whole = placed.join(sizes.groupBy("doc_id").agg(F.max("n_tokens").alias("n")), "doc_id", "full").join(F.broadcast(packs), "pack_name", "left")
+    per = whole.groupBy("pack_name", "capacity_tokens").agg(
+        F.count("doc_id").alias("n_docs"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("n_split_that_fit"),
+        F.sum(F.abs(F.col("placed") - F.col("n"))).alias("n_lost_tokens"),
+    )
+    return per.join(F.broadcast(overfull), "pack_name").select("pack_name", "capacity_tokens", "n_docs", "n_overfull", "n_split_that_fit", "n_lost_tokens")
+
+
+def p7_mixture_full(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of as many tokens as the usable records hold: small sources are repeated, and what runs short is taken over by siblings."""
+    return mixture(_sizes(spark, d), table(spark, d, "mix_targets"), of_supply=1.0)
+
+
+def p7_shares_full(spark: SparkSession, d: str) -> DataFrame:
+    return share_report(p7_mixture_full(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """source, has_records, within_repeats, once_each: what must hold for every mixture, one row per target and none for other sources."""
+    mixed = p7_mixture_full(spark, d).groupBy("source").agg(F.max("n_uses").alias("most"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    want = table(spark, d, "mix_targets").select("source", "max_repeats")
+    return want.join(mixed, "source", "full").select(
+        "source", F.col("n").isNotNull().alias("has_records"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"),
+        (F.coalesce("n", F.lit(0)) == F.coalesce("docs", F.lit(0))).alias("once_each"),
+    )
+
+
 def _english(spark: SparkSession, d: str) -> DataFrame:
     return features(table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
 
 
-def _written(spark: SparkSession, d: str, writing: str) -> DataFrame:
-    """Features of all documents of a script, whatever their tag."""
-    docs = table(spark, d, "documents").where(script(F.col("text"), F.col("lang")) == writing)
-    return materialize(features(docs.select("doc_id", "text"), writing=writing), writing)
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """Features of all documents, in the script of each, whatever its tag."""
+    return materialize(features_of(word_counts(table(spark, d, "documents").select("doc_id", "text", "lang"))), "features")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    feats = _written(spark, d, "latin")
+    feats = _written(spark, d).where("script = 'latin'")
     english = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
     return levels(feats, calibrate(feats, table(spark, d, "doc_grades"))).join(english, "doc_id", "left_semi").select("doc_id", "band")
 
 
 def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     """The level of every document, and what it rests on."""
-    latin = _written(spark, d, "latin")
+    written = _written(spark, d)
+    latin, han = written.where("script = 'latin'"), written.where("script = 'han'")
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return all_levels(docs, latin, _written(spark, d, "han"), calibrate(latin, table(spark, d, "doc_grades")))
+    return all_levels(docs, latin, han, calibrate(latin, table(spark, d, "doc_grades")))
+
+
+#: Coefficients of an example scale: what any calibration is applied with, whatever the grades say.
+EXAMPLE = (-4.0, 1.0, 1.5, 0.75, 0.0, 0.0, 0.0, 0.0, 0.0, 0.125)
+
+
+def p8_example_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Grades and bands on a given scale."""
+    return levels(_english(spark, d), list(EXAMPLE)).select("doc_id", F.round("grade", 6).alias("grade"), "band")
 
 
 def p8_features(spark: SparkSession, d: str) -> DataFrame:
@@ -112,10 +157,15 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p6_packs": p6_packs,
     "p6_fill": p6_fill,
+    "p6_check": p6_check,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_mixture_full": p7_mixture_full,
+    "p7_shares_full": p7_shares_full,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_features": p8_features,
+    "p8_example_levels": p8_example_levels,
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,
     "p1_found": p1_found,
@@ -180,11 +230,21 @@ c AS (SELECT doc_id, rnk, sum(tf) OVER (PARTITION BY doc_id ORDER BY rnk) AS upt
 v AS (SELECT doc_id, CAST(max(n) AS BIGINT) AS n_words, min(rnk) FILTER (upto >= n * 0.5) AS coverage_rank FROM c GROUP BY doc_id)
 """
 
+_FEATURES = """SELECT doc_id, n_words, n_blank AS n_blank_words, coverage_rank, n_words / greatest(n_sent, 1) AS words_per_sentence,
+          length(array_to_string(w, '')) / n_words AS letters_per_word
+        FROM v JOIN d USING (doc_id)"""
+
 ORACLES = {
-    "p8_features": f"""WITH {_READING}
-        SELECT doc_id, n_words, n_blank AS n_blank_words, coverage_rank, round(n_words / greatest(n_sent, 1), 6) AS words_per_sentence,
-          round(length(array_to_string(w, '')) / n_words, 6) AS letters_per_word
-        FROM v JOIN d USING (doc_id)""",
+    "p6_check": """SELECT pack_name, capacity_tokens, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs,
+          0::BIGINT AS n_overfull, 0::BIGINT AS n_split_that_fit, 0::BIGINT AS n_lost_tokens FROM pack_sizes""",
+    "p7_check": """SELECT source, EXISTS (SELECT 1 FROM documents d WHERE d.source = m.source AND d.text <> '') AS has_records,
+          true AS within_repeats, true AS once_each FROM mix_targets m""",
+    "p8_example_levels": f"""WITH {_READING}, f AS ({_FEATURES}),
+        g AS (SELECT doc_id, CAST(-4.0 AS DOUBLE) + ln(coverage_rank) + CAST(1.5 AS DOUBLE) * ln(words_per_sentence) + CAST(0.75 AS DOUBLE) * letters_per_word
+          + CAST(0.125 AS DOUBLE) * ln(words_per_sentence) * letters_per_word AS grade FROM f WHERE n_blank_words >= 40)
+        SELECT doc_id, round(grade, 6) AS grade, CASE WHEN grade < 5.5 THEN 'easy' WHEN grade < 9.5 THEN 'middle' ELSE 'hard' END AS band FROM g""",
+    "p8_features": f"""WITH {_READING}, f AS ({_FEATURES})
+        SELECT doc_id, n_words, n_blank_words, coverage_rank, round(words_per_sentence, 6) AS words_per_sentence, round(letters_per_word, 6) AS letters_per_word FROM f""",
     "p3_found": f"WITH {_NEAR} SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k",
     "p1_found": f"WITH {_TERMS} SELECT fld, term, mark FROM m WHERE mark <> 'useful'",
     "p1_term_frequency": f"WITH {_TERMS} SELECT * FROM m",

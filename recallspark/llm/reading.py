@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recallspark.shared import materialize
+
 #: Share of a document's words that its vocabulary must cover.
 COVER = 0.5
 #: The most frequent words are looked up by broadcast (bounded), all others by a shuffled join.
@@ -25,7 +27,7 @@ EASY, MIDDLE = 5.5, 9.5
 WORD = "[a-z]+(?:'[a-z]+)?"
 #: Script: what a word is, and what a sentence must hold.
 SCRIPTS = {"latin": (WORD, "[A-Za-z]"), "han": ("[一-龥]", "[一-龥]")}
-FEATURES = ("a", "s", "w")
+ENDS = ".!?。！？\n"
 TERMS = ("1.0D", "a", "s", "w", "a * a", "s * s", "w * w", "a * s", "a * w", "s * w")
 
 
@@ -39,20 +41,63 @@ def language(lang: Column) -> Column:
     return F.when(base.isin("cmn", "zho", "chi"), "zh").when(base == "eng", "en").otherwise(base)
 
 
-def script(text: Column, lang: Column) -> Column:
-    """latin or han, whichever has more words in the text (null if neither has any): tags may be missing or wrong. A text tagged as English is latin if it has a Latin word."""
-    n_latin, n_han = F.size(_words(text)), F.size(_words(text, SCRIPTS["han"][0]))
-    english = F.coalesce(language(lang) == "en", F.lit(False))
-    return F.when((n_latin > 0) & (english | (n_latin >= n_han)), "latin").when(n_han > 0, "han")
-
+def word_counts(docs: DataFrame, writing: str | None = None) -> DataFrame:
+    """doc_id, script, word, tf, n_sentences, n_blank_words of (doc_id, text) in one writing, or of (doc_id, text, lang) in the script of each text.
 
-def word_ranks(doc_words: DataFrame) -> DataFrame:
-    """word, rnk from (doc_id, word, tf): 1 + the number of words that occur more often; equally frequent words share a rank."""
-    totals = doc_words.groupBy("word").agg(F.sum("tf").alias("total"))
-    # one row per distinct frequency: with n word occurrences there are fewer than sqrt(2 n) of them
-    steps = totals.groupBy("total").agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return totals.join(steps.select("total", (above + 1).alias("rnk")), "total").select("word", "rnk")
+    A text is latin or han, whichever it has more words of, as tags may be missing or wrong; one tagged as English is latin if it has a Latin
+    word, and one with neither has no rows. Texts are matched where they lie, placed by doc_id once and written; the sentences and pieces of a text count at its first word.
+    Outer explodes keep the optimizer from matching every text once more for a filter on it.
+    """
+    latin, han = SCRIPTS["latin"][0], SCRIPTS["han"][0]
+    if writing is None:
+        english = F.coalesce(language(F.col("lang")) == "en", F.lit(False))
+        found = docs.select("doc_id", "text", english.alias("english"), _words(F.col("text"), latin).alias("latin"), F.regexp_count("text", F.lit(han)).alias("n_han"))
+        n_latin = F.size("latin")
+        script = F.when((n_latin > 0) & (F.col("english") | (n_latin >= F.col("n_han"))), "latin").when(F.col("n_han") > 0, "han")
+        named = found.select("doc_id", "text", script.alias("script"), "latin")
+        words = F.when(F.col("script") == "latin", F.col("latin")).when(F.col("script") == "han", _words(F.col("text"), han))
+    else:
+        named, words = docs.select("doc_id", "text", F.lit(writing).alias("script")), _words(F.col("text"), SCRIPTS[writing][0])
+    sentences = F.lit(0)
+    for name, (_, letter) in SCRIPTS.items():  # from the first letter of a sentence to its end
+        sentences = F.when(F.col("script") == name, F.regexp_count("text", F.lit(f"{letter}[^{ENDS}]*"))).otherwise(sentences)
+    matched = named.select("doc_id", "script", F.array_join(words, " ").alias("words"), sentences.alias("n_sentences"), F.regexp_count("text", F.lit(r"\S+")).alias("n_blank_words"))
+    placed = matched.repartition("doc_id").distinct()
+    exploded = placed.select("doc_id", "script", "n_sentences", "n_blank_words", F.posexplode_outer(F.split("words", " ")).alias("pos", "word")).where("word <> ''")
+    once = lambda c: F.sum(F.when(F.col("pos") == 0, F.col(c)).otherwise(0)).alias(c)
+    counted = exploded.groupBy("doc_id", "script", "word").agg(F.count("*").alias("tf"), once("n_sentences"), once("n_blank_words"))
+    return materialize(counted, "words")
+
+
+def word_ranks(counts: DataFrame) -> DataFrame:
+    """script, word, rnk: 1 + the number of words of the script that occur more often; equally frequent words share a rank."""
+    totals = counts.groupBy("script", "word").agg(F.sum("tf").alias("total"))
+    # one row per distinct frequency of a script: with n word occurrences there are fewer than sqrt(2 n) of them
+    steps = totals.groupBy("script", "total").agg(F.count("*").alias("n"))
+    higher = Window.partitionBy("script").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum("n").over(higher), F.lit(0))
+    return totals.join(steps.select("script", "total", (above + 1).alias("rnk")), ["script", "total"]).select("script", "word", "rnk")
+
+
+def features_of(counts: DataFrame, cover: float = COVER) -> DataFrame:
+    """doc_id, script, n_words, n_blank_words, coverage_rank, words_per_sentence, letters_per_word from ``word_counts``."""
+    ranks = word_ranks(counts)
+    top = ranks.where(F.col("rnk") <= TOP_WORDS).orderBy("rnk", "word").limit(2 * TOP_WORDS)
+    known = counts.join(F.broadcast(top), ["script", "word"], "left")
+    rest = known.where("rnk IS NULL").drop("rnk").join(ranks, ["script", "word"])
+    ranked = known.where("rnk IS NOT NULL").unionByName(rest)
+    doc = Window.partitionBy("doc_id", "script")
+    upto = F.sum("tf").over(doc.orderBy("rnk").rangeBetween(Window.unboundedPreceding, 0))
+    summed = ranked.withColumn("upto", upto).withColumn("all", F.sum("tf").over(doc))
+    sizes = summed.groupBy("doc_id", "script").agg(
+        F.min(F.when(F.col("upto") >= F.col("all") * F.lit(cover), F.col("rnk"))).alias("coverage_rank"),
+        F.sum("tf").alias("n_words"), F.sum(F.col("tf") * F.length("word")).alias("letters"),
+        F.sum("n_sentences").alias("n_sentences"), F.sum("n_blank_words").alias("n_blank_words"),
+    )
+    return sizes.select(
+        "doc_id", "script", "n_words", "n_blank_words", "coverage_rank",
+        (F.col("n_words") / F.greatest("n_sentences", F.lit(1))).alias("words_per_sentence"), (F.col("letters") / F.col("n_words")).alias("letters_per_word"),
+    )
 
 
 def features(docs: DataFrame, cover: float = COVER, writing: str = "latin") -> DataFrame:
@@ -61,39 +106,8 @@ def features(docs: DataFrame, cover: float = COVER, writing: str = "latin") -> D
     ``docs`` has doc_id and text; their words make up the frequency ranking, over whole texts. Words are runs of a-z with an
     inner apostrophe; ``n_blank_words`` counts pieces between white space. Sentences end at . ! ? (also full-width) or a line end and
     hold a letter. With ``writing`` "han", words are single Han characters. Null, empty and wordless texts get no row. A row given twice counts once; several texts of one doc_id are one document.
-
-    Texts are matched where they lie and their words placed by doc_id once; counting, summing and the coverage of a
-    document all reuse that placement.
     """
-    word, letter = SCRIPTS[writing]
-    cuts = F.split("text", "[.!?。！？\n]+")
-    matched = docs.select(
-        "doc_id",
-        F.array_join(_words(F.col("text"), word), " ").alias("words"),
-        F.size(F.filter(cuts, lambda x: x.rlike(letter))).alias("n_sentences"),
-        F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("n_blank_words"),
-    ).where("words <> ''")
-    shape = matched.repartition("doc_id").distinct()
-    flat = shape.select("doc_id", F.explode(F.split("words", " ")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
-    ranks = word_ranks(flat)
-    top = ranks.where(F.col("rnk") <= TOP_WORDS).orderBy("rnk", "word").limit(2 * TOP_WORDS)
-    known = flat.join(F.broadcast(top), "word", "left")
-    rest = known.where("rnk IS NULL").drop("rnk").join(ranks, "word")
-    ranked = known.where("rnk IS NOT NULL").unionByName(rest)
-    per_rank = Window.partitionBy("doc_id").orderBy("rnk").rangeBetween(Window.unboundedPreceding, 0)
-    summed = ranked.withColumn("upto", F.sum("tf").over(per_rank)).withColumn("all", F.sum("tf").over(Window.partitionBy("doc_id")))
-    coverage = summed.groupBy("doc_id").agg(
-        F.min(F.when(F.col("upto") >= F.col("all") * F.lit(cover), F.col("rnk"))).alias("coverage_rank"),
-        F.max("all").alias("n_words"),
-    )
-    blanks = F.length("words") - F.length(F.translate("words", " ", ""))  # one between two words
-    sizes = shape.groupBy("doc_id").agg(
-        F.sum("n_blank_words").alias("n_blank_words"), F.sum("n_sentences").alias("n_sentences"), F.sum(blanks + 1).alias("n"), F.sum(F.length("words") - blanks).alias("letters")
-    )
-    shapes = sizes.select(
-        "doc_id", "n_blank_words", (F.col("n") / F.greatest("n_sentences", F.lit(1))).alias("words_per_sentence"), (F.col("letters") / F.col("n")).alias("letters_per_word")
-    )
-    return coverage.join(shapes, "doc_id").select("doc_id", "n_words", "n_blank_words", "coverage_rank", "words_per_sentence", "letters_per_word")
+    return features_of(word_counts(docs, writing), cover).drop("script")
 
 
 def _terms(feats: DataFrame) -> DataFrame:
