@@ -6,17 +6,41 @@ live in the shared folder, so a job that is started again with the same folder g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from recallspark.operators.kg import DEFAULT_CONFIDENCE, decide
 from recallspark.shared import new_path
 
 
+#: Micro-batches of the last run of each job, by name.
+BATCHES: dict[str, int] = {}
+
+
+def replay(rows: DataFrame, part: Column, name: str) -> tuple[DataFrame, Iterator[None]]:
+    """A stream of a stored table as it arrived, and its arrivals: each step writes the rows of the next value of ``part`` (a calendar period, say).
+
+    The ``run_`` functions take the arrivals and run to the end of what is there after each of them, so that every part is a micro-batch. Times
+    become event times, read in the session's zone.
+    """
+    spark = rows.sparkSession
+    stamped = rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"})
+    path = new_path(spark, f"{name}-arrivals")
+    stamped.where("false").write.parquet(path)
+
+    def arrivals() -> Iterator[None]:
+        for r in stamped.select(part.alias("part")).distinct().orderBy("part").collect():  # one value per period
+            stamped.where(part.eqNullSafe(F.lit(r["part"]))).write.mode("append").parquet(path)
+            yield
+
+    return spark.readStream.schema(stamped.schema).parquet(path), arrivals()
+
+
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """A stream of the Parquet file or files at ``path``, with their schema; times are event times, read in the session's zone."""
     schema = spark.read.parquet(path).schema
@@ -25,27 +49,39 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 64) -> Data
     return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def run_append(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Writes an append stream through the exactly-once file sink and reads the result."""
+def run_append(stream: DataFrame, name: str, folder: str | None = None, arrivals: Iterable[None] = (None,)) -> DataFrame:
+    """Writes an append stream through the exactly-once file sink and reads the result; goes on from its log after each arrival."""
     spark = stream.sparkSession
     base = folder or new_path(spark, name)
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/log").option("path", f"{base}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
+    BATCHES[name] = 0
+    for _ in arrivals:
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/log").option("path", f"{base}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+        _note(name, query)
+    if not BATCHES[name]:
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
+def _note(name: str, query: StreamingQuery) -> None:
+    BATCHES[name] += len({p["batchId"] for p in query.recentProgress if p["numInputRows"]})
+
+
+def run_complete(stream: DataFrame, name: str, arrivals: Iterable[None] = (None,)) -> DataFrame:
     """Writes each state of a complete-mode aggregation under its batch number and reads the last one."""
     spark = stream.sparkSession
     base = new_path(spark, name)
     last = {"batch": -1}
+    BATCHES[name] = 0
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
         last["batch"] = number
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    for _ in arrivals:
+        query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+        _note(name, query)
     if last["batch"] < 0:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{base}/out/{last['batch']}")
@@ -73,7 +109,10 @@ _CHUNK = "scope_id string, start_turn_id long, end_turn_id long, content string"
 
 
 def sliding_chunks(turns: DataFrame, size: int = 3) -> DataFrame:
-    """Chunks of ``size`` turns as turns arrive; a scope's state is its last ``size`` - 1 turns. Turns are ordered by id within a batch."""
+    """Chunks of ``size`` turns as turns arrive; a scope's state is its last ``size`` - 1 turns.
+
+    Turns are ordered by micro-batch, then by id. A task holds a scope's turns of one micro-batch, whose size the source bounds.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("turn_id")
@@ -98,10 +137,14 @@ _DECISION = "id long, subject string, predicate string, object string, action st
 
 
 def conflict_decisions(triples: DataFrame) -> DataFrame:
-    """The batch fold of the triple store on a stream: per (subject, predicate) the state is two stored rows."""
+    """The batch fold of the triple store on a stream: per (subject, predicate) the state is two stored rows.
+
+    Triples are taken in order of micro-batch, then of id; ids must be unique (``first_deliveries``). A task folds a key's rows of one
+    micro-batch, whose size the source bounds.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).drop_duplicates("id").sort_values("id")
+        rows = pd.concat(list(batches)).sort_values("id")
         stored = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
         out = []
         for r in rows.itertuples(index=False):

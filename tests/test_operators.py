@@ -84,9 +84,35 @@ def test_conflict_fold_equals_a_naive_fold_in_batch_and_stream(spark, tmp_path):
     t = spark.createDataFrame(rows, "id long, subject string, predicate string, object string, confidence double, source string")
     want = naive_fold(rows)
     assert {r.id: (r.action, r.target_id) for r in kg.conflict_decisions(t).collect()} == want
-    t.coalesce(1).write.parquet(f"{tmp_path}/facts.parquet")
-    streamed = jobs.run_append(jobs.conflict_decisions(jobs.stream_of(spark, f"{tmp_path}/facts.parquet")), "conflicts", f"{tmp_path}/out")
-    assert {r.id: (r.action, r.target_id) for r in streamed.collect()} == want
+    # five micro-batches, in which ids come out of order
+    part = {r[0]: rnd.randrange(5) for r in rows}
+    late = t.join(spark.createDataFrame(list(part.items()), "id long, part int"), "id")
+    stream, arrivals = jobs.replay(late, F.col("part"), "facts")
+    streamed = jobs.run_append(jobs.conflict_decisions(stream), "conflicts", arrivals=arrivals)
+    place = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (part[r[0]], r[0])))}
+    back = {n: i for i, n in place.items()}
+    fold = naive_fold(sorted((place[r[0]], *r[1:]) for r in rows))
+    assert {r.id: (r.action, r.target_id) for r in streamed.collect()} == {back[n]: (action, None if target is None else back[target]) for n, (action, target) in fold.items()}
+    assert jobs.BATCHES["conflicts"] == 5
+
+
+def test_streamed_chunks_and_deliveries_over_batches(spark):
+    rows = [(i, f"s{i % 3}", f"t{i}", f"2024-0{1 + i * 7 % 5}-03 00:00:00") for i in range(60)]
+    rows += [(5, "s2", "t5", "2024-05-04 00:00:00"), (9, "s0", "t9", rows[9][3])]  # delivered again, months later and at once
+    t = spark.createDataFrame(rows, "id long, scope_id string, content string, at string").withColumn("ingested_at", F.col("at").cast("timestamp_ntz"))
+    stream, arrivals = jobs.replay(t, F.date_trunc("month", "ingested_at"), "turns")
+    once = jobs.first_deliveries(stream, delay="200 days").select(F.col("id").alias("turn_id"), "scope_id", "content")
+    made = jobs.run_append(jobs.sliding_chunks(once), "chunks", arrivals=arrivals)
+    want = set()
+    for scope in ("s0", "s1", "s2"):
+        first = {}
+        for i, s, x, at in sorted(rows, key=lambda r: (r[3], r[0])):
+            if s == scope:
+                first.setdefault(i, (at[:7], i, x))
+        order = sorted(first.values())
+        want |= {(scope, a[1], c[1], "\n".join((a[2], b[2], c[2]))) for a, b, c in zip(order, order[1:], order[2:], strict=False)}
+    assert {tuple(r) for r in made.collect()} == want
+    assert jobs.BATCHES["chunks"] == 5
 
 
 def test_conflicts_of_odd_rows(spark):
