@@ -31,10 +31,19 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
+def lengths(docs: DataFrame) -> DataFrame:
+    """id, n_tokens of the documents that are not blank."""
+    return spread(docs.select("id", "text"), "id").where(F.trim("text") != "").select("id", F.size(bm25_tokens(F.col("text"))).alias("n_tokens"))
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
+    """One row: n_docs, avgdl."""
+    return lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: n_docs, avgdl over the documents that are not blank."""
-    n = F.size(bm25_tokens(F.col("text")))
-    return spread(docs.select("id", "text"), "id").where(F.trim("text") != "").agg(F.count("*").alias("n_docs"), F.avg(n).alias("avgdl"))
+    return stats_of(lengths(docs))
 
 
 def document_frequency(post: DataFrame, stats: DataFrame) -> DataFrame:
@@ -56,7 +65,11 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     its k-th best score; the weakest terms whose bounds together stay below it cannot bring in a document by
     themselves, so they are only looked up for the documents that the other terms found and that can still make it.
     """
-    post, stats = materialize(postings(docs), "postings"), corpus_stats(docs)
+    return bm25_over(queries, materialize(postings(docs), "postings"), corpus_stats(docs), k)
+
+
+def bm25_over(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """As ``bm25_search``, over stored postings and the one row of ``corpus_stats``."""
     idf = document_frequency(post, stats).select("term", "idf")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     impacts = spread(materialize(post.join(idf, "term").crossJoin(F.broadcast(stats)).select("term", "id", weight.alias("impact")), "impacts"), "id")

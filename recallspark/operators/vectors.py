@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 
 from recallspark.shared import materialize
 
-#: Vectors of one block on either side; a task scores one block of queries against one block of the base.
-BLOCK = 8192
+#: Vectors of one block on either side, at most; a task scores one block of queries against one block of the base, about a
+#: thousand million pairs, so that the copies of a block that are shuffled cost little beside the scoring.
+BLOCK = 32_768
+LEAST_BLOCK = 1024
 EMBED_DIM = 384
 
 
@@ -35,8 +37,14 @@ def _score(k: int):  # noqa: ANN202
         for part in np.array_split(q, -(-len(q) // 512)):
             s = x[part] @ x[b].T
             s = np.trunc(s * 1e6 + np.copysign(0.5, s)) / 1e6  # halves away from zero, as in SQL
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append((np.repeat(ids[part], top.shape[1]), ids[b][top].ravel(), np.take_along_axis(s, top, 1).ravel()))
+            last = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+            i, j = np.nonzero(s >= last[:, None])  # with all that tie with the k-th
+            order = np.lexsort((j, -s[i, j], i))
+            i, j = i[order], j[order]
+            begin = np.searchsorted(i, np.arange(len(s)))
+            top = np.arange(len(i)) - begin[i] < k
+            i, j = i[top], j[top]
+            out.append((ids[part][i], ids[b][j], s[i, j]))
         qs, bs, ss = (np.concatenate(v) for v in zip(*out, strict=True))
         return pa.table([qs, bs, ss], schema=schema)
 
@@ -50,6 +58,8 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int, n_queries: int, n_ba
     only each block's best ``k`` per query are shuffled on. ``n_queries`` and ``n_base`` size the blocks.
     """
     qb, bb = max(1, -(-n_queries // BLOCK)), max(1, -(-n_base // BLOCK))
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    bb = max(bb, min(-(-2 * cores // qb), n_base // LEAST_BLOCK))  # small inputs are spread over the cores
     of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select("id", "vec", F.lit(True).alias("is_query"), of(qb).alias("qb"), every(bb).alias("bb"))

@@ -12,7 +12,8 @@ from recallspark.operators.ingest import covering, sequenced
 from recallspark.plans import ingest as plan_ingest
 from recallspark.plans.ingest import SEQ, TURNS, WORDS
 from recallspark.plans.knowledge import activated
-from recallspark.shared import materialize
+from recallspark.shared import materialize, new_path
+from recallspark.sources.store import MemoryStore
 from recallspark.sources.tables import table, turns
 
 EVERY = 20
@@ -44,6 +45,16 @@ def bm25_topk_turns(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.bm25_search(questions(spark, d), _turn_docs(spark, d), 15)
 
 
+def kept_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The turns stored in three batches, then searched over the postings that each batch left."""
+    store = MemoryStore(spark, new_path(spark, "store"))
+    t = turns(spark, d)
+    for batch in range(3):
+        store.append(t.where(F.pmod("turn_id", F.lit(3)) == batch), batch)
+    store.append(t.where(F.pmod("turn_id", F.lit(3)) == 1), 1)  # written again: it replaces itself
+    return store.search(questions(spark, d), 15)
+
+
 def _keyword_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = table(spark, d, "triples")
     asked = retrieve.query_keywords(questions(spark, d))
@@ -233,7 +244,7 @@ def routing_tiers(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_topk_docs, bm25_topk_turns, keyword_idf, entity_graph_search, entity_results, spreading_results, recall_hybrid, recall_all_paths, recall_full, rerank_full, parent_full,
+        bm25_stats, bm25_topk_docs, bm25_topk_turns, kept_index_search, keyword_idf, entity_graph_search, entity_results, spreading_results, recall_hybrid, recall_all_paths, recall_full, rerank_full, parent_full,
         rerank_heuristic, parent_replace, vector_topk, triple_vector_similarity, hash_embed, chunk_semantic, vector_recent_turns, routing_tiers,
     )
 }
@@ -325,6 +336,7 @@ ORACLES = {
         FROM fi QUALIFY rank <= 10""",
     "bm25_stats": f"WITH {_DOCS}, {_BM} SELECT term, df, round(idf, 6) AS idf FROM df",
     "bm25_topk_docs": f"WITH {TURNS}, {_ASKED}, {_DOCS}, {_BM}, {_top(10)} SELECT * FROM bm",
+    "kept_index_search": f"WITH {TURNS}, {_ASKED}, {_TURNDOCS}, {_BM}, {_top(15)} SELECT * FROM bm",
     "bm25_topk_turns": f"WITH {TURNS}, {_ASKED}, {_TURNDOCS}, {_BM}, {_top(15)} SELECT * FROM bm",
     "keyword_idf": f"WITH {TURNS}, {_MATCH} SELECT kw, df, round(idf, 6) AS idf FROM ki",
     "entity_graph_search": f"WITH {TURNS}, {_ASKED}, {_ENTITY} SELECT * FROM eg",

@@ -5,6 +5,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
+from recallspark.config import EngineConfig
 from recallspark.engine import MemoryEngine
 from recallspark.functions import answers, gate, understand
 from recallspark.operators import evaluate, extract, graph, ingest, kg, layers, ordering, retrieve, vectors
@@ -49,6 +50,20 @@ def test_engine_recalls_the_mini_corpus(spark):
     assert kws == {1: "when caroline lgbtq support group", 2: "charity race"}
     top = {r.query_id: r.content for r in e.recall(q).where("rank = 1").collect()}
     assert "LGBTQ" in top[1] and "charity race" in top[2] and top[1].startswith("[Date: ")
+    ran = {r.query_id: r for r in e.run(q).collect()}
+    assert set(ran) == {1, 2} and all(r.context for r in ran.values())
+    assert e.stats().first().n_turns == e.turns.count()
+
+
+def test_engine_with_every_option(spark):
+    long = mini(spark).unionByName(spark.range(10, 30).selectExpr("id AS turn_id", "'long' AS scope_id", "concat('Caroline talked about painting number ', id) AS content"), allowMissingColumns=True)
+    facts = spark.createDataFrame([(0, "Caroline", "likes", "painting", 0.9, "", "human", 12), (1, "Melanie", "likes", "racing", 0.9, "", "human", None)], "id long, subject string, predicate string, object string, confidence double, evidence string, source string, episodic_id long")
+    e = MemoryEngine(spark, long, facts, EngineConfig(use_reranker=True, use_parents=True, use_decomposition=True, use_bm25=False, use_spreading=False))
+    ids = [r.id for r in e.extracted().select("id").collect()]
+    assert len(ids) == len(set(ids)) and min(ids) > 1
+    got = e.recall(spark.createDataFrame([(1, "What does Caroline think about painting?")], "query_id long, query string")).collect()
+    assert 0 < len(got) <= 5 and len({r.content for r in got}) == len(got)
+    assert any("+heuristic" in r.source for r in got) and any("+parent" in r.source for r in got)
 
 
 def test_facts_and_reasoning(spark):
