@@ -35,6 +35,11 @@ def _words(text: Column, word: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
 
 
+def _sentences(letter: str) -> Column:
+    """How many pieces between sentence ends hold a letter."""
+    return F.size(F.filter(F.split("text", f"[{ENDS}]+"), lambda x: x.rlike(letter)))
+
+
 def language(lang: Column) -> Column:
     """The language of a tag whatever its spelling: EN, en-US and en_GB are en, cmn is zh."""
     base = F.lower(F.element_at(F.split(F.trim(lang), "[-_]"), 1))
@@ -51,7 +56,8 @@ def word_counts(docs: DataFrame, writing: str | None = None) -> DataFrame:
     latin, han = SCRIPTS["latin"][0], SCRIPTS["han"][0]
     if writing is None:
         english = F.coalesce(language(F.col("lang")) == "en", F.lit(False))
-        found = docs.select("doc_id", "text", english.alias("english"), _words(F.col("text"), latin).alias("latin"), F.regexp_count("text", F.lit(han)).alias("n_han"))
+        n_han = F.when(F.octet_length("text") == F.length("text"), 0).otherwise(F.regexp_count("text", F.lit(han)))  # none where all is ASCII
+        found = docs.select("doc_id", "text", english.alias("english"), _words(F.col("text"), latin).alias("latin"), n_han.alias("n_han"))
         n_latin = F.size("latin")
         script = F.when((n_latin > 0) & (F.col("english") | (n_latin >= F.col("n_han"))), "latin").when(F.col("n_han") > 0, "han")
         named = found.select("doc_id", "text", script.alias("script"), "latin")
@@ -59,8 +65,8 @@ def word_counts(docs: DataFrame, writing: str | None = None) -> DataFrame:
     else:
         named, words = docs.select("doc_id", "text", F.lit(writing).alias("script")), _words(F.col("text"), SCRIPTS[writing][0])
     sentences = F.lit(0)
-    for name, (_, letter) in SCRIPTS.items():  # from the first letter of a sentence to its end
-        sentences = F.when(F.col("script") == name, F.regexp_count("text", F.lit(f"{letter}[^{ENDS}]*"))).otherwise(sentences)
+    for name, (_, letter) in SCRIPTS.items():
+        sentences = F.when(F.col("script") == name, _sentences(letter)).otherwise(sentences)
     matched = named.select("doc_id", "script", F.array_join(words, " ").alias("words"), sentences.alias("n_sentences"), F.regexp_count("text", F.lit(r"\S+")).alias("n_blank_words"))
     placed = matched.repartition("doc_id").distinct()
     exploded = placed.select("doc_id", "script", "n_sentences", "n_blank_words", F.posexplode_outer(F.split("words", " ")).alias("pos", "word")).where("word <> ''")
