@@ -62,33 +62,36 @@ def reason(asks: DataFrame, triples: DataFrame, max_depth: int = 2) -> DataFrame
 
 
 def paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 4) -> DataFrame:
-    """start, target, depth, best_confidence, context: paths between each pair, shortest first.
+    """start, target, depth, end, best_confidence, context: paths between each pair, shortest first.
 
     Breadth first; as each pair's search meets a fact once, a fact belongs to the first path that reaches its subject:
     by depth, then by the order of the path, then by (predicate, id).
-    A path ends where it reaches the target.
+    A path ends where it reaches the target. With a null target every fact that is met ends a path, and the search goes on from its object.
+    Null starts give none.
     """
     edges = facts(triples).groupBy("subject", "predicate", "object").agg(F.min("id").alias("id"), F.min_by("confidence", "id").alias("confidence"))
     empty = F.array().cast("array<string>")
-    frontier = pairs.select("start", "target", F.col("start").alias("node"), F.lit(0.0).alias("best"), F.lit("").alias("context"), empty.alias("place")).distinct()
+    goal = F.coalesce(F.concat(F.lit("="), "target"), F.lit(""))  # no null, so that it can be joined on
+    frontier = pairs.select("start", goal.alias("goal"), F.col("start").alias("node"), F.lit(0.0).alias("best"), F.lit("").alias("context"), empty.alias("place")).distinct()
     expanded, found = None, None
     for depth in range(1, max_depth + 1):
         # the first to arrive at a node takes all its facts
-        w = Window.partitionBy("start", "target", "node").orderBy("place")
+        w = Window.partitionBy("start", "goal", "node").orderBy("place")
         owners = frontier.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
         if expanded is not None:
-            owners = owners.join(expanded, ["start", "target", "node"], "left_anti")
+            owners = owners.join(expanded, ["start", "goal", "node"], "left_anti")
         step = owners.join(edges, F.col("node") == F.col("subject")).select(
-            "start", "target", F.col("object").alias("node"), F.greatest("best", "confidence").alias("best"),
+            "start", "goal", F.col("object").alias("node"), F.greatest("best", "confidence").alias("best"),
             F.concat(F.when(F.col("context") == "", F.col("start")).otherwise(F.col("context")), F.lit(" →("), "predicate", F.lit(")→ "), "object").alias("context"),
             F.concat("place", F.array(F.concat("predicate", F.lit("\u0000"), F.lpad(F.col("id").cast("string"), 20, "0")))).alias("place"),
         )
         step = materialize(step, "paths")
-        nodes = owners.select("start", "target", "node")
+        nodes = owners.select("start", "goal", "node")
         expanded = materialize(nodes if expanded is None else expanded.unionByName(nodes), "expanded")
-        hit = step.where("node = target").select("start", "target", F.lit(depth).alias("depth"), F.col("best").alias("best_confidence"), "context")
+        target = F.when(F.col("goal") != "", F.substr("goal", F.lit(2)))
+        hit = step.where("goal = '' OR concat('=', node) = goal").select("start", target.alias("target"), F.lit(depth).alias("depth"), F.col("node").alias("end"), F.col("best").alias("best_confidence"), "context")
         found = hit if found is None else found.unionByName(hit)
-        frontier = step.where("node <> target")
+        frontier = step.where("goal = '' OR concat('=', node) <> goal")
     return found
 
 

@@ -100,6 +100,12 @@ def find_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.paths(asking_pairs(t), t)
 
 
+def multi_hop(spark: SparkSession, d: str) -> DataFrame:
+    """All paths of up to 3 facts from the subject of each asking fact."""
+    t = _triples(spark, d)
+    return graph.paths(_asking(t).select(F.col("subject").alias("start"), F.lit(None).cast("string").alias("target")).distinct(), t, 3)
+
+
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "episodes").where((F.col("id") % QUERY_EVERY == 0) & F.col("content").isNotNull()).select(F.col("id").alias("query_id"), "content").distinct()
     return q.select("query_id", F.posexplode(entities(F.col("content"))).alias("pos", "entity"))
@@ -120,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kg_controversial_fast, kg_conflict_fold, kg_resolved, exact_match, triple_subject_topn, predicate_counts, evidence_search, adjacency, node_degrees,
-        transitive_reason, reason_with_path, reason_two_hops, find_paths, spreading_activate, spreading_turns,
+        transitive_reason, reason_with_path, reason_two_hops, find_paths, multi_hop, spreading_activate, spreading_turns,
     )
 }
 

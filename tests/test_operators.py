@@ -77,6 +77,33 @@ def test_facts_and_reasoning(spark):
     assert [(r.depth, r.context) for r in found] == [(2, "Alice →(is_friend_of)→ Bob →(is_friend_of)→ Charlie")]
 
 
+def naive_paths(edges, start, target, most):
+    out, seen, queue = set(), set(), [(start, [], 0.0)]
+    while queue:
+        node, path, best = queue.pop(0)
+        if path and (target is None or node == target):
+            out.add((start, target, len(path), node, best, start + "".join(f" →({p})→ {o}" for p, o in path)))
+            if target is not None:
+                continue
+        if len(path) < most:
+            for i, s, p, o, c in sorted(edges, key=lambda e: (e[2], e[0])):
+                if s == node and (s, p, o) not in seen:
+                    seen.add((s, p, o))
+                    queue.append((o, [*path, (p, o)], max(best, c)))
+    return out
+
+
+def test_paths_with_and_without_a_target(spark):
+    rnd = random.Random(6)
+    edges = [(i, rnd.choice("abcdefg"), rnd.choice(["likes", "knows"]), rnd.choice("abcdefgh"), rnd.choice([0.2, 0.6, 0.9])) for i in range(40)]
+    edges = list({e[1:4]: e for e in reversed(edges)}.values())
+    t = spark.createDataFrame([(*e, None, False) for e in edges], "id long, subject string, predicate string, object string, confidence double, episodic_id long, is_controversial boolean")
+    pairs = [("a", "h"), ("b", "c"), ("a", None), ("g", None), ("", "a"), (None, "a")]
+    for most in (1, 4):
+        got = {tuple(r) for r in graph.paths(spark.createDataFrame(pairs, "start string, target string"), t, most).select("start", "target", "depth", "end", "best_confidence", "context").collect()}
+        assert got == set().union(*[naive_paths(edges, a, b, most) for a, b in pairs if a is not None])
+
+
 def naive_fold(rows):
     stored, out = [], {}
     for i, s, p, o, c, src in sorted(rows):
