@@ -15,7 +15,7 @@ shard is one small batch of matrix products. Exact copies of a vector are search
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -57,10 +57,10 @@ LEAST_SHARD = 2048
 
 
 def usable(v: Column, dim: int) -> Column:
-    """Exactly ``dim`` finite numbers, not all 0."""
-    hi, lo = F.array_max(v), F.array_min(v)
-    inf = F.lit(float("inf"))
-    return (F.size(v) == dim) & (F.size(F.array_compact(v)) == dim) & ~F.isnan(hi) & (hi < inf) & (lo > -inf) & ((hi != 0) | (lo != 0))
+    """Exactly ``dim`` finite numbers, not all 0, in an array of floats."""
+    hi, lo, inf = F.array_max(v), F.array_min(v), F.lit(float("inf")).cast("float")
+    no_null = ~F.array_contains(v, inf)  # null, and so not true, for an array with a null
+    return (F.size(v) == dim) & no_null & ~F.isnan(hi) & (hi < inf) & (lo > -inf) & ((hi != 0) | (lo != 0))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -309,20 +309,22 @@ def _salt(v1: np.ndarray) -> np.ndarray:
     return (v1.view("u8") >> np.uint64(20)).astype("i8")
 
 
-def build(named: DataFrame, rows: int, p: IndexParams) -> Index | None:
-    """The index of (v1, vec), or None without rows. What reaches the driver: the samples, and one number for each leaf and shard that is not empty.
+def build(df: DataFrame, name: Callable[[DataFrame], DataFrame], rows: int, p: IndexParams) -> Index | None:
+    """The index of the (v1, vec) that ``name`` takes from ``df``, or None without any. What reaches the driver: the samples, and one number for each leaf and shard that is not empty.
 
-    Rows of leaves are counted; visitors of shards are estimated on a sample, which steers slices only.
+    Rows of leaves are counted; visitors of shards are estimated on a sample, which steers slices only. Samples are drawn before rows are looked at.
     """
-    spark = named.sparkSession
+    spark = df.sparkSession
+    named = name(df)
+
+    def part(share: float, seed: int) -> DataFrame:
+        return named if share >= 1.0 else name(df.sample(share, seed))
 
-    def sample(df: DataFrame, of: int) -> np.ndarray:
-        share = min(1.0, p.sample_rows / max(of, 1))
-        taken = df.select("vec") if share == 1.0 else df.select("vec").sample(share * 0.98, p.seed)
-        x = _matrix(taken.toArrow()["vec"].combine_chunks(), p.dim)[: p.sample_rows]
+    def matrix(taken: DataFrame) -> np.ndarray:
+        x = _matrix(taken.select("vec").toArrow()["vec"].combine_chunks(), p.dim)[: p.sample_rows]
         return _unit(x) if len(x) else x
 
-    first = sample(named, rows)
+    first = matrix(part(p.sample_rows * 0.98 / max(rows, 1), p.seed))
     if not len(first):
         return None
     index = Index(new_book(first, float(rows), 0, p), 0)
@@ -336,12 +338,15 @@ def build(named: DataFrame, rows: int, p: IndexParams) -> Index | None:
         if not len(crowded) or level == p.levels - 1:
             break
         crowded_b = spark.sparkContext.broadcast(crowded)
-        inside = first if rows <= p.sample_rows else sample(named.select("vec").mapInArrow(_in_crowded(book_b, crowded_b, p), "vec array<float>"), int(index.rows[crowded].sum()))
-        if not grow(index, inside, p):
+        inside = first
+        if rows > p.sample_rows:  # as many of the rows in crowded leaves
+            share = min(1.0, p.sample_rows * 0.98 / int(index.rows[crowded].sum()))
+            inside = matrix(part(share, p.seed + 2).select("vec").mapInArrow(_in_crowded(book_b, crowded_b, p), "vec array<float>"))
+        if not len(inside) or not grow(index, inside, p):
             break
     shards = lay_out(index, rows, p, spark.sparkContext.defaultParallelism)
     share = min(1.0, p.visit_rows / max(rows, 1))
-    asking = named.select("v1", "vec") if share == 1.0 else named.select("v1", "vec").sample(share, p.seed + 1)
+    asking = part(share, p.seed + 1).select("v1", "vec")
     index_b = spark.sparkContext.broadcast((index, shards))
     visits = asking.mapInArrow(_count_visits(index_b, p), "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).toArrow()
     visitors = np.zeros(shards)
@@ -449,14 +454,14 @@ def _rerank(p: IndexParams, keep: int, min_cosine: float):  # noqa: ANN202
             for q0 in range(s, e, 4096):
                 q = asks[q0 : min(q0 + 4096, e)]
                 score = unit[q] @ unit[base].T
-                hit = score >= min_cosine - 1e-5
-                many = np.flatnonzero(np.count_nonzero(hit, axis=1) > keep + 1)
-                if len(many):  # nothing below the keep-th best can come out; a vector may meet itself
-                    tight = np.partition(score[many], -keep - 1, axis=1)[:, -keep - 1] - 2e-6
-                    hit[many] &= score[many] >= tight[:, None]
-                i, j = np.nonzero(hit)
-                other = q[i] != base[j]
-                i, j = i[other], j[other]
+                i, j = np.divmod(np.flatnonzero(score.ravel() >= min_cosine - 1e-5), len(base))
+                hits = np.bincount(i, minlength=len(q)) > keep + 1
+                ok = q[i] != base[j]
+                if hits.any():  # nothing below the keep-th best can come out; a vector may meet itself
+                    tight = np.full(len(q), -2.0, "f4")
+                    tight[hits] = np.partition(score[hits], -keep - 1, axis=1)[:, -keep - 1] - 2e-6
+                    ok &= score[i, j] >= tight[i]
+                i, j = i[ok], j[ok]
                 if len(i):
                     cos = np.round(np.einsum("ij,ij->i", exact[q[i]], exact[base[j]]), 6)
                     ok = cos >= min_cosine
@@ -510,14 +515,17 @@ def neighbours(df: DataFrame, vec: str, k: int = 5, min_cosine: float = -1.0, pa
     """
     p = params or IndexParams()
     spark = df.sparkSession
-    ok = df.where(usable(F.col(vec), p.dim) & F.col("id").isNotNull())
-    named = ok.select(
-        F.col("id").cast("long").alias("id"), F.xxhash64(vec).alias("v1"), F.xxhash64(F.lit(77), F.col(vec)).alias("v2"), F.col(vec).cast("array<float>").alias("vec")
-    )
+
+    def name(rows: DataFrame) -> DataFrame:
+        v = F.col(vec).cast("array<float>")
+        ok = rows.where(usable(v, p.dim) & F.col("id").isNotNull())
+        return ok.select(F.col("id").cast("long").alias("id"), F.xxhash64(v).alias("v1"), F.xxhash64(F.lit(77), v).alias("v2"), v.alias("vec"))
+
+    named = name(df)
     none = spark.createDataFrame([], "id long, other_id long, cosine double, rank int")
 
     rows = df.count()
-    index = build(named, rows, p)
+    index = build(df, name, rows, p)
     if index is None:
         return none
     index_b = spark.sparkContext.broadcast(index)
