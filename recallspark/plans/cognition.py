@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from recallspark.functions import answers, gate, understand
 from recallspark.operators import curiosity, evaluate, layers
 from recallspark.plans.ingest import HAN, NAMES, STRIPPED, TURNS, ordered_distinct
+from recallspark.shared import new_path
+from recallspark.sources import dialogues
 from recallspark.sources.tables import table, turns
 
 
@@ -133,6 +135,22 @@ def eval_rouge(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("f", evaluate.rouge_l(F.col("object"), F.col("evidence"))).groupBy("predicate").agg(F.count("*").alias("n"), F.round(F.avg("f"), 6).alias("rouge_l"))
 
 
+def turns_without_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Turns that no stored fact names."""
+    named = table(spark, d, "triples").select(F.col("episodic_id").alias("turn_id"))
+    return evaluate.remaining(turns(spark, d).select("turn_id", "scope_id"), named, "turn_id")
+
+
+def saved_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Facts as predictions, appended to JSON lines in two runs, the second for those without one, and read again."""
+    path = new_path(spark, "predictions")
+    facts = table(spark, d, "triples").select("id", "subject", "object").distinct()
+    schema = "id long, subject string, object string"
+    dialogues.write_predictions(facts.where("id % 2 = 0"), path)
+    dialogues.write_predictions(evaluate.remaining(facts, dialogues.read_json_records(spark, path, schema), "id"), path)
+    return dialogues.read_json_records(spark, path, schema)
+
+
 def chunk_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Stored chunks by scope: how many, how long, how many name a parent."""
     c = table(spark, d, "chunks").select("id", "scope_id", "content", "parent_id").distinct()
@@ -143,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         decompose_queries, analyze_queries, agg_classify, agg_numbers, agg_extremes, agg_answers, agg_count_optin, gate_scores, gate_decision_counts, engram_hits,
-        curiosity_questions, curiosity_from_text, summary_facts, eval_hits, eval_by_category_rollup, eval_rouge, chunk_lengths,
+        curiosity_questions, curiosity_from_text, summary_facts, eval_hits, eval_by_category_rollup, eval_rouge, turns_without_facts, saved_predictions, chunk_lengths,
     )
 }
 
@@ -221,6 +239,8 @@ _SAID = r"list_transform(flatten(list_transform(string_split(content, chr(10)),
 _WORDS6 = r"array_to_string((list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''))[1:6], ' ')"
 
 ORACLES = {
+    "turns_without_facts": f"WITH {TURNS} SELECT turn_id, scope_id FROM t WHERE turn_id NOT IN (SELECT episodic_id FROM triples WHERE episodic_id IS NOT NULL)",
+    "saved_predictions": "SELECT DISTINCT id, subject, object FROM triples",
     "agg_answers": rf"""WITH {_MONEYS}, u AS (SELECT DISTINCT chunk_id, round(v, 2) AS v FROM mo),
         wk AS (SELECT DISTINCT chunk_id, round(v, 2) AS v FROM (
           SELECT chunk_id, CAST(unnest(regexp_extract_all(lower(content), '([0-9]+(?:\.[0-9]+)?)\s*(?:weeks?)', 1)) AS DOUBLE) AS v

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recallspark.functions.text import entities
+from recallspark.functions.text import cosine, entities
 from recallspark.operators import graph, kg
 from recallspark.plans.ingest import NAMES, HAN, ordered_distinct
 from recallspark.sources.tables import table
@@ -34,6 +34,23 @@ def kg_resolved(spark: SparkSession, d: str) -> DataFrame:
     return kg.resolved(_triples(spark, d))
 
 
+def kg_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The facts after the asking rows' ones were replaced by the same in capitals."""
+    stored = _triples(spark, d).select("id", "subject", "predicate", "object").distinct()
+    asking = _asking(stored).where("object IS NOT NULL")
+    return kg.replace_triples(stored, asking, asking.withColumn("object", F.upper("object")))
+
+
+def fact_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of each fact's vector to that of the first fact of its turn."""
+    v = F.col("embedding")
+    good = (F.size(v) == 64) & (F.size(F.array_compact(v)) == 64) & ~F.isnan(F.array_max(v)) & (F.array_max(v) < float("inf")) & (F.array_min(v) > float("-inf")) & ((F.array_max(v) != 0) | (F.array_min(v) != 0))
+    t = _triples(spark, d).where(good & (F.col("episodic_id") > 0)).select("id", F.col("episodic_id").alias("turn_id"), v.alias("vec")).distinct()
+    first = t.groupBy("turn_id").agg(F.min_by(F.struct("id", "vec"), "id").alias("first"))
+    both = t.join(first, "turn_id").where(F.col("id") > F.col("first.id"))
+    return both.select("id", F.col("first.id").alias("first_id"), F.round(cosine(F.col("vec"), F.col("first.vec")), 5).alias("cosine"))
+
+
 def exact_match(spark: SparkSession, d: str) -> DataFrame:
     """Stored facts of the asked (subject, predicate) pairs, controversial ones too."""
     t = _triples(spark, d)
@@ -125,7 +142,7 @@ def spreading_turns(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kg_controversial_fast, kg_conflict_fold, kg_resolved, exact_match, triple_subject_topn, predicate_counts, evidence_search, adjacency, node_degrees,
+        kg_controversial_fast, kg_conflict_fold, kg_resolved, kg_replaced, fact_cosines, exact_match, triple_subject_topn, predicate_counts, evidence_search, adjacency, node_degrees,
         transitive_reason, reason_with_path, reason_two_hops, find_paths, multi_hop, spreading_activate, spreading_turns,
     )
 }
@@ -212,6 +229,14 @@ ORACLES = {
         SELECT t.subject, t.predicate, t.object, -1 AS depth FROM triples t JOIN x USING (subject, predicate)
         UNION ALL SELECT x.subject, x.predicate, tr.object, tr.depth FROM x JOIN tr ON tr.start = x.subject)
         SELECT subject, predicate, object, min(depth) AS depth FROM z GROUP BY ALL""",
+    "kg_replaced": """WITH s AS (SELECT DISTINCT id, subject, predicate, object FROM triples),
+        a AS (SELECT * FROM s WHERE id % 20 = 0 AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL)
+        SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.subject = s.subject AND a.predicate = s.predicate AND a.object = s.object)
+        UNION ALL SELECT id, subject, predicate, upper(object) FROM a""",
+    "fact_cosines": """WITH u AS (SELECT id, any_value(episodic_id) AS turn_id, any_value(embedding)::DOUBLE[64] AS v FROM triples
+          WHERE episodic_id > 0 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+        f AS (SELECT turn_id, min(id) AS first_id FROM u GROUP BY turn_id)
+        SELECT u.id, first_id, round(array_cosine_similarity(u.v, g.v), 5) AS cosine FROM u JOIN f USING (turn_id) JOIN u g ON g.id = first_id WHERE u.id > first_id""",
     "kg_conflict_fold": f"WITH RECURSIVE {FOLD} SELECT * FROM f",
     "kg_resolved": f"""WITH RECURSIVE {FOLD}, e AS (SELECT DISTINCT id, confidence, evidence FROM triples),
         u AS (

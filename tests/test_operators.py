@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from recallspark.config import EngineConfig
@@ -267,6 +268,19 @@ def test_gate_and_lookups(spark):
     assert {(r.first_id, r.hits) for r in hits.collect()} == {(1, 1), (2, 0)}
 
 
+def test_rouge(spark):
+    rnd = random.Random(7)
+    pairs = [(" ".join(rnd.choices("a b c d".split(), k=rnd.randrange(8))), " ".join(rnd.choices("a B c e".split(), k=rnd.randrange(8)))) for _ in range(60)] + [(None, "a"), ("a", None), ("", "")]
+
+    def longest(p, q):
+        return 0 if not p or not q else 1 + longest(p[1:], q[1:]) if p[0] == q[0] else max(longest(p[1:], q), longest(p, q[1:]))
+
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i int, a string, b string").withColumn("f", evaluate.rouge_l(F.col("a"), F.col("b")))
+    for r in df.collect():
+        p, q = (r.a or "").lower().split(), (r.b or "").lower().split()
+        assert r.f == pytest.approx(2 * longest(p, q) / (len(p) + len(q)) if p and q else 0.0)
+
+
 def test_dialogue_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"q": 1}, {"q": 2}]')
     (tmp_path / "b.jsonl").write_text('{"q": 1}\n{"q": 2}\n{"q": 3}\n')
