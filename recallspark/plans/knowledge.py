@@ -164,6 +164,21 @@ def _reach(depth: int) -> str:
     tr AS (SELECT start, e.subject, e.predicate, e.object, depth FROM n JOIN e ON e.subject = n.node)"""
 
 
+def _paths(depth: int) -> str:
+    """CTEs that end in pa, from pr (start, goal): level by level, the first path to arrive at a node takes its facts."""
+    out = f"""{FACTS}, e AS (SELECT subject, predicate, object, min(id) AS id, arg_min(confidence, id) AS confidence FROM f GROUP BY ALL),
+    l0 AS (SELECT start, goal, start AS node, 0::DOUBLE AS best, '' AS context, []::VARCHAR[] AS place FROM pr)"""
+    for d in range(1, depth + 1):
+        seen = "".join(f" AND NOT EXISTS (SELECT 1 FROM o{i} x WHERE x.start = l.start AND x.goal = l.goal AND x.node = l.node)" for i in range(1, d))
+        out += f""",
+    o{d} AS (SELECT * FROM l{d - 1} l WHERE (goal = '' OR '=' || node <> goal OR {d} = 1){seen} QUALIFY row_number() OVER (PARTITION BY start, goal, node ORDER BY place) = 1),
+    l{d} AS (SELECT start, goal, object AS node, greatest(best, confidence) AS best, CASE WHEN context = '' THEN start ELSE context END || ' →(' || predicate || ')→ ' || object AS context,
+      list_concat(place, [predicate, lpad(CAST(id AS VARCHAR), 20, '0')]) AS place FROM o{d} JOIN e ON e.subject = o{d}.node)"""
+    hits = " UNION ALL ".join(f"SELECT start, goal, {d} AS depth, node, best, context FROM l{d} WHERE goal = '' OR '=' || node = goal" for d in range(1, depth + 1))
+    return f"""{out},
+    pa AS (SELECT start, CASE WHEN goal <> '' THEN goal[2:] END AS target, depth, node AS "end", best AS best_confidence, context FROM ({hits}))"""
+
+
 _ENTS = f"CASE WHEN len({NAMES}) > 0 THEN {NAMES} ELSE {HAN} END"
 _SPREAD = f"""{_ADJ},
 q AS (SELECT DISTINCT id AS query_id, content FROM episodes WHERE id % 20 = 0 AND content IS NOT NULL),
@@ -229,6 +244,10 @@ ORACLES = {
         SELECT t.subject, t.predicate, t.object, -1 AS depth FROM triples t JOIN x USING (subject, predicate)
         UNION ALL SELECT x.subject, x.predicate, tr.object, tr.depth FROM x JOIN tr ON tr.start = x.subject)
         SELECT subject, predicate, object, min(depth) AS depth FROM z GROUP BY ALL""",
+    "multi_hop": f"WITH pr AS (SELECT DISTINCT subject AS start, '' AS goal FROM triples WHERE id % 20 = 0 AND subject IS NOT NULL AND predicate IS NOT NULL), {_paths(3)} SELECT * FROM pa",
+    "find_paths": f"""WITH q0 AS (SELECT DISTINCT id, subject, object FROM triples WHERE id % 20 = 0 AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL),
+        q1 AS (SELECT subject AS start, lead(object) OVER (ORDER BY id, subject, object) AS target FROM q0),
+        pr AS (SELECT DISTINCT start, '=' || target AS goal FROM q1 WHERE start <> target), {_paths(4)} SELECT * FROM pa""",
     "kg_replaced": """WITH s AS (SELECT DISTINCT id, subject, predicate, object FROM triples),
         a AS (SELECT * FROM s WHERE id % 20 = 0 AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL)
         SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.subject = s.subject AND a.predicate = s.predicate AND a.object = s.object)
