@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recallspark.functions.text import bm25_tokens, full_runs, han_runs, keywords
+from recallspark.operators import lists
 from recallspark.shared import materialize, spread
 
 K1, B = 1.2, 0.75
@@ -139,7 +140,10 @@ def query_keywords(queries: DataFrame) -> DataFrame:
 
 def keyword_idf(matches: DataFrame, n_triples: DataFrame) -> DataFrame:
     """kw, df, idf; ``n_triples`` is one row with n."""
-    df = matches.groupBy("kw").agg(F.count("*").alias("df"))
+    return _idf(matches.groupBy("kw").agg(F.count("*").alias("df")), n_triples)
+
+
+def _idf(df: DataFrame, n_triples: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_triples)).select("kw", "df", (F.log((F.greatest("n", F.lit(1)) + 1) / (F.col("df") + 1)) + 0.1).alias("idf"))
 
 
@@ -147,20 +151,23 @@ def entity_search(queries: DataFrame, triples: DataFrame, limit: int = 20) -> Da
     """query_id, turn_id, score, rank: turns by the summed idf of their keywords, relative to the query's best turn.
 
     Questions with the word "when" double the score of dated turns, to 1 at most. Ties go to the first keyword that matched, then
-    to its first triple.
+    to its first triple. Turns that only common keywords lead to are not scored where others fill the list (``lists.best_kinds``).
     """
-    asked = query_keywords(queries)
-    matches = keyword_matches(asked, triples)
-    n = triples.select("id").distinct().agg(F.count("*").alias("n"))
-    per_turn = matches.where("turn_id IS NOT NULL").groupBy("kw", "turn_id").agg(F.min("triple_id").alias("first_triple"))
-    weighted = asked.join(keyword_idf(matches, n), "kw").join(per_turn, "kw")
-    scores = weighted.groupBy("query_id", "turn_id").agg(F.sum("idf").alias("s"), F.min(F.struct("kw_pos", "first_triple")).alias("first"))
-    norm = scores.withColumn("s", F.col("s") / F.max("s").over(Window.partitionBy("query_id")))
-    when = queries.select("query_id", F.array_contains(full_runs(F.lower("query"), "when"), "when").alias("asks_when"))
-    dated = triples.where("predicate = 'event_date' AND episodic_id <> 0").select(F.col("episodic_id").alias("turn_id"), F.lit(True).alias("dated")).distinct()
-    boosted = norm.join(when, "query_id").join(dated, "turn_id", "left")
-    score = F.round(F.when(F.col("asks_when") & F.coalesce("dated", F.lit(False)), F.least(F.lit(1.0), F.col("s") * 2)).otherwise(F.col("s")), 6)
-    return ranked(boosted.withColumn("score", score), "query_id", [F.desc("score"), F.col("first"), F.col("turn_id")], limit).select("query_id", "turn_id", "score", "rank")
+    when = F.array_contains(full_runs(F.lower("query"), "when"), "when")
+    asked = materialize(queries.select("query_id", when.alias("boost"), F.posexplode(keywords(F.col("query"))).alias("pos", "kw")), "asked")
+    per_turn = keyword_matches(asked, triples).groupBy("kw", "turn_id").agg(F.min("triple_id").alias("first"), F.count("*").alias("n"))
+    per_turn = materialize(per_turn, "per_turn")
+    idf = _idf(per_turn.groupBy("kw").agg(F.sum("n").alias("df")), triples.select("id").distinct().agg(F.count("*").alias("n")))
+    kws = materialize(idf.select("kw", "idf", F.monotonically_increasing_id().alias("list")), "keywords")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    q = asked.join(kws, "kw").select(F.col("query_id").alias("query"), "list", none("long", "id"), F.col("idf").alias("w"), none("long", "first"), "pos", "boost")
+    dated = triples.where("predicate = 'event_date' AND episodic_id <> 0").select(F.lit(lists.BOOST).cast("long").alias("list"), F.col("episodic_id").alias("id"), F.lit(0).cast("long").alias("first")).distinct()
+    e = per_turn.where("turn_id IS NOT NULL").join(kws, "kw").select("list", F.col("turn_id").alias("id"), "first").unionByName(dated)
+    e = e.select(none("long", "query"), "list", "id", none("double", "w"), "first", none("int", "pos"), none("boolean", "boost"))
+    found = lists.met(q, e, lists.best_kinds(limit), lists.KINDS, asked.select("query_id").distinct().count(), per_turn.count())
+    s = F.col("s") / F.max("s").over(Window.partitionBy("query_id"))
+    norm = found.withColumn("s", s).withColumn("score", F.round(F.when(F.col("boosted"), F.least(F.lit(1.0), F.col("s") * 2)).otherwise(F.col("s")), 6))
+    return ranked(norm.withColumnRenamed("id", "turn_id"), "query_id", [F.desc("score"), F.col("pos"), F.col("first"), F.col("turn_id")], limit).select("query_id", "turn_id", "score", "rank")
 
 
 def entity_results(found: DataFrame, turns: DataFrame, chunk_of_turn: DataFrame, chunks: DataFrame, triples: DataFrame) -> DataFrame:
