@@ -21,6 +21,8 @@ QUERY_BLOCK = 131_072
 BLOCK, LEAST_BLOCK = 2_000_000, 16_384
 #: Lists with at least this share of a block's entries are kept as arrays over the block, too, within this many bytes.
 DENSE_SHARE, DENSE_BYTES = 1 / 64, 128 << 20
+#: Entries of a list before which the floor is looked after; the least number above 0.
+LONG, TINY = 256, 5e-324
 
 
 def met(queries: DataFrame, entries: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str, n_queries: int, n_rows: int) -> DataFrame:
@@ -62,16 +64,27 @@ class Lists:
     def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return self.place[self.begin[i] : self.begin[i + 1]], self.value[self.begin[i] : self.begin[i + 1]]
 
-    def found(self, i: int, places: np.ndarray, none: float) -> np.ndarray:
-        """The values of list ``i`` at ``places``, ``none`` where it has no such entry."""
-        p, v = self.of(i)
-        if i not in self.dense and len(p) > DENSE_SHARE * len(self.ids) and self.room >= v.itemsize * len(self.ids):
+    def length(self, i: int) -> int:
+        return int(self.begin[i + 1] - self.begin[i])
+
+    def row(self, i: int, none: float) -> np.ndarray | None:
+        """A long list's values over the whole block, ``none`` elsewhere, as far as there is room."""
+        if i not in self.dense:
+            if self.length(i) <= DENSE_SHARE * len(self.ids) or self.room < self.value.itemsize * len(self.ids):
+                return None
+            p, v = self.of(i)
             full = np.full(len(self.ids), none, v.dtype)
             full[p] = v
             self.dense[i] = full
             self.room -= full.nbytes
-        if i in self.dense:
-            return self.dense[i][places]
+        return self.dense[i]
+
+    def found(self, i: int, places: np.ndarray, none: float) -> np.ndarray:
+        """The values of list ``i`` at ``places``, ``none`` where it has no such entry."""
+        row = self.row(i, none)
+        if row is not None:
+            return row[places]
+        p, v = self.of(i)
         j = np.minimum(np.searchsorted(p, places), len(p) - 1)
         return np.where(p[j] == places, v[j], none)
 
@@ -83,6 +96,82 @@ def _by_query(t: pa.Table) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(q[order])) + 1) if len(order) else []
 
 
+def _kth(values: np.ndarray, k: int) -> float:
+    return np.partition(values, -k)[-k] if len(values) >= k else -np.inf
+
+
+# ---- sums of values ----
+
+SUMS = "query_id long, id long, score double"
+
+
+def best_sums(k: int, margin: float) -> Callable[[pa.Table], pa.Table]:
+    """Kernel over (query, list, id, w): a query's rows have ``w``, how often it counts a list, an entry's its value in the list, above 0.
+
+    The ``k`` largest sums of w x value of each query, rounded to 6 decimals, ties to the smaller id.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def run(t: pa.Table) -> pa.Table:
+        asked, held = t.filter(t["is_query"]).combine_chunks(), t.filter(pc.invert(t["is_query"])).combine_chunks()
+        if not len(asked) or not len(held):
+            return schema.empty_table()
+        lists = Lists(held["list"].to_numpy(), held["id"].to_numpy(), held["w"].to_numpy())
+        most = np.maximum.reduceat(lists.value, lists.begin[:-1])
+        list_of, weight, query = (asked[c].to_numpy() for c in ("list", "w", "query"))
+        acc, room = np.zeros(len(lists.ids)), np.empty(len(lists.ids))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for rows in _by_query(asked):
+            terms = [(weight[r] * most[i], weight[r], i) for r in rows if (i := lists.at.get(int(list_of[r]), -1)) >= 0]
+            if not terms:
+                continue
+            terms.sort(key=lambda x: (-x[0], x[2]))
+            rest = np.append(np.cumsum([b for b, _, _ in reversed(terms)])[::-1], 0.0)
+            floor, n, touched, good = -np.inf, 0, 0, np.zeros(0, "i8")
+            for _, w, i in terms:
+                if rest[n] < floor - margin:
+                    break
+                p, v = lists.of(i)
+                row = lists.row(i, 0.0) if len(p) * 8 > len(acc) else None
+                if row is None:
+                    acc[p] += w * v
+                else:
+                    acc += np.multiply(row, w, out=room)
+                n, touched = n + 1, touched + len(p)
+                # whole scores of those that look best so far: a high floor early, so that long lists need not be read
+                if n < len(terms) and rest[n] >= floor - margin and lists.length(terms[n][2]) > LONG:
+                    some = p[np.argpartition(acc[p], -2 * k)[-2 * k :]] if len(p) > 2 * k else p
+                    good = np.unique(np.concatenate([good, some]))
+                    whole = acc[good]
+                    for _, u, j in terms[n:]:
+                        whole += u * lists.found(j, good, 0.0)
+                    if len(good) > 2 * k:
+                        keep = np.argpartition(whole, -2 * k)[-2 * k :]
+                        good, whole = good[keep], whole[keep]
+                    floor = max(floor, _kth(whole, k))
+            left, least = terms[n:], floor - rest[n] - margin
+            if touched * 16 > len(acc):
+                able = np.flatnonzero(acc >= max(least, TINY))
+                score = acc[able]
+                acc[:] = 0
+            else:
+                able = np.unique(np.concatenate([lists.of(i)[0] for _, _, i in terms[:n]]))
+                score = acc[able]
+                acc[able] = 0
+                able, score = able[score >= least], score[score >= least]
+            for n, (_, w, i) in enumerate(left, n):
+                stay = score >= floor - rest[n] - margin
+                able, score = able[stay], score[stay]
+                score = score + w * lists.found(i, able, 0.0)
+                floor = max(floor, _kth(score, k))
+            whole = np.trunc(score * 1e6 + 0.5)
+            top = np.lexsort((able, -whole))[:k]
+            out.append((np.full(len(top), query[rows[0]]), lists.ids[able[top]], score[top]))
+        return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
+
+    return run
+
+
 # ---- sums of what the lists themselves weigh ----
 
 KINDS = "query_id long, id long, s double, boosted boolean, pos int, first long"

@@ -53,8 +53,6 @@ def document_frequency(post: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
-#: Query terms of the largest bounds whose postings give a first estimate of the k-th best score.
-SEED_TERMS = 4
 #: Scores are rounded to 6 decimals before they are ranked; whatever could still tie within that is kept.
 MARGIN = 1e-6
 
@@ -62,38 +60,28 @@ MARGIN = 1e-6
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank: a repeated query token counts as often as it occurs.
 
-    Exact, without scoring every posting of common words: the query's strongest terms alone give a lower bound of
-    its k-th best score; the weakest terms whose bounds together stay below it cannot bring in a document by
-    themselves, so they are only looked up for the documents that the other terms found and that can still make it.
+    Exact, without scoring every posting of common words: the lists of a query's terms are read from the strongest on, until
+    those that are left cannot bring in a document by themselves (``lists.best_sums``).
     """
-    return bm25_over(queries, materialize(postings(docs), "postings"), corpus_stats(docs), k)
+    post = materialize(postings(docs), "postings")
+    n_docs = docs.where(F.trim("text") != "").agg(F.count("*").alias("n_docs"))
+    # documents without tokens are in no posting; they count, with 0 tokens
+    stats = post.agg(F.sum("tf").alias("n_tokens")).crossJoin(n_docs).select("n_docs", (F.coalesce("n_tokens", F.lit(0)) / F.nullif("n_docs", F.lit(0))).alias("avgdl"))
+    return bm25_over(queries, post, stats, k)
 
 
 def bm25_over(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int) -> DataFrame:
     """As ``bm25_search``, over stored postings and the one row of ``corpus_stats``."""
-    idf = document_frequency(post, stats).select("term", "idf")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    impacts = spread(materialize(post.join(idf, "term").crossJoin(F.broadcast(stats)).select("term", "id", weight.alias("impact")), "impacts"), "id")
-    bounds = impacts.groupBy("term").agg(F.max("impact").alias("most"))
     asked = queries.select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    bound = F.col("qtf") * F.col("most")
-    strongest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
-    terms = materialize(asked.join(bounds, "term").withColumn("bound", bound).withColumn("place", F.row_number().over(strongest)), "terms")
-
-    gain = F.sum(F.col("qtf") * F.col("impact"))
-    seed = terms.where(F.col("place") <= SEED_TERMS).join(impacts, "term").groupBy("query_id", "id").agg(gain.alias("s"))
-    floor = ranked(seed, "query_id", [F.desc("s"), F.col("id")], k).where(F.col("rank") == k).select("query_id", (F.col("s") - MARGIN).alias("floor"))
-    weakest = Window.partitionBy("query_id").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    split = terms.join(floor, "query_id", "left").withColumn("weak", F.coalesce(F.sum("bound").over(weakest) < F.col("floor"), F.lit(False)))
-    split = materialize(split, "split")
-    rest = split.where("weak").groupBy("query_id").agg(F.sum("bound").alias("rest"))
-    least = split.groupBy("query_id").agg(F.first("floor").alias("floor")).join(rest, "query_id", "left")
-    found = split.where("NOT weak").join(impacts, "term").groupBy("query_id", "id").agg(gain.alias("s"))
-    able = found.join(least, "query_id").where("floor IS NULL OR s + coalesce(rest, 0) >= floor").select("query_id", "id", "s")
-    able = materialize(able, "able")
-    looked_up = able.select("query_id", "id").join(split.where("weak").select("query_id", "term", "qtf"), "query_id").join(impacts, ["term", "id"])
-    more = looked_up.select("query_id", "id", (F.col("qtf") * F.col("impact")).alias("s"))
-    scores = able.unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    asked = materialize(asked, "asked")
+    idf = document_frequency(post, stats).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = materialize(idf.crossJoin(F.broadcast(stats.select("avgdl"))).select("term", "idf", "avgdl", F.monotonically_increasing_id().alias("list")), "terms")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    none = F.lit(None).cast("long")
+    q = asked.join(terms, "term").select(F.col("query_id").alias("query"), "list", none.alias("id"), F.col("qtf").cast("double").alias("w"))
+    e = post.join(terms, "term").select(none.alias("query"), "list", "id", weight.alias("w"))
+    found = lists.met(q, e, lists.best_sums(k, MARGIN), lists.SUMS, asked.select("query_id").distinct().count(), post.count())
+    scores = found.withColumn("score", F.round("score", 6))
     return ranked(scores.where("score > 0"), "query_id", [F.desc("score"), F.col("id")], k)
 
 

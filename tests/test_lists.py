@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from recallspark.operators import lists
 
@@ -63,3 +64,32 @@ def test_common_words_do_not_multiply(spark):
     assert found.count() == 6000
     assert {r.turn_id for r in found.select("turn_id").distinct().collect()} == {1, 2, 3}  # of equal scores the first triples
     assert seen[0].count() <= 2000 * 3 * 8
+
+
+SUMS_ROW = "query long, list long, id long, w double"
+
+
+def test_best_sums_equal_brute_force(spark, small_blocks):
+    r = random.Random(6)
+    held = {(x, i): r.choice([0.5, 1.0, r.random()]) for x, of in random_lists(r, 25, 200).items() for i in of}
+    asked = {q: {x: r.choice([1, 1, 2]) for x in r.sample(range(30), r.randint(1, 9))} for q in range(50)}
+    q = spark.createDataFrame([(q, x, None, float(n)) for q, of in asked.items() for x, n in of.items()], SUMS_ROW)
+    e = spark.createDataFrame([(None, x, i, w) for (x, i), w in held.items()], SUMS_ROW)
+    found = lists.met(q, e, lists.best_sums(4, 1e-6), lists.SUMS, len(asked), len(held)).withColumn("score", F.round("score", 6)).collect()
+    for k, of in asked.items():
+        s = {}
+        for (x, i), w in held.items():
+            if x in of:
+                s[i] = s.get(i, 0) + of[x] * w
+        want = sorted((-round(v, 6), i) for i, v in s.items())[:4]
+        got = sorted((-x.score, x.id) for x in found if x.query_id == k)
+        assert [i for _, i in got[:4]] == [i for _, i in want] and [x for x, _ in got[:4]] == pytest.approx([x for x, _ in want])
+
+
+def test_best_sums_leave_blocks_by_k(spark):
+    """Questions of words that all documents have: each block returns k of a question, not every document."""
+    q = spark.createDataFrame([(q, x, None, 1.0) for q in range(200) for x in range(3)], SUMS_ROW)
+    e = spark.createDataFrame([(None, x, i, 1.0) for i in range(3000) for x in range(3)], SUMS_ROW)
+    found = lists.met(q, e, lists.best_sums(5, 1e-6), lists.SUMS, 200, 9000)
+    assert found.count() <= 200 * 5 * 8
+    assert {r.id for r in found.where("query_id = 7").orderBy(F.desc("score"), "id").limit(5).collect()} == set(range(5))
