@@ -95,12 +95,30 @@ def paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 4) -> DataFrame
     return found
 
 
+#: What sums of energy may be off by.
+SLACK = 1e-6
+
+
+def _within(frontier: DataFrame, degrees: DataFrame, visited: DataFrame, used: DataFrame, decay: float, threshold: float, budget: float) -> DataFrame:
+    """``frontier`` without what comes after a node that alone spends the rest of its query's budget: it enters all its neighbours but the visited ones, each with ``threshold`` at least."""
+    reach = (
+        frontier.where(F.col("energy") >= threshold).join(degrees, F.col("node") == F.col("src"))
+        .where(F.col("energy") * decay * F.col("confidence") >= threshold).groupBy("query_id", "pos").agg(F.sum("n").alias("reach"))
+    )
+    known = visited.groupBy("query_id").agg(F.count("*").alias("known")).join(used, "query_id")
+    least = F.col("used") + threshold * (F.coalesce("reach", F.lit(0)) - F.col("known"))
+    before = F.max("least").over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    spent = frontier.join(reach, ["query_id", "pos"], "left").join(known, "query_id").withColumn("least", least).withColumn("before", before)
+    return spent.where(F.coalesce("before", F.lit(0.0)) <= max(budget, 0.0) + SLACK).select(*frontier.columns)
+
+
 def activate(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, hops: int = HOPS, threshold: float = THRESHOLD, budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Spreading activation for many queries at once.
 
     ``seeds`` has query_id, pos, entity. Returns (query_id, entity, activation, first_seen) without the seeds, and (query_id, entity, turn_id).
     One level of the queue is one join: a node is entered with the energy of its first edge, its activation is the
-    largest that reaches it, and a level ends for a query where the energy spent exceeds the budget.
+    largest that reaches it, and a level ends for a query where the energy spent exceeds the budget. What surely lies beyond
+    that end, as behind a hub, is not expanded.
     """
     start = seeds.groupBy("query_id", F.col("entity").alias("node")).agg(F.min("pos").alias("pos"))
     frontier = start.select("query_id", F.col("pos").cast("long").alias("pos"), "node", F.lit(1.0).alias("energy"))
@@ -108,7 +126,9 @@ def activate(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, hops: int
     used = frontier.select("query_id").distinct().withColumn("used", F.lit(0.0))
     reached, turns = None, None
     edges = spread(edges, "dst")
+    degrees = edges.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")).groupBy("src", "confidence").agg(F.count("*").alias("n"))
     for hop in range(hops):
+        frontier = _within(frontier, degrees, visited, used, decay, threshold, budget)
         p = F.col("energy") * decay * F.col("confidence")
         cand = (
             frontier.where(F.col("energy") >= threshold).join(edges, F.col("node") == F.col("src"))
@@ -120,7 +140,7 @@ def activate(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, hops: int
         before = F.coalesce(F.sum("s").over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         alive = spent.join(used, "query_id").withColumn("before", F.col("used") + before).where(F.col("before") <= budget).select("query_id", "pos")
         live = materialize(cand.join(alive, ["query_id", "pos"]).withColumn("hop", F.lit(hop)), "activated")
-        seen_new = materialize(new.join(alive, ["query_id", "pos"]).select("query_id", "pos", "dst", "edge_id", "p"), "entered")
+        seen_new = None if hop + 1 == hops else materialize(new.join(alive, ["query_id", "pos"]).select("query_id", "pos", "dst", "edge_id", "p"), "entered")
         hit = live.select("query_id", F.col("dst").alias("entity"), "p", F.struct("hop", "pos", "edge_id").alias("at"))
         touch = live.where("turn_id IS NOT NULL").select("query_id", F.explode(F.array("src", "dst")).alias("entity"), "turn_id")
         reached = hit if reached is None else reached.unionByName(hit)

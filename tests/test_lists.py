@@ -93,3 +93,30 @@ def test_best_sums_leave_blocks_by_k(spark):
     found = lists.met(q, e, lists.best_sums(5, 1e-6), lists.SUMS, 200, 9000)
     assert found.count() <= 200 * 5 * 8
     assert {r.id for r in found.where("query_id = 7").orderBy(F.desc("score"), "id").limit(5).collect()} == set(range(5))
+
+
+def test_nothing_is_expanded_behind_a_hub(spark):
+    """A hub of 150 neighbours spends the budget; what comes after it is left out before its edges are joined, and results stay."""
+    from recallspark.operators import graph
+    from test_operators import naive_activation
+
+    base = [(2 * i, hub, f"{hub}{i}", 1.0) for hub in ("a", "b") for i in range(150)] + [(200, "c", "a", 1.0), (202, "c", "d", 1.0), (204, "d", "e", 1.0)]
+    base = [(2 * n, s, d, c) for n, (_, s, d, c) in enumerate(base)]
+    edges = base + [(i + 1, d, s, c) for i, s, d, c in base]
+    df = spark.createDataFrame(edges, "edge_id long, src string, dst string, confidence double").withColumn("turn_id", F.col("edge_id"))
+    seeds = {1: ["a", "b"], 2: ["c"], 3: ["d", "b", "a"]}
+    s = spark.createDataFrame([(q, i, e) for q, es in seeds.items() for i, e in enumerate(es)], "query_id long, pos int, entity string")
+    kept, within = [], graph._within
+
+    def watched(*a):
+        kept.append(within(*a))
+        return kept[-1]
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(graph, "_within", watched)
+        best, _ = graph.activate(s, df)
+    got = {q: {} for q in seeds}
+    for r in best.collect():
+        got[r.query_id][r.entity] = round(r.activation, 6)
+    assert got == {q: naive_activation(edges, es) for q, es in seeds.items()}
+    assert {(r.query_id, r.node) for r in kept[0].collect()} == {(1, "a"), (2, "c"), (3, "d"), (3, "b")}
