@@ -61,18 +61,37 @@ def reason(asks: DataFrame, triples: DataFrame, max_depth: int = 2) -> DataFrame
     return direct.unionByName(further).groupBy("subject", "predicate", "object").agg(F.min("depth").alias("depth"))
 
 
+def _near(pairs: DataFrame, edges: DataFrame, max_steps: int) -> DataFrame:
+    """goal, end, steps: the nodes from which a named target is at most ``max_steps`` facts away; the target itself is 0 away."""
+    level = pairs.where("target IS NOT NULL").select(F.concat(F.lit("="), "target").alias("goal"), F.col("target").alias("end")).distinct()
+    near = materialize(level.withColumn("steps", F.lit(0)), "near")
+    level, links = near, edges.select("subject", "object")
+    for steps in range(1, max_steps + 1):
+        if steps == 2:  # from here on all ends are subjects
+            links = materialize(links.join(edges.select(F.col("subject").alias("object")).distinct(), "object", "left_semi"), "links")
+        back = level.join(links, F.col("end") == F.col("object")).select("goal", F.col("subject").alias("end")).distinct()
+        level = materialize(back.join(near, ["goal", "end"], "left_anti").withColumn("steps", F.lit(steps)), "near")
+        near = near.unionByName(level)
+    return near
+
+
 def paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 4) -> DataFrame:
     """start, target, depth, end, best_confidence, context: paths between each pair, shortest first.
 
     Breadth first; as each pair's search meets a fact once, a fact belongs to the first path that reaches its subject:
     by depth, then by the order of the path, then by (predicate, id).
     A path ends where it reaches the target. With a null target every fact that is met ends a path, and the search goes on from its object.
-    Null starts give none.
+    Null starts give none. Towards a named target only nodes are followed from which the facts that are left can reach it: whatever
+    leads to such a node is one itself, so which path owns it does not change.
     """
     edges = facts(triples).groupBy("subject", "predicate", "object").agg(F.min("id").alias("id"), F.min_by("confidence", "id").alias("confidence"))
+    edges = materialize(edges, "edges")  # each level reads it
+    near = _near(pairs, edges, max_depth)
+    leading = materialize(edges.join(near.select(F.col("end").alias("object")).distinct(), "object", "left_semi"), "leading")
     empty = F.array().cast("array<string>")
     goal = F.coalesce(F.concat(F.lit("="), "target"), F.lit(""))  # no null, so that it can be joined on
     frontier = pairs.select("start", goal.alias("goal"), F.col("start").alias("node"), F.lit(0.0).alias("best"), F.lit("").alias("context"), empty.alias("place")).distinct()
+    frontier = frontier.where("goal = ''").unionByName(frontier.where("goal <> ''").join(near.select("goal", F.col("end").alias("node")), ["goal", "node"], "left_semi"))
     expanded, found = None, None
     for depth in range(1, max_depth + 1):
         # the first to arrive at a node takes all its facts
@@ -80,7 +99,9 @@ def paths(pairs: DataFrame, triples: DataFrame, max_depth: int = 4) -> DataFrame
         owners = frontier.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
         if expanded is not None:
             owners = owners.join(expanded, ["start", "goal", "node"], "left_anti")
-        step = owners.join(edges, F.col("node") == F.col("subject")).select(
+        useful = near.where(F.col("steps") <= max_depth - depth).select("goal", "end")
+        ahead = owners.where("goal <> ''").join(useful, "goal").join(leading, (F.col("node") == F.col("subject")) & (F.col("end") == F.col("object"))).drop("end")
+        step = owners.where("goal = ''").join(edges, F.col("node") == F.col("subject")).unionByName(ahead).select(
             "start", "goal", F.col("object").alias("node"), F.greatest("best", "confidence").alias("best"),
             F.concat(F.when(F.col("context") == "", F.col("start")).otherwise(F.col("context")), F.lit(" →("), "predicate", F.lit(")→ "), "object").alias("context"),
             F.concat("place", F.array(F.concat("predicate", F.lit("\u0000"), F.lpad(F.col("id").cast("string"), 20, "0")))).alias("place"),

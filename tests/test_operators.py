@@ -379,3 +379,22 @@ def test_reasoning_and_paths_take_the_reference_depths(spark, tmp_path):
     t.write.parquet(f"{tmp_path}/triples.parquet")
     assert {(r.start, r.target, r.depth) for r in knowledge.QUERIES["find_paths"](spark, str(tmp_path)).collect()} == {("a", "e", 4)}
     assert ("a", "said", "d", 2) in {tuple(r) for r in knowledge.QUERIES["reason_two_hops"](spark, str(tmp_path)).collect()}
+
+
+def test_path_search_follows_only_what_can_reach_the_target(spark):
+    """A start with 300 facts, of which one leads to the target: no row is written for the others."""
+    rows = [(i, "hub", "said", f"leaf {i}") for i in range(1, 300)] + [(300, "hub", "p", "a"), (301, "a", "p", "b"), (302, "leaf 7", "p", "far"), (303, "b", "p", "c")]
+    t = spark.createDataFrame([(i, s, p, o, 0.5, None, None) for i, s, p, o in rows], "id long, subject string, predicate string, object string, confidence double, episodic_id long, is_controversial boolean")
+    written = []
+    plain = graph.materialize
+
+    def watched(df, name):
+        out = plain(df, name)
+        written.extend([out] if name == "paths" else [])
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(graph, "materialize", watched)
+        found = graph.paths(spark.createDataFrame([("hub", "b")], "start string, target string"), t, 4).collect()
+    assert [(r.depth, r.end, r.context) for r in found] == [(2, "b", "hub →(p)→ a →(p)→ b")]
+    assert [x.count() for x in written] == [1, 1, 0, 0]
