@@ -398,3 +398,26 @@ def test_path_search_follows_only_what_can_reach_the_target(spark):
         found = graph.paths(spark.createDataFrame([("hub", "b")], "start string, target string"), t, 4).collect()
     assert [(r.depth, r.end, r.context) for r in found] == [(2, "b", "hub →(p)→ a →(p)→ b")]
     assert [x.count() for x in written] == [1, 1, 0, 0]
+
+
+def test_chunk_semantic_shuffles_no_vectors(spark):
+    """As with an embedder of its own, but each pair is embedded where it meets."""
+    texts = ["red lake", "blue tower", "x" * 600, "", None]
+    q = spark.createDataFrame([(1, "lake"), (2, "tower"), (3, "")], "query_id long, query string")
+    found = spark.createDataFrame([(i, f"c{n}", t, c) for i in (1, 2, 3, 4) for n, t in enumerate(texts) for c in [[0.9, 0.5, None, 0.4, 0.3][n]]], "query_id long, id string, content string, confidence double")
+    got = vectors.chunk_semantic(q, found)
+    assert "embed(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = vectors.chunk_semantic(q, found, embed=lambda c: vectors.hash_embed(c))
+    assert len(want.collect()) == 6
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_embedding_does_not_depend_on_what_came_before():
+    import hashlib
+
+    import numpy as np
+
+    for t in ("lake", "tower", "lake", "x" * 700):
+        v = np.random.RandomState(int(hashlib.md5(t.encode()).hexdigest()[-8:], 16)).randn(384)
+        vectors._embedded("odd one")
+        assert np.array_equal(vectors._embedded(t), v / np.linalg.norm(v))
