@@ -8,6 +8,7 @@ up only for the entries that can still make it. Each block's best are returned,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +181,12 @@ BOOST = -1
 NONE = np.iinfo("i8").min
 
 
+@cache
+def _lowest(n: int) -> np.ndarray:
+    """The lowest bit of each mask of ``n`` bits, -1 for 0."""
+    return np.array([(m & -m).bit_length() - 1 for m in range(1 << n)])
+
+
 def best_kinds(k: int) -> Callable[[pa.Table], pa.Table]:
     """Kernel over (query, list, id, w, first, pos, boost): a query's rows have the list's weight, its position and whether boosts count; an entry's have ``first``.
 
@@ -229,7 +236,7 @@ def best_kinds(k: int) -> Callable[[pa.Table], pa.Table]:
                 floor = max(floor, kth(np.bincount(mask[p], minlength=1 << n)))
                 read += 1
             keep = factor * (s + rest[read]) >= floor - margin
-            lowest = np.array([(int(m) & -int(m)).bit_length() - 1 for m in masks])
+            lowest = _lowest(n)
             able = [p[(keep & (lowest == bit))[mask[p]]] for bit in range(read) for p in [lists.of(own[bit][2])[0]]]
             able = np.concatenate(able)
             kind = mask[able].astype("i8")

@@ -114,7 +114,10 @@ def keyword_matches(kws: DataFrame, triples: DataFrame) -> DataFrame:
     shared gram, the match is verified on these, and runs lead to triples by an equi-join.
     """
     rows = spread(triples.select("id", F.nullif("episodic_id", F.lit(0)).alias("turn_id"), *FIELDS), "id").distinct()
-    tokens = rows.select("id", "turn_id", F.explode(F.array_distinct(F.concat(*[_letters(F.col(f)) for f in FIELDS]))).alias("token"))
+    # a field that repeats the one before, as the object and evidence of what was said, is not taken apart again
+    fields = [F.col(FIELDS[0]), *[F.when(~F.col(f).eqNullSafe(F.col(g)), F.col(f)) for g, f in zip(FIELDS, FIELDS[1:], strict=False)]]
+    words = materialize(rows.select("id", "turn_id", F.array_distinct(F.concat(*[_letters(f) for f in fields])).alias("tokens")), "tokens")  # read twice
+    tokens = words.select("id", "turn_id", F.explode("tokens").alias("token"))
     vocabulary = tokens.select("token").distinct().select("token", F.explode(_grams(F.col("token"))).alias("gram"))
     asked = kws.select("kw").distinct().where(F.length("kw") >= 2).withColumn("gram", F.substr("kw", F.lit(1), F.least(F.length("kw"), F.lit(3))))
     hits = asked.join(vocabulary, "gram").where(F.contains("token", "kw")).select("kw", "token").distinct()

@@ -120,3 +120,14 @@ def test_nothing_is_expanded_behind_a_hub(spark):
         got[r.query_id][r.entity] = round(r.activation, 6)
     assert got == {q: naive_activation(edges, es) for q, es in seeds.items()}
     assert {(r.query_id, r.node) for r in kept[0].collect()} == {(1, "a"), (2, "c"), (3, "d"), (3, "b")}
+
+
+def test_words_of_triples_are_taken_apart_once(spark):
+    """The vocabulary and the matches read stored words: the plan of the matches has no pattern over the triples' text left."""
+    from recallspark.operators import retrieve
+
+    t = "id long, episodic_id long, subject string, predicate string, object string, evidence string"
+    rows = [(1, 5, "Ann", "said", "red Lake", "red Lake"), (2, 6, "lakes", "p", None, None), (3, 7, None, "p", "tower", "by the lake"), (4, 0, "tower", "p", "tower", None), (4, 0, "tower", "p", "tower", None)]
+    found = retrieve.keyword_matches(spark.createDataFrame([("lake",), ("tower",), ("湖泊",)], "kw string"), spark.createDataFrame(rows, t))
+    assert sorted((r.kw, r.triple_id, r.turn_id or 0) for r in found.collect()) == [("lake", 1, 5), ("lake", 2, 6), ("lake", 3, 7), ("tower", 3, 7), ("tower", 4, 0)]
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
