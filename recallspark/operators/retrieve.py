@@ -121,7 +121,8 @@ def keyword_matches(kws: DataFrame, triples: DataFrame) -> DataFrame:
     vocabulary = tokens.select("token").distinct().select("token", F.explode(_grams(F.col("token"))).alias("gram"))
     asked = kws.select("kw").distinct().where(F.length("kw") >= 2).withColumn("gram", F.substr("kw", F.lit(1), F.least(F.length("kw"), F.lit(3))))
     hits = asked.join(vocabulary, "gram").where(F.contains("token", "kw")).select("kw", "token").distinct()
-    return hits.join(tokens, "token").select("kw", F.col("id").alias("triple_id"), "turn_id").distinct()
+    # dealt by what they are counted by next, so that counting shuffles nothing more
+    return hits.join(tokens, "token").select("kw", F.col("id").alias("triple_id"), "turn_id").repartition("kw", "turn_id").distinct()
 
 
 def query_keywords(queries: DataFrame) -> DataFrame:
