@@ -9,6 +9,7 @@ from functools import cache, lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +20,8 @@ from recallspark.shared import materialize
 #: thousand million pairs, so that the copies of a block that are shuffled cost little beside the scoring.
 BLOCK = 32_768
 LEAST_BLOCK = 1024
+#: Scores whose k-th best is found first; what roundings to 6 decimals may make equal. Share of the base, the longest vectors, that is met first.
+SEEN, SLACK, LONGEST = 2048, 2e-6, 1 / 32
 EMBED_DIM = 384
 #: Texts whose embeddings a worker keeps.
 KEPT_TEXTS = 4096
@@ -31,7 +34,7 @@ def _score(k: int):  # noqa: ANN202
         t = t.combine_chunks()
         is_query = t["is_query"].to_numpy()
         ids = t["id"].to_numpy()
-        x = np.stack(t["vec"].to_pandas().to_numpy()).astype("f8") if len(t) else np.zeros((0, 1))
+        x = pc.list_flatten(t["vec"]).to_numpy().astype("f8").reshape(len(t), -1) if len(t) else np.zeros((0, 1))
         q, b = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         if not len(q) or not len(b):
             return schema.empty_table()
@@ -39,27 +42,28 @@ def _score(k: int):  # noqa: ANN202
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for part in np.array_split(q, -(-len(q) // 512)):
             s = x[part] @ x[b].T
-            s = np.trunc(s * 1e6 + np.copysign(0.5, s)) / 1e6  # halves away from zero, as in SQL
-            last = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+            # what the k-th best of the first ones leaves is rounded; two that round alike differ by less than SLACK
+            last = np.partition(s[:, :SEEN], -k, axis=1)[:, -k] - SLACK if s.shape[1] > k else np.full(len(s), -np.inf)
             i, j = np.nonzero(s >= last[:, None])  # with all that tie with the k-th
-            order = np.lexsort((j, -s[i, j], i))
-            i, j = i[order], j[order]
+            v = s[i, j]
+            v = np.trunc(v * 1e6 + np.copysign(0.5, v)) / 1e6  # halves away from zero, as in SQL
+            order = np.lexsort((j, -v, i))
+            i, j, v = i[order], j[order], v[order]
             begin = np.searchsorted(i, np.arange(len(s)))
             top = np.arange(len(i)) - begin[i] < k
-            i, j = i[top], j[top]
-            out.append((ids[part][i], ids[b][j], s[i, j]))
+            out.append((ids[part][i[top]], ids[b][j[top]], v[top]))
         qs, bs, ss = (np.concatenate(v) for v in zip(*out, strict=True))
         return pa.table([qs, bs, ss], schema=schema)
 
     return run
 
 
-def exact_topk(queries: DataFrame, base: DataFrame, k: int, n_queries: int, n_base: int) -> DataFrame:
-    """query_id, id, score, rank: the ``k`` base vectors with the largest dot product, rounded to 6 decimals, ties to the smaller id.
+def _norm(vec: Column) -> Column:
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    Both sides have id and vec (equal lengths, no nulls). Query blocks meet base blocks pairwise, each pair in a task of its own;
-    only each block's best ``k`` per query are shuffled on. ``n_queries`` and ``n_base`` size the blocks.
-    """
+
+def _met(queries: DataFrame, base: DataFrame, k: int, n_queries: int, n_base: int) -> DataFrame:
+    """query_id, id, score: the best ``k`` of each pair of blocks."""
     qb, bb = max(1, -(-n_queries // BLOCK)), max(1, -(-n_base // BLOCK))
     cores = base.sparkSession.sparkContext.defaultParallelism
     bb = max(bb, min(-(-2 * cores // qb), n_base // LEAST_BLOCK))  # small inputs are spread over the cores
@@ -67,9 +71,38 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int, n_queries: int, n_ba
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select("id", "vec", F.lit(True).alias("is_query"), of(qb).alias("qb"), every(bb).alias("bb"))
     b = base.select("id", "vec", F.lit(False).alias("is_query"), every(qb).alias("qb"), of(bb).alias("bb"))
-    local = q.unionByName(b).groupBy("qb", "bb").applyInArrow(_score(k), "query_id long, id long, score double")
+    return q.unionByName(b).groupBy("qb", "bb").applyInArrow(_score(k), "query_id long, id long, score double")
+
+
+def exact_topk(queries: DataFrame, base: DataFrame, k: int, n_queries: int, n_base: int) -> DataFrame:
+    """query_id, id, score, rank: the ``k`` base vectors with the largest dot product, rounded to 6 decimals, ties to the smaller id.
+
+    Both sides have id and vec (equal lengths, no nulls). Query blocks meet base blocks pairwise, each pair in a task of its own;
+    only each block's best ``k`` per query are shuffled on. ``n_queries`` and ``n_base`` size the blocks. In a large base the longest
+    vectors are met first: no score exceeds the product of the lengths, so a query goes on to the rest only if its k-th best may be beaten there.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if n_base <= BLOCK:
+        return best(_met(queries, base, k, n_queries, n_base))
+    norm = _norm(F.col("vec"))
+    least = base.select(F.percentile_approx(norm, F.lit(1 - LONGEST)).alias("least")).first()["least"] * (1 - 1e-6)  # with those that are as long but for rounding
+    n_long, longest = base.agg(F.count_if(norm >= least), F.max(F.when(norm < least, norm))).first()
+    first = materialize(best(_met(queries, base.where(norm >= least), k, n_queries, n_long)), "best")
+    if longest is None:
+        return first
+    rest = base.where(norm < least)
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    bound = norm * F.lit(longest * (1 + 1e-9)) + SLACK
+    left = queries.withColumn("norm", norm).join(floors, "id", "left").where(F.col("floor").isNull() | (bound >= F.col("floor")))
+    left = materialize(left.select("id", "vec", "norm"), "left")
+    n_left = left.where("norm > 0").count()
+    # a query of length 0 scores 0 everywhere: the smallest ids
+    nil = left.where("norm = 0").select(F.col("id").alias("query_id")).crossJoin(F.broadcast(rest.select("id").orderBy("id").limit(k))).withColumn("score", F.lit(0.0))
+    found = first.drop("rank").unionByName(nil)
+    if n_left:
+        found = found.unionByName(_met(left.where("norm > 0").select("id", "vec"), rest, k, n_left, n_base - n_long))
+    return best(found)
 
 
 @cache

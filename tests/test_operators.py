@@ -421,3 +421,27 @@ def test_embedding_does_not_depend_on_what_came_before():
         v = np.random.RandomState(int(hashlib.md5(t.encode()).hexdigest()[-8:], 16)).randn(384)
         vectors._embedded("odd one")
         assert np.array_equal(vectors._embedded(t), v / np.linalg.norm(v))
+
+
+def test_short_vectors_are_met_only_where_they_can_win(spark, monkeypatch):
+    """Few long vectors win nearly everywhere: the rest is met by the queries that they leave open only, and all results are exact."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK", 300)
+    r = np.random.RandomState(3)
+    x = r.randn(1000, 8)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:40] *= 5
+    x[40:44] = x[39]  # ties
+    x[50] = 0
+    x[60] = np.eye(8)[0] * 1e-3
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vec array<double>")
+    met, sizes = vectors._met, []
+    monkeypatch.setattr(vectors, "_met", lambda q, b, k, nq, nb: sizes.append((q.count(), b.count())) or met(q, b, k, nq, nb))
+    got = {(a.query_id, a["rank"]): (a.id, a.score) for a in vectors.exact_topk(df.where("id % 10 = 0"), df, 3, 100, 1000).collect()}
+    for q in range(0, 1000, 10):
+        s = np.round(x[q] @ x.T, 6)
+        order = np.lexsort((np.arange(1000), -s))[:3]
+        assert [got[q, n + 1][0] for n in range(3)] == list(order)
+        assert [got[q, n + 1][1] for n in range(3)] == pytest.approx(s[order])
+    assert len(sizes) <= 2 and sum(a * b for a, b in sizes) < 0.5 * 100 * 1000
