@@ -54,6 +54,8 @@ class IndexParams:
 #: Sampled rows of a crowded cell below which it gets no codebooks of its own.
 LEAST_SAMPLE = 64
 LEAST_SHARD = 2048
+#: Near pairs of centroids of a vector up to which they are all looked at; beyond, a heap finds the nearest ones.
+PAIRS = 64
 
 
 def usable(v: Column, dim: int) -> Column:
@@ -187,56 +189,80 @@ def deal_visitors(index: Index, visitors: np.ndarray, p: IndexParams) -> None:
     index.first_part = np.concatenate([[0], np.cumsum(index.slices)[:-1]]).astype("i4")
 
 
+def _ranges(n: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each of ``n``, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def visit(index: Index, x: np.ndarray, salt: np.ndarray, p: IndexParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, leaf, shard) for every cell that each vector visits; ``salt`` says which blocks of a crowded cell come first."""
-    rows: list[int] = []
-    leaves: list[int] = []
-    shards: list[int] = []
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     filled, first_shard, cut = index.rows, index.shard, index.blocks
     most_blocks = max(1, p.candidates // p.crowded)
 
+    def one(book: Book, row: int, near: list[tuple[np.ndarray, np.ndarray]], entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The visits of one vector by a heap: the cells that are near enough may be far more than those that are met."""
+        (ia, va), (ib, vb) = ((i.tolist(), v.tolist()) for i, v in near)
+        k, cells = len(book.centroids[0]), []
+        limit = va[0] + vb[0] + p.slack
+        heap = [(va[0] + vb[0], 0, 0)]
+        met = 0.0
+        while heap and met < p.candidates:
+            s, i, j = heapq.heappop(heap)
+            if s > limit:
+                break
+            cell = ia[i] * k + ib[j]
+            cells.append(cell)
+            met += float(entries[cell])
+            if j + 1 < len(vb):
+                heapq.heappush(heap, (va[i] + vb[j + 1], i, j + 1))
+            if j == 0 and i + 1 < len(va):
+                heapq.heappush(heap, (va[i + 1] + vb[0], i + 1, 0))
+        return np.full(len(cells), row), np.array(cells, "i8")
+
     def walk(book: Book, at: np.ndarray) -> None:
         """The vectors ``at`` meet the cells of a book; a cell with a book of its own counts whole and is walked with a count of its own."""
         k = len(book.centroids[0])
-        near = []
+        entries = filled[book.first_leaf : book.first_leaf + k * k].astype("f8")
+        for cell, child in book.children.items():
+            entries[cell] = child.rows
+        near, counts = [], []
         for d in book.distances(x[at]):
-            m = int((d <= d.min(1, keepdims=True) + p.slack).sum(1).max())
+            count = (d <= d.min(1, keepdims=True) + p.slack).sum(1)
+            m = int(count.max())
             best = np.argpartition(d, m - 1, axis=1)[:, :m] if m < k else np.tile(np.arange(k), (len(at), 1))
             best = np.take_along_axis(best, np.argsort(np.take_along_axis(d, best, 1), axis=1, kind="stable"), 1)
-            near.append((best.tolist(), np.take_along_axis(d, best, 1).tolist()))
+            # sums of distances as a Python float has them
+            near.append((best, np.take_along_axis(d, best, 1).astype("f8")))
+            counts.append(count)
         (ca, da), (cb, db) = near
-        deeper: dict[int, list[int]] = {}
-        for n, r in enumerate(at.tolist()):
-            ia, va, ib, vb = ca[n], da[n], cb[n], db[n]
-            limit = va[0] + vb[0] + p.slack
-            heap = [(va[0] + vb[0], 0, 0)]
-            met = 0.0
-            while heap and met < p.candidates:
-                s, i, j = heapq.heappop(heap)
-                if s > limit:
-                    break
-                cell = ia[i] * k + ib[j]
-                leaf = book.first_leaf + cell
-                if cell in book.children:
-                    deeper.setdefault(cell, []).append(r)
-                    met += book.children[cell].rows
-                elif filled[leaf]:
-                    blocks = int(cut[leaf])
-                    for b in range(min(blocks, most_blocks)):
-                        rows.append(r)
-                        leaves.append(leaf)
-                        shards.append(int(first_shard[leaf]) + (int(salt[r]) + b) % blocks)
-                    met += int(filled[leaf])
-                if j + 1 < len(vb):
-                    heapq.heappush(heap, (va[i] + vb[j + 1], i, j + 1))
-                if j == 0 and i + 1 < len(va):
-                    heapq.heappush(heap, (va[i + 1] + vb[0], i + 1, 0))
-        for cell, again in deeper.items():
-            walk(book.children[cell], np.array(again))
+        pairs = counts[0] * counts[1]
+        some = np.flatnonzero(pairs <= PAIRS)
+        r = np.repeat(some, pairs[some])
+        i, j = np.divmod(_ranges(pairs[some]), counts[1][r])
+        s = da[r, i] + db[r, j]
+        ok = np.flatnonzero(s <= da[r, 0] + db[r, 0] + p.slack)
+        ok = ok[np.lexsort((s[ok], r[ok]))]
+        r, cell = r[ok], ca[r[ok], i[ok]] * k + cb[r[ok], j[ok]]
+        before = np.cumsum(entries[cell]) - entries[cell]  # what the nearer cells hold
+        begin = np.searchsorted(r, r)
+        ok = before - before[begin] < p.candidates if len(r) else np.zeros(0, bool)
+        met = [(r[ok], cell[ok])] + [one(book, n, [(ca[n], da[n]), (cb[n], db[n])], entries) for n in np.flatnonzero(pairs > PAIRS).tolist()]
+        r, cell = (np.concatenate(y) for y in zip(*met, strict=True))
+        deep = np.isin(cell, list(book.children)) if book.children else np.zeros(len(cell), bool)
+        out.append((at[r[~deep]], book.first_leaf + cell[~deep]))
+        for c in np.unique(cell[deep]).tolist():
+            walk(book.children[c], at[r[deep & (cell == c)]])
 
     if len(x):
         walk(index.root, np.arange(len(x)))
-    return np.array(rows, "i8"), np.array(leaves, "i8"), np.array(shards, "i8")
+    rows, leaves = (np.concatenate(y) for y in zip(*out, strict=True)) if out else (np.zeros(0, "i8"),) * 2
+    held = np.flatnonzero(filled[leaves])
+    rows, leaves = rows[held], leaves[held]
+    n = np.minimum(cut[leaves], most_blocks)
+    block = _ranges(n)
+    rows, leaves = np.repeat(rows, n), np.repeat(leaves, n)
+    return rows, leaves, first_shard[leaves].astype("i8") + (salt[rows] + block) % cut[leaves]
 
 
 def home(book: Book, x: np.ndarray) -> np.ndarray:

@@ -396,3 +396,34 @@ def test_every_document_gets_a_level_row(spark, small):
 def test_tokens(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("天" * 60_000,)], "t string")
     assert [r.n for r in df.select(token_count(F.col("t")).alias("n")).collect()] == [2, 0, 0, 60_000]
+
+
+def test_few_near_cells_need_no_heap(monkeypatch):
+    """Visits of vectors with few near cells are found for all vectors together, and are those that the heap finds, in crowded and cut cells, too."""
+    from dataclasses import replace
+
+    from recallspark.llm import neighbours as module
+
+    r = np.random.default_rng(8)
+    centre = r.normal(size=(40, 64))
+    x = _unit((centre[r.integers(0, 40, 3000)] + 0.3 * r.normal(size=(3000, 64))).astype("f4"))
+    salt = r.integers(0, 1 << 40, len(x))
+    for slack, candidates in ((0.055, 32_768), (0.3, 150)):
+        p = IndexParams(slack=slack, candidates=candidates, rows_per_cell=64, crowded=60, shard_rows=400)
+        index = Index(new_book(x, float(len(x)), 0, p), 0)
+        index.leaves = len(index.root.centroids[0]) ** 2
+        for _ in range(2):
+            index.rows = np.bincount(home(index.root, x), minlength=index.leaves)
+            grow(index, x, p)
+        index.rows = np.bincount(home(index.root, x), minlength=index.leaves)
+        assert index.root.children
+        lay_out(index, len(x), replace(p, crowded=10))
+        assert (index.blocks > 1).any()
+        with monkeypatch.context() as m:
+            m.setattr(module, "PAIRS", 0)
+            want = set(zip(*(y.tolist() for y in visit(index, x, salt, p)), strict=True))
+        with monkeypatch.context() as m:
+            m.setattr(module, "PAIRS", 1 << 20)
+            m.setattr(module.heapq, "heappop", lambda heap: pytest.fail("a heap was used"))
+            got = list(zip(*(y.tolist() for y in visit(index, x, salt, p)), strict=True))
+        assert set(got) == want and len(got) == len(want)
