@@ -24,15 +24,21 @@ BLOCK, LEAST_BLOCK = 2_000_000, 16_384
 DENSE_SHARE, DENSE_BYTES = 1 / 64, 128 << 20
 #: Entries of a list before which the floor is looked after; the least number above 0.
 LONG, TINY = 256, 5e-324
+#: Entries that are summed over all lists at once, at most.
+FEW = 256
+#: As LONG, once there is a floor.
+LATER = 4096
 
 
-def met(queries: DataFrame, entries: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str, n_queries: int, n_rows: int) -> DataFrame:
+def met(queries: DataFrame, entries: DataFrame, kernel: Callable[[pa.Table], pa.Table], schema: str, n_queries: int, n_rows: int, repeat: int = 1) -> DataFrame:
     """``kernel`` over each pair of a block of ``queries`` and a block of ``entries``, which have the same columns; is_query is added.
 
     Queries are dealt by ``query``, entries by ``id``. ``n_queries`` and ``n_rows`` of entries size the blocks.
+    Where these are fewer than the cores, queries are cut before entries, so that each meets fewer blocks; entries are shuffled ``repeat`` times at most for it.
     """
     cores = entries.sparkSession.sparkContext.defaultParallelism
     qb = max(1, -(-n_queries // QUERY_BLOCK))
+    qb = max(qb, min(repeat, cores // max(1, -(-n_rows // BLOCK))))
     bb = max(1, -(-n_rows // BLOCK), min(-(-cores // qb), n_rows // LEAST_BLOCK))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -59,6 +65,7 @@ class Lists:
         self.begin = np.append(begin, len(order))
         self.place, self.value = place[order].astype("i8"), value[order]
         self.at = {int(k): i for i, k in enumerate(self.keys)}
+        self.of_entry: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.dense: dict[int, np.ndarray] = {}
         self.room = DENSE_BYTES
 
@@ -89,6 +96,29 @@ class Lists:
         j = np.minimum(np.searchsorted(p, places), len(p) - 1)
         return np.where(p[j] == places, v[j], none)
 
+    def shares(self, most: np.ndarray) -> np.ndarray:
+        """For each entry the largest share of a list's ``most`` that it has in a list of more than LONG entries."""
+        n = np.diff(self.begin)
+        ratio = np.where(np.repeat(n > LONG, n), self.value / np.repeat(most, n), 0)
+        share = np.zeros(len(self.ids))
+        np.maximum.at(share, self.place, ratio)
+        return share
+
+    def sums(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each of ``places`` the sum of its values, times ``weights`` of their lists."""
+        if self.of_entry is None:  # the lists turned round: of each entry its lists and values
+            order = np.argsort(self.place, kind="stable")
+            list_of = np.repeat(np.arange(len(self.keys), dtype="i4"), np.diff(self.begin))
+            begin = np.searchsorted(self.place[order], np.arange(len(self.ids) + 1))
+            self.of_entry = begin, list_of[order], self.value[order]
+        begin, list_of, value = self.of_entry
+        first, n = begin[places], begin[places + 1] - begin[places]
+        if not len(places):
+            return np.zeros(0)
+        start = np.cumsum(n) - n
+        at = np.arange(start[-1] + n[-1]) + np.repeat(first - start, n)
+        return np.add.reduceat(weights[list_of[at]] * value[at], start)
+
 
 def _by_query(t: pa.Table) -> Iterator[np.ndarray]:
     """The rows of each query."""
@@ -97,6 +127,12 @@ def _by_query(t: pa.Table) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(q[order])) + 1) if len(order) else []
 
 
+def _distinct(places: np.ndarray) -> np.ndarray:
+    """Sorted; for the few places here faster than ``np.unique``, which hashes them."""
+    p = np.sort(places)
+    return p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p
+
+
 def _kth(values: np.ndarray, k: int) -> float:
     return np.partition(values, -k)[-k] if len(values) >= k else -np.inf
 
@@ -106,10 +142,23 @@ def _kth(values: np.ndarray, k: int) -> float:
 SUMS = "query_id long, id long, score double"
 
 
+def _terms(asked: pa.Table, lists: Lists, most: np.ndarray) -> tuple[list[int], list[int], list[float], list[float]]:
+    """Where each query's rows begin, and of its rows the list, its weight and the most that it adds, strongest first; rows of lists that the block lacks are left out."""
+    list_of, weight, query = (asked[c].to_numpy() for c in ("list", "w", "query"))
+    i = np.minimum(np.searchsorted(lists.keys, list_of), len(lists.keys) - 1)
+    here = np.flatnonzero(lists.keys[i] == list_of)
+    i, weight, query = i[here], weight[here], query[here]
+    order = np.lexsort((i, -weight * most[i], query))
+    i, weight, query = i[order], weight[order], query[order]
+    begin = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, "i8")
+    return query[begin], np.append(begin, len(query)).tolist(), i, weight
+
+
 def best_sums(k: int, margin: float) -> Callable[[pa.Table], pa.Table]:
     """Kernel over (query, list, id, w): a query's rows have ``w``, how often it counts a list, an entry's its value in the list, above 0.
 
-    The ``k`` largest sums of w x value of each query, rounded to 6 decimals, ties to the smaller id.
+    The ``k`` largest sums of w x value of each query, rounded to 6 decimals, ties to the smaller id. Few entries are summed over all lists at
+    once, from what each of them has (``Lists.sums``); where many may still make it, the strongest of the lists left are looked up first.
     """
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
@@ -119,55 +168,81 @@ def best_sums(k: int, margin: float) -> Callable[[pa.Table], pa.Table]:
             return schema.empty_table()
         lists = Lists(held["list"].to_numpy(), held["id"].to_numpy(), held["w"].to_numpy())
         most = np.maximum.reduceat(lists.value, lists.begin[:-1])
-        list_of, weight, query = (asked[c].to_numpy() for c in ("list", "w", "query"))
-        acc, room = np.zeros(len(lists.ids)), np.empty(len(lists.ids))
+        queries, begin, list_at, weight_at = _terms(asked, lists, most)
+        bound_at = (weight_at * most[list_at]).tolist()
+        size_at = (lists.begin[list_at + 1] - lists.begin[list_at]).tolist()
+        acc, room, weights = np.zeros(len(lists.ids)), np.empty(len(lists.ids)), np.zeros(len(lists.keys))
+        share = lists.shares(most)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for rows in _by_query(asked):
-            terms = [(weight[r] * most[i], weight[r], i) for r in rows if (i := lists.at.get(int(list_of[r]), -1)) >= 0]
-            if not terms:
-                continue
-            terms.sort(key=lambda x: (-x[0], x[2]))
-            rest = np.append(np.cumsum([b for b, _, _ in reversed(terms)])[::-1], 0.0)
-            floor, n, touched, good = -np.inf, 0, 0, np.zeros(0, "i8")
-            for _, w, i in terms:
+        for query, lo, hi in zip(queries, begin, begin[1:], strict=False):
+            mine = list_at[lo:hi]
+            terms = list(zip(weight_at[lo:hi].tolist(), mine.tolist(), size_at[lo:hi], strict=True))
+            rest = [0.0]
+            for b in reversed(bound_at[lo:hi]):
+                rest.append(rest[-1] + b)
+            rest.reverse()
+            weights[mine] = weight_at[lo:hi]
+            floor, n, touched, good, some = -np.inf, 0, 0, np.zeros(0, "i8"), []
+            for w, i, length in terms:
                 if rest[n] < floor - margin:
                     break
+                # whole sums of those that look best so far: a high floor, so that long lists need not be read
+                if some and length > (LONG if floor == -np.inf else LATER):
+                    p = np.concatenate(some) if len(some) > 1 else some[0]
+                    if len(p) > 2 * k:
+                        p = p[np.argpartition(acc[p], -2 * k)[-2 * k :]]
+                    p, some = _distinct(p), []
+                    good = _distinct(np.concatenate([good, p])) if len(good) else p
+                    whole = lists.sums(good, weights)
+                    if len(good) > k:
+                        keep = np.argpartition(whole, -k)[-k:]
+                        good, whole = good[keep], whole[keep]
+                    floor = max(floor, _kth(whole, k))
+                    if rest[n] < floor - margin:
+                        break
                 p, v = lists.of(i)
-                row = lists.row(i, 0.0) if len(p) * 8 > len(acc) else None
+                row = lists.row(i, 0.0) if length * 8 > len(acc) else None
                 if row is None:
                     acc[p] += w * v
                 else:
-                    acc += np.multiply(row, w, out=room)
-                n, touched = n + 1, touched + len(p)
-                # whole scores of those that look best so far: a high floor early, so that long lists need not be read
-                if n < len(terms) and rest[n] >= floor - margin and lists.length(terms[n][2]) > LONG:
-                    some = p[np.argpartition(acc[p], -2 * k)[-2 * k :]] if len(p) > 2 * k else p
-                    good = np.unique(np.concatenate([good, some]))
-                    whole = acc[good]
-                    for _, u, j in terms[n:]:
-                        whole += u * lists.found(j, good, 0.0)
-                    if len(good) > 2 * k:
-                        keep = np.argpartition(whole, -2 * k)[-2 * k :]
-                        good, whole = good[keep], whole[keep]
-                    floor = max(floor, _kth(whole, k))
-            left, least = terms[n:], floor - rest[n] - margin
-            if touched * 16 > len(acc):
-                able = np.flatnonzero(acc >= max(least, TINY))
+                    np.add(acc, np.multiply(row, w, out=room), out=acc)
+                some.append(p)
+                n, touched = n + 1, touched + length
+            left = terms[n:]
+            # the most that the lists left add to an entry: long ones no more than its share of their most
+            most_left = np.array(bound_at[lo + n : hi])
+            short = np.array([length <= LONG for _, _, length in left], bool)
+            fixed = np.append(np.cumsum((most_left * short)[::-1])[::-1], 0.0).tolist()
+            scaled = np.append(np.cumsum((most_left * ~short)[::-1])[::-1], 0.0).tolist()
+            if touched * 8 > len(acc):
+                able = np.flatnonzero(acc >= max(floor - rest[n] - margin, TINY))
                 score = acc[able]
                 acc[:] = 0
             else:
-                able = np.unique(np.concatenate([lists.of(i)[0] for _, _, i in terms[:n]]))
+                able = np.concatenate([lists.of(i)[0] for _, i, _ in terms[:n]])
                 score = acc[able]
                 acc[able] = 0
-                able, score = able[score >= least], score[score >= least]
-            for n, (_, w, i) in enumerate(left, n):
-                stay = score >= floor - rest[n] - margin
-                able, score = able[stay], score[stay]
+            part = share[able]
+            stay = np.flatnonzero(score + scaled[0] * part >= floor - fixed[0] - margin)
+            able, score, part = able[stay], score[stay], part[stay]
+            if touched * 8 <= len(acc):  # an entry of several lists is there several times
+                order = np.argsort(able)
+                order = order[np.r_[True, np.diff(able[order]) > 0]] if len(order) else order
+                able, score, part = able[order], score[order], part[order]
+            for n, (w, i, _) in enumerate(left, 1):
+                if len(able) <= FEW:
+                    break
                 score = score + w * lists.found(i, able, 0.0)
-                floor = max(floor, _kth(score, k))
+                stay = np.flatnonzero(score + scaled[n] * part >= floor - fixed[n] - margin)
+                able, score, part = able[stay], score[stay], part[stay]
+            if len(able) <= FEW:
+                score = lists.sums(able, weights)
+            weights[mine] = 0
             whole = np.trunc(score * 1e6 + 0.5)
+            if len(able) > 4 * k:
+                able, score, whole = (x[at] for at in [np.flatnonzero(whole >= _kth(whole, k))] for x in (able, score, whole))
             top = np.lexsort((able, -whole))[:k]
-            out.append((np.full(len(top), query[rows[0]]), lists.ids[able[top]], score[top]))
+            out.append((np.full(len(top), query), lists.ids[able[top]], score[top]))
         return pa.table([np.concatenate(x) for x in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
 
     return run

@@ -80,7 +80,7 @@ def bm25_over(queries: DataFrame, post: DataFrame, stats: DataFrame, k: int) ->
     none = F.lit(None).cast("long")
     q = asked.join(terms, "term").select(F.col("query_id").alias("query"), "list", none.alias("id"), F.col("qtf").cast("double").alias("w"))
     e = post.join(terms, "term").select(none.alias("query"), "list", "id", weight.alias("w"))
-    found = lists.met(q, e, lists.best_sums(k, MARGIN), lists.SUMS, asked.select("query_id").distinct().count(), post.count())
+    found = lists.met(q, e, lists.best_sums(k, MARGIN), lists.SUMS, asked.select("query_id").distinct().count(), post.count(), repeat=3)
     scores = found.withColumn("score", F.round("score", 6))
     return ranked(scores.where("score > 0"), "query_id", [F.desc("score"), F.col("id")], k)
 

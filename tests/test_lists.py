@@ -131,3 +131,35 @@ def test_words_of_triples_are_taken_apart_once(spark):
     found = retrieve.keyword_matches(spark.createDataFrame([("lake",), ("tower",), ("湖泊",)], "kw string"), spark.createDataFrame(rows, t))
     assert sorted((r.kw, r.triple_id, r.turn_id or 0) for r in found.collect()) == [("lake", 1, 5), ("lake", 2, 6), ("lake", 3, 7), ("tower", 3, 7), ("tower", 4, 0)]
     assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_entries_are_summed_at_once(spark, monkeypatch):
+    """The entries of rare lists give the floor, and what can still make it is summed from what each entry has: no common list is looked up for them one by one."""
+    import pyarrow as pa
+
+    r = random.Random(7)
+    held = {(x, i): r.choice([0.08, 0.1, 0.1 * r.random() + 0.01]) for x in range(12) for i in range(3000) if r.random() < 0.3}
+    held |= {(x, i): 9.0 + r.random() for x in range(12, 40) for i in r.sample(range(3000), 30)}
+    asked = {q: {x: float(r.choice([1, 1, 2])) for x in [*range(12), *r.sample(range(12, 40), 2)]} for q in range(30)}
+    rows = [(q, x, None, n, True) for q, of in asked.items() for x, n in of.items()] + [(None, x, i, w, False) for (x, i), w in held.items()]
+    names = ["query", "list", "id", "w", "is_query"]
+    looked, found = [], lists.Lists.found
+    monkeypatch.setattr(lists.Lists, "found", lambda self, *a: looked.append(1) or found(self, *a))
+    got = lists.best_sums(5, 1e-6)(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))).to_pylist()
+    for q, of in asked.items():
+        s = {}
+        for (x, i), w in held.items():
+            if x in of:
+                s[i] = s.get(i, 0) + of[x] * w
+        want = sorted((-round(v, 6), i) for i, v in s.items())[:5]
+        assert sorted((-round(x["score"], 6), x["id"]) for x in got if x["query_id"] == q) == want
+    assert not looked
+
+
+def test_queries_are_cut_before_entries(spark):
+    """Where blocks are fewer than the cores, queries are cut first: a query meets 3 blocks on 8 cores, not 8."""
+    q = spark.createDataFrame([(i, 0, None, 1.0) for i in range(60)], SUMS_ROW)
+    e = spark.createDataFrame([(None, 0, i, 1.0) for i in range(300)], SUMS_ROW)
+    cores = spark.sparkContext.defaultParallelism
+    found = lists.met(q, e, lists.best_sums(2, 1e-6), lists.SUMS, 60, lists.LEAST_BLOCK * cores, repeat=3)
+    assert found.count() == 60 * 2 * -(-cores // 3)
