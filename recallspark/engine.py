@@ -78,7 +78,7 @@ class MemoryEngine:
         if c.use_spreading:
             named = decompose(F.col("query"))["entities"] if c.use_decomposition else F.array().cast("array<string>")
             seeds = queries.select("query_id", F.posexplode(F.when(F.size(named) > 0, named).otherwise(entities(F.col("query")))).alias("pos", "entity"))
-            turns = graph.activated_turns(*graph.activate(seeds, graph.adjacency(triples), c.decay, c.max_hops, c.threshold, c.budget), max_results=15)
+            turns = graph.activated_turns(seeds, graph.adjacency(triples), c.decay, c.max_hops, c.threshold, c.budget, max_results=15)
             text = turns.join(self.turns.select("turn_id", "content"), "turn_id").select("query_id", F.concat(F.lit("spread_"), "turn_id").alias("id"), "content", "activation", "turn_id")
             ranked = retrieve.ranked(text, "query_id", [F.desc(F.round("activation", 6)), F.col("turn_id")]).withColumn("source", F.lit("spreading_activation"))
             lists.append(ranked.select(*cols).withColumn("list_idx", F.lit(1)))

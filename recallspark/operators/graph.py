@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recallspark.shared import materialize, spread
+from recallspark.shared import materialize
 
 DECAY, HOPS, THRESHOLD, BUDGET = 0.5, 2, 0.1, 10.0
 
@@ -133,6 +138,181 @@ def _within(frontier: DataFrame, degrees: DataFrame, visited: DataFrame, used: D
     return spent.where(F.coalesce("before", F.lit(0.0)) <= max(budget, 0.0) + SLACK).select(*frontier.columns)
 
 
+#: Rows of a level: what a query has entered so far, what could be reached next, what was reached before.
+ENTERED, NEXT, REACHED = 0, 1, 2
+_LEVEL = "query_id long, hop int, pos long, src long, dst long, edge_id long, p double, turn_id long"
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Of the rows with equal leading keys, the one with the least last keys: the last two order, the others group."""
+    order = np.lexsort(keys[::-1])
+    return order[_runs(*(k[order] for k in keys[:-2]))] if len(order) else order
+
+
+def _spent(c: dict[str, np.ndarray], budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of NEXT that are reached before the budget is spent, and which of these enter a node."""
+    nxt, known = np.flatnonzero(c["kind"] == NEXT), np.flatnonzero(c["kind"] == ENTERED)
+    # a node belongs to the first edge that leads to it, or to nobody where it was entered before
+    rows = np.concatenate([known, nxt])
+    pos = np.where(c["kind"][rows] == ENTERED, -1, c["pos"][rows])
+    first = _firsts(c["query_id"][rows], c["dst"][rows], pos, c["edge_id"][rows])
+    new = np.zeros(len(c["kind"]), bool)
+    new[rows[first]] = c["kind"][rows[first]] == NEXT
+    nxt = nxt[np.lexsort((c["edge_id"][nxt], c["pos"][nxt], c["query_id"][nxt]))]
+    known = known[np.lexsort((c["edge_id"][known], c["pos"][known], c["hop"][known], c["query_id"][known]))]
+    q, at = c["query_id"][nxt], _runs(c["query_id"][nxt], c["pos"][nxt])
+    if not len(nxt):
+        return nxt, new[nxt]
+    step = np.zeros(len(nxt), "i8")
+    step[at[1:]] = 1
+    step = np.cumsum(step)
+    spends = np.bincount(step, np.where(new[nxt], c["p"][nxt], 0.0))  # added up one after the other, as energy is spent
+    queries, began = np.unique(q[at], return_index=True)
+    place = np.minimum(np.searchsorted(queries, c["query_id"][known]), len(queries) - 1)
+    own = queries[place] == c["query_id"][known]
+    used = np.bincount(place[own], c["p"][known[own]], len(queries))
+    alive = np.empty(len(at), bool)
+    for u, lo, hi in zip(used.tolist(), began.tolist(), [*began[1:].tolist(), len(at)], strict=True):
+        alive[lo:hi] = u + np.append(0.0, np.cumsum(spends[lo : hi - 1])) <= budget
+    live = nxt[alive[step]]
+    return live, new[live]
+
+
+def _top_turns(c: dict[str, np.ndarray], rows: np.ndarray, max_results: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, turn_id, activation of the turns of each query's most activated entities, from ``rows`` that were reached."""
+    seeds = np.flatnonzero((c["kind"] == ENTERED) & (c["hop"] < 0))
+    q, dst, p = (np.concatenate([c[n][rows], c[n][seeds]]) for n in ("query_id", "dst", "p"))
+    hop, pos, edge = (np.concatenate([c[n][rows], c[n][seeds]]) for n in ("hop", "pos", "edge_id"))
+    order = np.lexsort((edge, pos, hop, dst, q))
+    q, dst, p, hop, pos, edge = (x[order] for x in (q, dst, p, hop, pos, edge))
+    at = _runs(q, dst)
+    if not len(at):
+        return q, q, p
+    best = np.maximum.reduceat(p, at)
+    keep = hop[at] >= 0  # a seed comes first among its own rows
+    at, best = at[keep], best[keep]
+    order = np.lexsort((edge[at], pos[at], hop[at], -np.floor(best * 1e9 + 0.5), q[at]))
+    at, best = at[order], best[order]
+    begin = np.searchsorted(q[at], q[at])
+    top = np.arange(len(at)) - begin < max_results
+    top_q, top_e, top_a = q[at][top], dst[at][top], best[top]
+    # the turns of an entity are those of all edges that were met at it
+    with_turn = rows[c["has_turn"][rows]]
+    tq = np.concatenate([c["query_id"][with_turn]] * 2)
+    te, tt = np.concatenate([c["src"][with_turn], c["dst"][with_turn]]), np.concatenate([c["turn_id"][with_turn]] * 2)
+    key = np.concatenate([top_q, tq]), np.concatenate([top_e, te])
+    is_top = np.r_[np.ones(len(top_q), bool), np.zeros(len(tq), bool)]
+    act = np.r_[top_a, np.full(len(tq), -1.0)]
+    turn = np.r_[np.zeros(len(top_q), "i8"), tt]
+    order = np.lexsort((~is_top, key[1], key[0]))
+    at = _runs(key[0][order], key[1][order])
+    n = np.diff(np.append(at, len(order)))
+    act_of = np.repeat(np.where(is_top[order[at]], act[order[at]], -1.0), n)
+    hit = (act_of >= 0) & ~is_top[order]
+    fq, ft, fa = key[0][order][hit], turn[order][hit], act_of[hit]
+    order = np.lexsort((ft, fq))
+    fq, ft, fa = fq[order], ft[order], fa[order]
+    at = _runs(fq, ft)
+    return fq[at], ft[at], np.maximum.reduceat(fa, at) if len(at) else fa
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return None
+    t = pa.Table.from_batches(got).combine_chunks()
+    c = {n: pc.fill_null(t[n], 0).to_numpy() for n in t.column_names}
+    return c | {"has_turn": pc.is_valid(t["turn_id"]).to_numpy(zero_copy_only=False)}
+
+
+def _whole(rows: DataFrame, run: Callable[[dict[str, np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """``run`` over the rows of whole queries."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (c := _columns(batches)) is not None:
+            yield from run(c).to_batches(max_chunksize=65_536)
+
+    return rows.repartition("query_id").mapInArrow(each, schema)
+
+
+def _activated(seeds: DataFrame, edges: DataFrame, decay: float, hops: int, threshold: float, budget: float, max_results: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spreading activation over numbered nodes: (entity, node), the seeds as (query_id, pos, node) and what was reached, or with ``max_results`` the turns of the best.
+
+    A level is what can be reached next, shuffled once by its query and followed there in order; only numbers are shuffled.
+    """
+    edges = materialize(edges.select("edge_id", "src", "dst", "confidence", "turn_id"), "edges")
+    names = edges.select(F.col("src").alias("entity")).unionByName(edges.select(F.col("dst").alias("entity"))).distinct()
+    names = materialize(names.select("entity", F.monotonically_increasing_id().alias("node")), "nodes")
+    of = lambda side: names.select(F.col("entity").alias(side), F.col("node").alias(f"{side}_node"))
+    links = edges.join(of("src"), "src").join(of("dst"), "dst")
+    links = materialize(links.select("edge_id", F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), "confidence", "turn_id"), "links")
+    degrees = links.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")).groupBy("src", "confidence").agg(F.count("*").alias("n"))
+    degrees = materialize(degrees, "degrees")
+    start = seeds.groupBy("query_id", "entity").agg(F.min("pos").cast("long").alias("pos")).join(names, "entity").select("query_id", "pos", "entity", "node")
+    start = materialize(start, "seeds")
+    none = F.lit(None).cast("long")
+    entered = start.select("query_id", F.lit(-1).alias("hop"), "pos", none.alias("src"), F.col("node").alias("dst"), none.alias("edge_id"), F.lit(0.0).alias("p"), none.alias("turn_id"))
+    # the seeds' degrees are looked up by name, all others by number
+    named = degrees.join(start.select(F.col("node").alias("src"), "entity").distinct(), "src").select(F.col("entity").alias("src"), "confidence", "n")
+    frontier, reached = start.select("query_id", "pos", F.col("entity").alias("node"), F.lit(1.0).alias("energy"), F.col("node").alias("number")), None
+    for hop in range(hops):
+        visited = entered.select("query_id", F.col("dst").alias("node"))
+        used = entered.groupBy("query_id").agg(F.sum("p").alias("used"))
+        frontier = _within(frontier, degrees if hop else named, visited, used, decay, threshold, budget)
+        frontier = frontier if hop else frontier.withColumn("node", F.col("number")).drop("number")
+        p = F.col("energy") * decay * F.col("confidence")
+        ahead = frontier.where(F.col("energy") >= threshold).join(links, F.col("node") == F.col("src"))
+        ahead = ahead.select("query_id", F.lit(hop).alias("hop"), "pos", "src", "dst", "edge_id", p.alias("p"), "turn_id").where(F.col("p") >= threshold)
+        rows = ahead.withColumn("kind", F.lit(NEXT)).unionByName(entered.withColumn("kind", F.lit(ENTERED)))
+        if hop + 1 == hops and max_results is not None:
+            if reached is not None:
+                rows = rows.unionByName(reached.withColumn("kind", F.lit(REACHED)))
+            reached = _whole(rows, _last(budget, max_results), "query_id long, turn_id long, activation double")
+            break
+        level = materialize(_whole(rows, _level(budget), f"{_LEVEL}, place long"), "activated")
+        own = level.drop("place")
+        reached = own if reached is None else reached.unionByName(own)
+        came = level.where("place IS NOT NULL")
+        frontier = came.select("query_id", F.col("place").alias("pos"), F.col("dst").alias("node"), F.col("p").alias("energy"))
+        entered = entered.unionByName(came.drop("place"))
+    return names, start, reached
+
+
+def _level(budget: float) -> Callable[[dict[str, np.ndarray]], pa.Table]:
+    """What was reached, with the place in the queue where a node was entered."""
+
+    def run(c: dict[str, np.ndarray]) -> pa.Table:
+        live, new = _spent(c, budget)
+        place = np.zeros(len(live), "i8")
+        q = c["query_id"][live]
+        count = np.cumsum(new)
+        if len(live):
+            at = _runs(q)
+            place = count - np.repeat((count - new)[at], np.diff(np.append(at, len(q))))
+        out = {n: pa.array(c[n][live]) for n in ("query_id", "hop", "pos", "src", "dst", "edge_id", "p")}
+        out["hop"] = out["hop"].cast(pa.int32())
+        return pa.table(out | {"turn_id": pa.array(c["turn_id"][live], mask=~c["has_turn"][live]), "place": pa.array(place, mask=~new)})
+
+    return run
+
+
+def _last(budget: float, max_results: int) -> Callable[[dict[str, np.ndarray]], pa.Table]:
+    def run(c: dict[str, np.ndarray]) -> pa.Table:
+        live, _ = _spent(c, budget)
+        return pa.table(dict(zip(("query_id", "turn_id", "activation"), _top_turns(c, np.concatenate([np.flatnonzero(c["kind"] == REACHED), live]), max_results), strict=True)))
+
+    return run
+
+
 def activate(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, hops: int = HOPS, threshold: float = THRESHOLD, budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Spreading activation for many queries at once.
 
@@ -141,42 +321,15 @@ def activate(seeds: DataFrame, edges: DataFrame, decay: float = DECAY, hops: int
     largest that reaches it, and a level ends for a query where the energy spent exceeds the budget. What surely lies beyond
     that end, as behind a hub, is not expanded.
     """
-    start = seeds.groupBy("query_id", F.col("entity").alias("node")).agg(F.min("pos").alias("pos"))
-    frontier = start.select("query_id", F.col("pos").cast("long").alias("pos"), "node", F.lit(1.0).alias("energy"))
-    visited = frontier.select("query_id", "node")
-    used = frontier.select("query_id").distinct().withColumn("used", F.lit(0.0))
-    reached, turns = None, None
-    edges = spread(edges, "dst")
-    degrees = edges.groupBy("src", "dst").agg(F.max("confidence").alias("confidence")).groupBy("src", "confidence").agg(F.count("*").alias("n"))
-    for hop in range(hops):
-        frontier = _within(frontier, degrees, visited, used, decay, threshold, budget)
-        p = F.col("energy") * decay * F.col("confidence")
-        cand = (
-            frontier.where(F.col("energy") >= threshold).join(edges, F.col("node") == F.col("src"))
-            .select("query_id", "pos", "src", "dst", "edge_id", p.alias("p"), "turn_id").where(F.col("p") >= threshold)
-        )
-        by_target = Window.partitionBy("query_id", "dst").orderBy("pos", "edge_id")
-        new = cand.join(visited.withColumnRenamed("node", "dst"), ["query_id", "dst"], "left_anti").withColumn("n", F.row_number().over(by_target)).where("n = 1")
-        spent = frontier.select("query_id", "pos").join(new.groupBy("query_id", "pos").agg(F.sum("p").alias("s")), ["query_id", "pos"], "left")
-        before = F.coalesce(F.sum("s").over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        alive = spent.join(used, "query_id").withColumn("before", F.col("used") + before).where(F.col("before") <= budget).select("query_id", "pos")
-        live = materialize(cand.join(alive, ["query_id", "pos"]).withColumn("hop", F.lit(hop)), "activated")
-        seen_new = None if hop + 1 == hops else materialize(new.join(alive, ["query_id", "pos"]).select("query_id", "pos", "dst", "edge_id", "p"), "entered")
-        hit = live.select("query_id", F.col("dst").alias("entity"), "p", F.struct("hop", "pos", "edge_id").alias("at"))
-        touch = live.where("turn_id IS NOT NULL").select("query_id", F.explode(F.array("src", "dst")).alias("entity"), "turn_id")
-        reached = hit if reached is None else reached.unionByName(hit)
-        turns = touch if turns is None else turns.unionByName(touch)
-        if hop + 1 < hops:
-            order = F.row_number().over(Window.partitionBy("query_id").orderBy("pos", "edge_id")).cast("long")
-            frontier = seen_new.select("query_id", order.alias("pos"), F.col("dst").alias("node"), F.col("p").alias("energy"))
-            visited = visited.unionByName(seen_new.select("query_id", F.col("dst").alias("node")))
-            used = used.join(seen_new.groupBy("query_id").agg(F.sum("p").alias("s")), "query_id", "left").select("query_id", (F.col("used") + F.coalesce("s", F.lit(0.0))).alias("used"))
-    best = reached.groupBy("query_id", "entity").agg(F.max("p").alias("activation"), F.min("at").alias("first_seen"))
-    return best.join(start.select("query_id", F.col("node").alias("entity")), ["query_id", "entity"], "left_anti"), turns.distinct()
-
-
-def activated_turns(best: DataFrame, turns: DataFrame, max_results: int = 30) -> DataFrame:
-    """query_id, turn_id, activation: turns of the ``max_results`` most activated entities, each at its highest activation."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("activation", 9)), "first_seen")
-    top = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_results)
-    return top.join(turns, ["query_id", "entity"]).groupBy("query_id", "turn_id").agg(F.max("activation").alias("activation"))
+    names, start, reached = _activated(seeds, edges, decay, hops, threshold, budget, None)
+    best = reached.groupBy("query_id", F.col("dst").alias("node")).agg(F.max("p").alias("activation"), F.min(F.struct("hop", "pos", "edge_id")).alias("first_seen"))
+    best = best.join(start.select("query_id", "node"), ["query_id", "node"], "left_anti").join(names, "node").select("query_id", "entity", "activation", "first_seen")
+    touch = reached.where("turn_id IS NOT NULL").select("query_id", F.explode(F.array("src", "dst")).alias("node"), "turn_id").distinct()
+    return best, touch.join(names, "node").select("query_id", "entity", "turn_id")
+
+
+def activated_turns(
+    seeds: DataFrame, edges: DataFrame, decay: float = DECAY, hops: int = HOPS, threshold: float = THRESHOLD, budget: float = BUDGET, max_results: int = 30
+) -> DataFrame:
+    """query_id, turn_id, activation: turns of the ``max_results`` most activated entities of ``activate``, each at its highest activation."""
+    return _activated(seeds, edges, decay, hops, threshold, budget, max_results)[2]

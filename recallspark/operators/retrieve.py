@@ -199,7 +199,7 @@ def fuse(lists: DataFrame, k: int | None = None) -> DataFrame:
     A list weighs by the source of its first element. Ties go to the list, then the rank, where the id came first.
     """
     head = F.max(F.when(F.col("rank") == 1, F.col("source"))).over(Window.partitionBy("query_id", "list_idx"))
-    parts = lists.withColumn("w", list_weight(head))
+    parts = lists.repartition("query_id").withColumn("w", list_weight(head))  # all that follows is over parts of a query
     place = F.struct("list_idx", "rank")
     fused = parts.groupBy("query_id", "id").agg(
         F.round(F.sum(F.col("w") / (RRF_K + F.col("rank"))), 9).alias("score"), F.min_by("content", place).alias("content"),

@@ -134,7 +134,7 @@ def spreading_activate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spreading_turns(spark: SparkSession, d: str) -> DataFrame:
-    t = graph.activated_turns(*graph.activate(_seeds(spark, d), graph.adjacency(_triples(spark, d))))
+    t = graph.activated_turns(_seeds(spark, d), graph.adjacency(_triples(spark, d)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("activation", 6)), "turn_id"))
     return t.select("query_id", "turn_id", F.round("activation", 6).alias("activation"), rank.alias("rank"))
 

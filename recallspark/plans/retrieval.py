@@ -102,12 +102,15 @@ def spreading_results(spark: SparkSession, d: str) -> DataFrame:
     return _spreading_list(spark, d, _seeds(spark, d))
 
 
-def _spreading_list(spark: SparkSession, d: str, seeds: DataFrame) -> DataFrame:
-    found = graph.activated_turns(*graph.activate(seeds, graph.adjacency(table(spark, d, "triples"))), max_results=15)
-    rows = found.join(turns(spark, d).where("content <> ''").select("turn_id", "content"), "turn_id")
-    once = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "content").orderBy(F.desc("activation"), "turn_id"))).where("n = 1")
-    scored = once.select("query_id", F.concat(F.lit("spread_"), "turn_id").alias("id"), "content", F.round(F.col("activation") * 0.7, 6).alias("confidence"), F.lit("spreading_activation").alias("source"), "turn_id")
-    return retrieve.ranked(scored, "query_id", [F.desc("confidence"), F.col("turn_id")]).drop("turn_id")
+def _spreading_list(spark: SparkSession, d: str, seeds: DataFrame, k: int | None = None) -> DataFrame:
+    """All that was found, or the ``k`` best. Texts are told apart by number and come in once the ranks are known."""
+    found = graph.activated_turns(seeds, graph.adjacency(table(spark, d, "triples")), max_results=15)
+    texts = materialize(turns(spark, d).where("content <> ''").select("turn_id", "content"), "texts")
+    same = texts.join(texts.groupBy("content").agg(F.min("turn_id").alias("same")), "content").select("turn_id", "same")
+    rows = found.join(same, "turn_id").repartition("query_id")  # both windows are over parts of a query
+    once = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "same").orderBy(F.desc("activation"), "turn_id"))).where("n = 1")
+    best = retrieve.ranked(once.select("query_id", "turn_id", F.round(F.col("activation") * 0.7, 6).alias("confidence")), "query_id", [F.desc("confidence"), F.col("turn_id")], k)
+    return best.join(texts, "turn_id").select("query_id", F.concat(F.lit("spread_"), "turn_id").alias("id"), "content", "confidence", F.lit("spreading_activation").alias("source"), "rank")
 
 
 def _bm25_list(spark: SparkSession, d: str) -> DataFrame:
@@ -139,11 +142,13 @@ def recall_all_paths(spark: SparkSession, d: str) -> DataFrame:
 def every_list(queries: DataFrame, entity: DataFrame, spreading: DataFrame, turn_rows: DataFrame, n_queries: int) -> DataFrame:
     """query_id, rank, id, content, source, list_idx: all lists of the recall, in its order: entity, spreading, chunk-semantic, a vector list for each of two sub-queries, their BM25 lists as one."""
     cols = ["query_id", "rank", "id", "content", "source"]
-    parts = queries.select("query_id", F.posexplode(F.slice(decompose(F.col("query"))["sub_queries"], 1, 2)).alias("pos", "query"))
+    asked = queries.select("query_id", decompose(F.col("query")).alias("d")).select("query_id", F.col("d.primary_query").alias("query"), F.slice("d.sub_queries", 1, 2).alias("parts"))
+    asked = materialize(asked, "decomposed")  # read four times
+    parts = asked.select("query_id", F.posexplode("parts").alias("pos", "query"))
     docs = turn_rows.where("content IS NOT NULL").select(F.col("turn_id").alias("id"), F.col("content").alias("text"))
     hits = retrieve.bm25_parts(parts, docs, 15).join(docs, "id")
     lists = [
-        entity, spreading, vectors.chunk_semantic(queries.select("query_id", decompose(F.col("query"))["primary_query"].alias("query")), entity),
+        entity, spreading, vectors.chunk_semantic(asked.select("query_id", "query"), entity),
         *[vectors.recent_vector_search(parts.where(F.col("pos") == pos).select("query_id", "query"), turn_rows, n_queries) for pos in (0, 1)],
         hits.select("query_id", "rank", F.col("id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("bm25").alias("source")),
     ]
@@ -156,7 +161,9 @@ def every_list(queries: DataFrame, entity: DataFrame, spreading: DataFrame, turn
 def _fused_full(spark: SparkSession, d: str, k: int) -> DataFrame:
     q = questions(spark, d)
     entity = materialize(_entity_list(spark, d), "entity")  # two lists read it
-    return retrieve.fuse(every_list(q, entity, _spreading_list(spark, d, _decomposed_seeds(spark, d)), turns(spark, d), q.count()), k)
+    # an id of spreading is in no other list, so its score falls with its rank: none after the k-th is among the k best
+    spreading = _spreading_list(spark, d, _decomposed_seeds(spark, d), k)
+    return retrieve.fuse(every_list(q, entity, spreading, turns(spark, d), q.count()), k)
 
 
 def recall_full(spark: SparkSession, d: str) -> DataFrame:

@@ -163,3 +163,55 @@ def test_queries_are_cut_before_entries(spark):
     cores = spark.sparkContext.defaultParallelism
     found = lists.met(q, e, lists.best_sums(2, 1e-6), lists.SUMS, 60, lists.LEAST_BLOCK * cores, repeat=3)
     assert found.count() == 60 * 2 * -(-cores // 3)
+
+
+def test_turns_of_the_most_activated_are_found_over_numbered_nodes(spark, monkeypatch):
+    """The turns equal those of ``activate``'s entities, the facts are read once, and no name is shuffled with what is reached."""
+    import random
+
+    from recallspark.operators import graph
+
+    rnd = random.Random(11)
+    base = [(2 * i, f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}", rnd.choice([0.4, 0.5, 0.9, 1.0]), rnd.choice([None, 3, 4, 5, 6])) for i in range(40)]
+    edges = base + [(i + 1, d, s, c, t) for i, s, d, c, t in base]
+    df = spark.createDataFrame(edges, "edge_id long, src string, dst string, confidence double, turn_id long")
+    seeds = [(1, 0, "n0"), (1, 1, "n3"), (2, 0, "n5"), (3, 0, "absent"), (4, 0, "n1"), (4, 1, "n1"), (5, 0, "absent"), (5, 3, "n7")]
+    s = spark.createDataFrame(seeds, "query_id long, pos int, entity string")
+    for hops, budget, most in ((1, 10.0, 3), (2, 10.0, 4), (2, 1.0, 2), (3, 10.0, 4)):
+        best, turns = (x.collect() for x in graph.activate(s, df, hops=hops, budget=budget, threshold=0.02))
+        of, want = {}, {}
+        for r in turns:
+            of.setdefault((r.query_id, r.entity), set()).add(r.turn_id)
+        for q in {r.query_id for r in best}:
+            for r in sorted((r for r in best if r.query_id == q), key=lambda r: (-round(r.activation, 9), r.first_seen))[:most]:
+                for t in of.get((q, r.entity), ()):
+                    want[q, t] = max(want.get((q, t), 0), r.activation)
+        kinds, written = [], graph.materialize
+        with monkeypatch.context() as m:
+            m.setattr(graph, "materialize", lambda x, name: kinds.append((name, {kind for c, kind in x.dtypes if c != "entity"})) or written(x, name))
+            found = graph.activated_turns(s, df, hops=hops, budget=budget, threshold=0.02, max_results=most)
+        assert {(r.query_id, r.turn_id): r.activation for r in found.collect()} == want
+        assert [name for name, _ in kinds].count("edges") == 1 and not any("string" in k for name, k in kinds if name != "edges")
+
+
+def test_spreading_is_ranked_by_number_and_cut_where_it_cannot_win(spark, small, monkeypatch):
+    """The best ``k`` of a list are the first of the whole list, and the fused best do not change when only these are read."""
+    from recallspark.plans import retrieval
+
+    seeds = retrieval._decomposed_seeds(spark, small)
+    whole = {(r.query_id, r["rank"]): (r.id, r.content, r.confidence) for r in retrieval._spreading_list(spark, small, seeds).collect()}
+    some = {(r.query_id, r["rank"]): (r.id, r.content, r.confidence) for r in retrieval._spreading_list(spark, small, seeds, 1).collect()}
+    assert some == {k: v for k, v in whole.items() if k[1] == 1} and len(some) < len(whole)
+    cut, asked = retrieval._spreading_list, []
+    fused = {tuple(r) for r in retrieval._fused_full(spark, small, 5).collect()}
+    monkeypatch.setattr(retrieval, "_spreading_list", lambda s, d, q, k=None: asked.append(k) or cut(s, d, q))
+    assert {tuple(r) for r in retrieval._fused_full(spark, small, 5).collect()} == fused and asked == [5]
+
+
+def test_fusion_shuffles_the_lists_once(spark):
+    from recallspark.operators import retrieve
+
+    rows = spark.createDataFrame([(1, 0, 1, "a", "x", "bm25"), (1, 1, 1, "a", "y", "vector"), (1, 1, 2, "b", "z", "vector")], "query_id long, list_idx int, rank int, id string, content string, source string")
+    best = retrieve.fuse(rows, 5)
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.id, r.content, r.source) for r in best.orderBy("rank").collect()] == [("a", "x", "rrf(bm25)"), ("b", "z", "rrf(vector)")]
