@@ -187,9 +187,8 @@ def _spent(c: dict[str, np.ndarray], budget: float) -> tuple[np.ndarray, np.ndar
     return live, new[live]
 
 
-def _top_turns(c: dict[str, np.ndarray], rows: np.ndarray, max_results: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, turn_id, activation of the turns of each query's most activated entities, from ``rows`` that were reached."""
-    seeds = np.flatnonzero((c["kind"] == ENTERED) & (c["hop"] < 0))
+def _top_entities(c: dict[str, np.ndarray], rows: np.ndarray, seeds: np.ndarray, max_results: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, node, activation of each query's most activated entities, from ``rows`` that were reached."""
     q, dst, p = (np.concatenate([c[n][rows], c[n][seeds]]) for n in ("query_id", "dst", "p"))
     hop, pos, edge = (np.concatenate([c[n][rows], c[n][seeds]]) for n in ("hop", "pos", "edge_id"))
     order = np.lexsort((edge, pos, hop, dst, q))
@@ -204,7 +203,12 @@ def _top_turns(c: dict[str, np.ndarray], rows: np.ndarray, max_results: int) ->
     at, best = at[order], best[order]
     begin = np.searchsorted(q[at], q[at])
     top = np.arange(len(at)) - begin < max_results
-    top_q, top_e, top_a = q[at][top], dst[at][top], best[top]
+    return q[at][top], dst[at][top], best[top]
+
+
+def _top_turns(c: dict[str, np.ndarray], rows: np.ndarray, max_results: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, turn_id, activation of the turns of each query's most activated entities, from ``rows`` that were reached."""
+    top_q, top_e, top_a = _top_entities(c, rows, np.flatnonzero((c["kind"] == ENTERED) & (c["hop"] < 0)), max_results)
     # the turns of an entity are those of all edges that were met at it
     with_turn = rows[c["has_turn"][rows]]
     tq = np.concatenate([c["query_id"][with_turn]] * 2)

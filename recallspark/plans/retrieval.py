@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recallspark.functions.understand import decompose
-from recallspark.operators import graph, retrieve, vectors
+from recallspark.operators import graph, retrieve, spread_best, vectors
 from recallspark.operators.ingest import covering, sequenced
 from recallspark.plans import ingest as plan_ingest
 from recallspark.plans.ingest import SEQ, TURNS, WORDS
@@ -188,9 +188,20 @@ def _parent_of_turn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parent_replace(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of the spreading list, replaced by the last parent of 8 turns that covers them."""
-    lists = spreading_results(spark, d).select("query_id", "rank", "id", "content", "source", F.col("confidence").alias("score"))
-    return retrieve.replace_parents(lists, _parent_of_turn(spark, d), 5)
+    """Turns of the spreading list, replaced by the last parent of 8 turns that covers them. Texts come in once the five best are known."""
+    size = plan_ingest.ingest.PARENT
+    seq = sequenced(turns(spark, d)).select("scope_id", "turn_id", "content", "seq", "group_size")
+    seq = materialize(seq.withColumn("p", covering(F.col("seq"), F.col("group_size"), size)), "positions")
+    parents = plan_ingest.ingest.chunks(seq, size).select("scope_id", F.col("start_seq").alias("p"), F.col("content").alias("parent_text"))
+    parents = materialize(parents.withColumn("digest", F.unhex(F.sha2("parent_text", 256))), "parents")
+    own = seq.where("content <> ''").select("scope_id", "p", "turn_id", F.unhex(F.sha2("content", 256)).alias("own"))
+    told = own.join(parents.select("scope_id", "p", "digest"), ["scope_id", "p"], "left").select("turn_id", "own", F.coalesce("digest", "own").alias("last"))
+    first = lambda text: F.min("turn_id").over(Window.partitionBy(text))
+    texts = materialize(told.withColumn("same", first("own")).withColumn("final", first("last")).select("turn_id", "same", "final"), "texts")
+    best = spread_best.best_turns(_seeds(spark, d), table(spark, d, "triples"), texts, 5)
+    rows = best.join(seq.select("turn_id", "scope_id", "p", "content"), "turn_id").join(parents.select("scope_id", "p", "parent_text"), ["scope_id", "p"], "left")
+    source = F.when(F.col("parent_text").isNotNull(), F.lit("spreading_activation+parent")).otherwise(F.lit("spreading_activation"))
+    return rows.select("query_id", F.concat(F.lit("spread_"), "turn_id").alias("id"), F.coalesce("parent_text", "content").alias("content"), source.alias("source"), F.col("confidence").alias("score"), "rank")
 
 
 def parent_full(spark: SparkSession, d: str) -> DataFrame:
